@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count
+from . import bpe, near_dedup, token_count
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -17,13 +17,43 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, sf_dir, "documents"), size=2, similarity=0.8)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False, with_text=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+OP2_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words
+), sized AS (SELECT doc_id, len(s) AS n FROM sets),
+same AS (SELECT doc_id, hash(list_sort(s)) AS h FROM sets WHERE len(s) > 0),
+first_of AS (SELECT h, min(doc_id) AS doc_id FROM same GROUP BY h),
+flat AS (SELECT sets.doc_id, len(s) AS n, unnest(s) AS g FROM sets JOIN first_of USING (doc_id)),
+rare AS (SELECT g FROM flat GROUP BY g HAVING count(*) > 1),
+kept AS (SELECT flat.* FROM flat JOIN rare USING (g)),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM kept a JOIN kept b ON a.g = b.g AND a.doc_id < b.doc_id
+   AND 10 * a.n >= 8 * b.n AND 10 * b.n >= 8 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM first_of UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT z.doc_id, z.n AS n_shingles, coalesce(c.c, z.doc_id) AS component_id, z.doc_id = coalesce(c.c, z.doc_id) AS kept
+FROM sized z LEFT JOIN same USING (doc_id) LEFT JOIN first_of f USING (h) LEFT JOIN comp c ON c.x = f.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL}
