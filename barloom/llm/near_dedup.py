@@ -53,7 +53,7 @@ class Shingler:
         known = self.known
         if len(known) > self.cache:
             known.clear()
-        for w in {*words} - known.keys():
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.size, len(h))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dedup, token_count
+from . import bpe, near_dedup, quality_fm, token_count
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"), size=2, similarity=0.8)
 
 
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_fm.train(docs, table(spark, sf_dir, "labels"))
+    return quality_fm.classify(docs, model, threshold=0.7).select("doc_id", quality_fm.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False, with_text=False)
 
@@ -28,6 +34,7 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_quality_fm": op3_quality_fm,
     "op5_bpe_round_trip": op5_bpe_round_trip,
 }
 
