@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dedup, quality_fm, token_count
+from . import bpe, line_dedup, near_dedup, quality_fm, token_count
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,11 +31,16 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False, with_text=False)
 
 
+def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_fm": op3_quality_fm,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op8_line_winnowing": op8_line_winnowing,
 }
 
 OP2_SQL = """
@@ -63,4 +68,31 @@ SELECT z.doc_id, z.n AS n_shingles, coalesce(c.c, z.doc_id) AS component_id, z.d
 FROM sized z LEFT JOIN same USING (doc_id) LEFT JOIN first_of f USING (h) LEFT JOIN comp c ON c.x = f.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL}
+OP8_SQL = r"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+plain AS (SELECT doc_id, pos, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
+numbered AS (
+  SELECT doc_id, pos, line, len(string_split(line, ' ')) AS w, row_number() OVER d AS nth,
+    sum(len(string_split(line, ' '))) OVER d - len(string_split(line, ' ')) AS before
+  FROM plain WHERE line <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), win AS (
+  SELECT a.doc_id, a.nth, string_agg(b.line, chr(10) ORDER BY b.nth) AS t, count(*) AS n
+  FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.before BETWEEN a.before AND a.before + 49
+  GROUP BY a.doc_id, a.nth, a.before HAVING max(b.before + b.w) >= a.before + 50
+), placed AS (SELECT *, first_value(doc_id) OVER f AS s_id, first_value(nth) OVER f AS s_nth FROM win WINDOW f AS (PARTITION BY t ORDER BY doc_id, nth)),
+hit AS (SELECT doc_id, nth, s_id, s_nth FROM placed WHERE (doc_id, nth) <> (s_id, s_nth)),
+ends AS (
+  SELECT h.doc_id, h.nth, min(a.nth) AS stop FROM hit h JOIN numbered a ON a.doc_id = h.doc_id AND a.nth >= h.nth
+  LEFT JOIN numbered b ON b.doc_id = h.s_id AND b.nth = h.s_nth + a.nth - h.nth
+  WHERE b.line IS NULL OR a.line <> b.line GROUP BY h.doc_id, h.nth
+), gone AS (
+  SELECT DISTINCT n.doc_id, n.pos FROM hit h LEFT JOIN ends e ON e.doc_id = h.doc_id AND e.nth = h.nth
+  JOIN numbered n ON n.doc_id = h.doc_id AND n.nth >= h.nth AND n.nth < coalesce(e.stop, 1000000000)
+), out AS (
+  SELECT r.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (g.pos IS NULL), '') AS text
+  FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos GROUP BY r.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, out.text FROM documents d LEFT JOIN out USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL, "op8_line_winnowing": OP8_SQL}
