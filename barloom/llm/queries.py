@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, near_dedup, quality_fm, token_count
+from . import bpe, decontaminate, html_crf, line_dedup, near_dedup, quality_fm, token_count
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(docs, model, threshold=0.7).select("doc_id", quality_fm.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False, with_text=False)
 
@@ -35,12 +39,19 @@ def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "item_ids", "distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_fm": op3_quality_fm,
+    "op4_html_crf": op4_html_crf,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op8_line_winnowing": op8_line_winnowing,
+    "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
 OP2_SQL = """
