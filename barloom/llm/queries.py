@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_crf, line_dedup, near_dedup, quality_fm, token_count
+from . import bpe, decontaminate, html_crf, line_dedup, near_dedup, quality_fm, token_count, warc
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False, with_text=False)
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), smallest=0)
+
+
 def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_fm": op3_quality_fm,
     "op4_html_crf": op4_html_crf,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_warc_round_trip": op6_warc_round_trip,
     "op8_line_winnowing": op8_line_winnowing,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
