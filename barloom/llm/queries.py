@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_crf, line_dedup, near_dedup, quality_fm, reply_trees, token_count, warc
+from . import bpe, decontaminate, html_crf, line_dedup, media_copies, near_dedup, quality_fm, reply_trees, token_count, warc
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -58,6 +58,11 @@ def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = media_copies.media_of(table(spark, sf_dir, "embeddings"))
+    return media_copies.image_copies(media)
+
+
 def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", "item_ids", "distance")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_reply_trees": op7_reply_trees,
     "op8_line_winnowing": op8_line_winnowing,
+    "op9_media_copies": op9_media_copies,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
