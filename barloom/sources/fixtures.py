@@ -2,7 +2,8 @@
 
 `line_bars` are raw trades of lineitem (prices without memory); `walk_bars` a random walk driven by
 each day's mean price, the default for models; `rev_bars` a mean-reverting series. A ticker is a
-return flag with a line status. Prices are rounded to four decimals, as quotes are.
+return flag with a line status. Prices are rounded to four decimals, as quotes are (a
+3e-8 is added first, so that no product stands exactly between two of them).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First, highest, lowest, last unit price and the quantity of each day."""
-    rows = lines(spark, sf_dir).withColumns({"price": F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4), "at": F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")})
+    rows = lines(spark, sf_dir).withColumns({"price": F.round(F.col("l_extendedprice") / F.col("l_quantity") + 3e-8, 4), "at": F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")})
     return rows.groupBy("ticker", "date").agg(F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"), F.sum("l_quantity").alias("volume"))
 
 
@@ -34,8 +35,8 @@ def from_closes(closes: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("date")
     nth = F.row_number().over(w)
     day = closes.select("ticker", "date", "close", "volume", F.coalesce(F.lag("close").over(w), F.col("close")).alias("open"), nth.alias("n"))
-    high = F.round(F.greatest("open", "close") * (1 + (F.col("n") % 7 + 1) * 0.001), 4)
-    low = F.round(F.least("open", "close") * (1 - (F.col("n") % 5 + 1) * 0.001), 4)
+    high = F.round(F.greatest("open", "close") * (1 + (F.col("n") % 7 + 1) * 0.001) + 3e-8, 4)
+    low = F.round(F.least("open", "close") * (1 - (F.col("n") % 5 + 1) * 0.001) + 3e-8, 4)
     return day.select("ticker", "date", "open", high.alias("high"), low.alias("low"), "close", "volume")
 
 
