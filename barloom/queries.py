@@ -123,7 +123,8 @@ def _words(text: str) -> set[str]:
 
 
 def r8(*columns: str) -> str:
-    return ", ".join(f"round({c.split(' AS ')[0]}, 8) + 0.0 AS {c.split(' AS ')[-1]}" for c in columns)
+    named = [c.rsplit(" AS ", 1) if c.rfind(" AS ") > c.rfind(")") else [c, c] for c in columns]
+    return ", ".join(f"round({a}, 8) + 0.0 AS {b}" for a, b in named)
 
 
 W = "(PARTITION BY ticker ORDER BY date)"
@@ -266,3 +267,204 @@ query("agg_correlations", sql(" UNION ALL ".join(f"SELECT ticker, '{a}' AS a, '{
 query("agg_redundancy")(lambda s, d: indicators.pruned(indicators.compute_all(bars(s, d), SETTINGS, SETTINGS["redundancy"]["priority"]), SETTINGS))
 query("agg_composites", sql(f"SELECT ticker, date, CAST(NULL AS DOUBLE) AS trend, {r8('(bollinger_position + stochastic + cci) / 3 AS momentum')}, CAST(NULL AS DOUBLE) AS volatility, {r8('chaikin_money_flow AS volume')} FROM ({JOINED})"))(lambda s, d: indicators.composites(normals(s, d).drop("volume"), SIMPLE, SETTINGS).select("ticker", "date", "trend", "momentum", "volatility", "volume"))
 query("agg_is_trending", sql(f"SELECT ticker, date, CASE WHEN raw IS NOT NULL THEN CASE WHEN raw > 25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS trending FROM ({ADX})"))(lambda s, d: indicators.adx(bars(s, d), SETTINGS).select("ticker", "date", indicators.is_trending(C("adx"), 25).alias("trending")))
+
+
+# ---- fundamentals --------------------------------------------------------------------------
+
+FUND = SETTINGS["fundamentals"]
+
+
+def earnings(s: SparkSession, d: str) -> DataFrame:
+    return fixtures.announcements(bars(s, d))
+
+
+def all_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Peers: every other ticker (a fixture of a few tickers)."""
+    t = bars(s, d).select("ticker").distinct()
+    return t.join(F.broadcast(t.withColumnRenamed("ticker", "peer")), C("ticker") != C("peer"))
+
+
+def index_closes(s: SparkSession, d: str) -> DataFrame:
+    return fixtures.walk_bars(s, d, whole=True).select("date", "close")
+
+
+def scores(s: SparkSession, d: str) -> DataFrame:
+    pe = fundamentals.versus_history(fundamentals.trailing_pe(bars(s, d), earnings(s, d), "Asia/Kolkata"))
+    peers = fundamentals.versus_peers(fixtures.multiples(bars(s, d)), all_pairs(s, d), FUND)
+    growth = fundamentals.growth_score(fixtures.statements(bars(s, d)), FUND["growth_scale"])
+    surprise = fundamentals.surprise_score(earnings(s, d), FUND["surprise_scale_pct"])
+    named = lambda df, n: df.select("ticker", F.lit(n).alias("component"), "score")
+    return named(pe, "valuation_vs_history").unionAll(named(peers, "valuation_vs_peers")).unionAll(named(growth, "growth")).unionAll(named(surprise, "earnings_surprise"))
+
+
+SURPRISE = "CASE WHEN quarters >= 4 THEN 0.5 * (2 * beats - 1) + 0.5 * tanh(typical / 5.0) END"
+GROWTH = "SELECT ticker, count(rate) AS rates, avg(tanh(rate / 0.15)) AS score FROM growths GROUP BY 1"
+CTES["scored_parts"] = f"SELECT ticker, 0.3 AS w, CASE WHEN days >= 250 THEN -(2 * share - 1) END AS score FROM history UNION ALL SELECT ticker, 0.3, score FROM versus UNION ALL SELECT ticker, 0.2, score FROM ({GROWTH}) UNION ALL SELECT ticker, 0.2, {SURPRISE} FROM surprises"
+CTES["summed"] = "SELECT ticker, sum(w) FILTER (score IS NOT NULL) AS w, sum(w * score) AS ws, count(score) AS n, max(score) AS hi, min(score) AS lo FROM scored_parts GROUP BY 1"
+CTES["assessed"] = "SELECT ticker, n, ws / w AS raw, greatest(-1.0, least(1.0, ws / w)) AS bias, w / 1.0 * CASE WHEN n > 1 THEN 1 - (hi - lo) / 2 ELSE 0.5 END AS confidence FROM summed"
+query("fund_trailing_pe", sql(f"SELECT ticker, date, {r8('pe')} FROM pes"))(lambda s, d: fundamentals.trailing_pe(bars(s, d), earnings(s, d), "Asia/Kolkata"))
+query("fund_versus_history", sql(f"SELECT ticker, days, {r8('current', 'share', 'low', 'high', 'middle', 'CASE WHEN days >= 250 THEN -(2 * share - 1) END AS score')} FROM history"))(lambda s, d: fundamentals.versus_history(fundamentals.trailing_pe(bars(s, d), earnings(s, d), "Asia/Kolkata")))
+query("fund_versus_peers", sql(f"SELECT ticker, multiples, array_to_string(excluded, ',') AS excluded, {r8('score')} FROM versus"))(lambda s, d: fundamentals.versus_peers(fixtures.multiples(bars(s, d)), all_pairs(s, d), FUND).withColumn("excluded", F.array_join("excluded", ",")))
+query("fund_compound_growth", sql(f"SELECT ticker, {r8('rate')} FROM growths WHERE line_item = 'Total Revenue'"))(lambda s, d: fundamentals.compound_growth(fundamentals.line(fixtures.statements(bars(s, d)), "annual", fundamentals.REVENUE)))
+query("fund_growth_score", sql(f"SELECT ticker, rates, {r8('score')} FROM ({GROWTH})"))(lambda s, d: fundamentals.growth_score(fixtures.statements(bars(s, d)), 0.15))
+query("fund_surprise_score", sql(f"SELECT ticker, quarters, {r8('beats', 'typical', SURPRISE + ' AS score')} FROM surprises"))(lambda s, d: fundamentals.surprise_score(earnings(s, d), 5.0))
+query("fund_fair_value", sql(f"SELECT ticker, {r8('bias')}, CASE WHEN raw > 0.2 THEN 'undervalued' WHEN raw < -0.2 THEN 'overvalued' ELSE 'fairly valued' END AS label, {r8('confidence')}, CASE WHEN confidence >= 0.6 THEN 'high' WHEN confidence >= 0.35 THEN 'medium' ELSE 'low' END AS confidence_label, {r8('bias * 0.03 * confidence AS annual_drift_tilt')} FROM assessed"))(lambda s, d: fundamentals.fair_value(scores(s, d), FUND))
+query("fund_return_over", sql(f"SELECT ticker, {r8('max(close) FILTER (k = 1) / max(close) FILTER (k = 64) - 1 AS ret')} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars) GROUP BY 1"))(lambda s, d: fundamentals.return_over(bars(s, d), 63, ["ticker"]))
+SECTOR = "SELECT date, close FROM bars WHERE ticker = 'NO'"
+query(
+    "fund_market_context",
+    sql(
+        "SELECT o.ticker, round(o.own - b.ret, 8) + 0.0 AS vs_benchmark, round(o.own - s.ret, 8) + 0.0 AS vs_sector, round(w.v, 8) + 0.0 AS sector_vs_benchmark, round(CASE WHEN p.n > 60 THEN p.beta END, 8) + 0.0 AS beta, round(CASE WHEN p.n > 60 THEN p.correlation END, 8) + 0.0 AS correlation FROM own o JOIN bench b ON b.ticker = o.ticker JOIN sect s ON s.ticker = o.ticker JOIN whole_sect w ON true JOIN paired p ON p.ticker = o.ticker",
+        own="SELECT ticker, max(date) AS last, max(close) FILTER (k = 1) / max(close) FILTER (k = 64) - 1 AS own FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars) GROUP BY 1",
+        sector=SECTOR,
+        bench="SELECT ticker, max(close) FILTER (k = 1) / max(close) FILTER (k = 64) - 1 AS ret FROM (SELECT o.ticker, i.close, row_number() OVER (PARTITION BY o.ticker ORDER BY i.date DESC) AS k FROM own o JOIN index_closes i ON i.date <= o.last) GROUP BY 1",
+        sect="SELECT ticker, max(close) FILTER (k = 1) / max(close) FILTER (k = 64) - 1 AS ret FROM (SELECT o.ticker, i.close, row_number() OVER (PARTITION BY o.ticker ORDER BY i.date DESC) AS k FROM own o JOIN sector i ON i.date <= o.last) GROUP BY 1",
+        whole_sect="SELECT (SELECT max(close) FILTER (k = 1) / max(close) FILTER (k = 64) FROM (SELECT close, row_number() OVER (ORDER BY date DESC) AS k FROM sector)) - (SELECT max(close) FILTER (k = 1) / max(close) FILTER (k = 64) FROM (SELECT close, row_number() OVER (ORDER BY date DESC) AS k FROM index_closes)) AS v",
+        iret="SELECT date, ln(close) - lag(ln(close)) OVER (ORDER BY date) AS y FROM index_closes",
+        paired="SELECT ticker, count(*) AS n, covar_samp(x, y) / var_samp(y) AS beta, corr(x, y) AS correlation FROM (SELECT r.ticker, r.r AS x, i.y, row_number() OVER (PARTITION BY r.ticker ORDER BY r.date DESC) AS k FROM rets r JOIN iret i ON i.date = r.date WHERE r.r IS NOT NULL AND i.y IS NOT NULL) WHERE k <= 252 GROUP BY 1",
+    ),
+)(lambda s, d: fundamentals.market_context(bars(s, d), index_closes(s, d), bars(s, d).where("ticker = 'NO'").select("date", "close")))
+
+
+# ---- statistics ----------------------------------------------------------------------------
+
+
+def returns(s: SparkSession, d: str) -> DataFrame:
+    return forecasts.log_returns(bars(s, d))
+
+
+query("stat_normal_cdf")(lambda s, d: returns(s, d).where("r IS NOT NULL").select("ticker", "date", S.normal_cdf(C("r") / 0.01).alias("p")))
+query("stat_normal_logpdf", sql(f"SELECT ticker, date, {r8('-0.5 * ((r - 0.001) / 0.01) * ((r - 0.001) / 0.01) - ln(0.01) - 0.5 * ln(2 * pi()) AS y')} FROM rets"))(lambda s, d: returns(s, d).select("ticker", "date", S.normal_logpdf(C("r"), 0.001, 0.01).alias("y")))
+query("stat_unit_t_logpdf", sql(f"SELECT ticker, date, {r8(f'{S.t_constant(5.0)!r} - 3.0 * ln(1 + (r / 0.01) * (r / 0.01) / 3.0) AS y')} FROM rets"))(lambda s, d: returns(s, d).select("ticker", "date", S.unit_t_logpdf(C("r") / 0.01, 5.0).alias("y")))
+query("stat_chi_square_tail", sql(f"SELECT ticker, date, {r8('CASE WHEN v <= 0 THEN 1.0 ELSE exp(-v / 2) END AS p')} FROM (SELECT *, (r / 0.01) * (r / 0.01) AS v FROM rets) WHERE v IS NOT NULL"))(lambda s, d: returns(s, d).where("r IS NOT NULL").select("ticker", "date", S.chi_square_tail((C("r") / 0.01) * (C("r") / 0.01), 2).alias("p")))
+query("stat_chi_square_tail_five", sql(f"SELECT ticker, {r8('p')} FROM (SELECT ticker, 1.0 AS p FROM rets WHERE position = 0)"))(lambda s, d: returns(s, d).where("position = 0").select("ticker", S.chi_square_tail(F.lit(0.0), 5).alias("p")))
+MOMENTS = "SELECT ticker, count(r) AS n, avg(r) AS m, stddev_pop(r) AS sd FROM rets GROUP BY 1"
+CTES["shape"] = f"SELECT r.ticker, any_value(m.n) AS n, avg(((r.r - m.m) / m.sd) ** 3) AS skewness, avg(((r.r - m.m) / m.sd) ** 4) - 3 AS excess_kurtosis FROM rets r JOIN ({MOMENTS}) m ON m.ticker = r.ticker WHERE r.r IS NOT NULL GROUP BY 1"
+JB = "n / 6 * (skewness * skewness + excess_kurtosis * excess_kurtosis / 4)"
+query("stat_jarque_bera", sql(f"SELECT ticker, n, {r8('skewness', 'excess_kurtosis', JB + ' AS jb', f'exp(-({JB}) / 2) AS p_value')} FROM shape"))(lambda s, d: S.jarque_bera(returns(s, d), "r", ["ticker"]))
+query("stat_arch_lm", sql(f"SELECT ticker, count(*) AS n, {r8('count(*) * regr_r2(y, y1) AS lm')} FROM (SELECT ticker, r * r AS y, lag(r * r) OVER {W} AS y1 FROM rets WHERE r IS NOT NULL) WHERE y1 IS NOT NULL GROUP BY 1"))(lambda s, d: S.arch_lm_one(returns(s, d), "r", ["ticker"], "date"))
+query("stat_unit_root")(lambda s, d: S.unit_root(returns(s, d), "x", ["ticker"], "date"))
+query("stat_dickey_fuller_zero", sql(f"SELECT ticker, n, round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 5) + 0.0 AS statistic FROM (SELECT ticker, count(*) AS n, regr_slope(d, l) AS b, regr_sxx(d, l) AS sxx, regr_syy(d, l) AS syy FROM (SELECT ticker, lag(x) OVER {W} AS l, x - lag(x) OVER {W} AS d FROM rets) WHERE d IS NOT NULL GROUP BY 1)"))(lambda s, d: S.dickey_fuller_zero(returns(s, d), "x", ["ticker"], "date").withColumn("statistic", F.round("statistic", 5)))
+
+
+# ---- models and synthesis ------------------------------------------------------------------
+
+
+def gbm_fits(s: SparkSession, d: str) -> DataFrame:
+    return forecasts.origins(forecasts.gbm(returns(s, d)), FIRST, STEP, HORIZON)
+
+
+def samples(s: SparkSession, d: str) -> DataFrame:
+    """Deterministic forecasts of four stand-in models at each origin: GBM with scaled volatility."""
+    rows = gbm_fits(s, d).select("ticker", "date", "position", "realized", "drift", "volatility", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("scale")) for m, k in SCALES.items()])).alias("m"))
+    rows = rows.select("*", "m.*", F.explode(F.sequence(F.lit(1), F.lit(PATHS))).alias("path"))
+    name = F.concat_ws("|", F.lit("42"), "ticker", C("position").cast("string"), "model", C("path").cast("string"))
+    one = lambda k: (F.conv(F.substring(F.md5(F.concat(name, F.lit(k))), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+    value = HORIZON * C("drift") + math.sqrt(HORIZON) * C("volatility") * C("scale") * F.sqrt(-2 * F.ln(one("|u"))) * F.cos(2 * math.pi * one("|v"))
+    return rows.select("ticker", "date", "position", "model", "realized", F.round(value, 10).alias("value"))
+
+
+def records(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.score(samples(s, d), LEVELS)
+
+
+def regime_records(s: SparkSession, d: str) -> DataFrame:
+    return records(s, d).withColumns({"earnings_in_window": C("position") % 3 == 0, "turbulent_probability": F.when(C("position") % 50 < 25, 0.7).otherwise(0.2), "trending": F.when(C("position") % 4 != 0, (C("position") % 2).cast("double"))})
+
+
+ORIGIN8 = "ticker, date, position"
+query("model_gbm_fit", sql(f"SELECT {ORIGIN8}, {r8('drift', 'volatility')} FROM fits"))(lambda s, d: forecasts.gbm(returns(s, d)).select("ticker", "date", "position", "drift", "volatility"))
+DAY = "(drift + volatility * sqrt(-2 * ln((CAST('0x' || substr(md5('42|' || ticker || '|' || position || '|' || path || '|{k}|u'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)) * cos(2 * pi() * (CAST('0x' || substr(md5('42|' || ticker || '|' || position || '|' || path || '|{k}|v'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0))"
+query("model_gbm_paths", sql(f"SELECT ticker, date, position, path, {r8('realized', ' + '.join(f'greatest(ln(0.97), least(ln(1.03), {DAY.format(k=k)}))' for k in range(1, 6)) + ' AS value')} FROM origins, (SELECT unnest(range(1, 21)) AS path)"))(lambda s, d: forecasts.gbm_paths(gbm_fits(s, d), HORIZON, 20, 42, 0.03).select("ticker", "date", "position", "path", "realized", "value"))
+O_, A_, G_, B_ = GARCH
+query(
+    "model_garch_path",
+    sql(
+        f"SELECT ticker, date, position, {r8('e AS shock', 'v AS variance')} FROM path WHERE k > 0",
+        shocks=f"SELECT ticker, date, position, row_number() OVER {W} AS k, 100 * (r - avg(r) OVER (PARTITION BY ticker)) AS e FROM rets WHERE r IS NOT NULL",
+        path=f"SELECT ticker, CAST(NULL AS DATE) AS date, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS e, CAST({O_ / (1 - A_ - G_ / 2 - B_)!r} AS DOUBLE) AS v FROM (SELECT DISTINCT ticker FROM shocks) UNION ALL SELECT s.ticker, s.date, s.position, s.k, s.e, {O_} + ({A_} + CASE WHEN s.e < 0 THEN {G_} ELSE 0.0 END) * s.e * s.e + {B_} * p.v FROM path p JOIN shocks s ON s.ticker = p.ticker AND s.k = p.k + 1",
+    ),
+)(lambda s, d: forecasts.garch_path(returns(s, d), *GARCH))
+MERTON = (0.03, 0.8, 0.05, -0.2, 2.0)
+
+
+def _merton_sql(most: int = 8) -> str:
+    mu, sigma, lam, jm, js = MERTON
+    terms = [f"exp({-lam + n * math.log(lam) - math.lgamma(n + 1) - 0.5 * math.log(2 * math.pi * (sigma**2 + n * js**2))!r} - 0.5 * (v - ({mu + n * jm!r})) * (v - ({mu + n * jm!r})) / {sigma**2 + n * js**2!r})" for n in range(most + 1)]
+    return "ln(" + " + ".join(terms) + ")"
+
+
+query("model_merton_logpdf", sql(f"SELECT ticker, date, {r8(_merton_sql() + ' AS y')} FROM (SELECT *, 100 * r AS v FROM rets)"))(lambda s, d: returns(s, d).select("ticker", "date", forecasts.merton_logpdf(100 * C("r"), *MERTON, 8).alias("y")))
+query("model_reaction_days", sql("SELECT ticker, date FROM reacting"))(lambda s, d: forecasts.reaction_days(earnings(s, d), bars(s, d).select("ticker", "date"), "Asia/Kolkata", "15:30"))
+
+
+def reactions(s: SparkSession, d: str) -> DataFrame:
+    return forecasts.reaction_days(earnings(s, d), bars(s, d).select("ticker", "date"), "Asia/Kolkata", "15:30")
+
+
+CTES["multiplier"] = "SELECT r.ticker, count(d.date) AS events, CASE WHEN count(d.date) >= 8 THEN greatest(avg((r.r - m.m) ** 2) FILTER (d.date IS NOT NULL) / avg((r.r - m.m) ** 2) FILTER (d.date IS NULL), 1.0) END AS multiplier FROM rets r JOIN (SELECT ticker, avg(r) AS m FROM rets GROUP BY 1) m ON m.ticker = r.ticker LEFT JOIN reacting d ON d.ticker = r.ticker AND d.date = r.date WHERE r.r IS NOT NULL GROUP BY 1"
+query("model_earnings_multiplier", sql(f"SELECT ticker, events, {r8('multiplier')} FROM multiplier"))(lambda s, d: forecasts.earnings_multiplier(returns(s, d), reactions(s, d), 8))
+query("model_horizon_multipliers", sql("SELECT b.ticker, b.date, round(CASE WHEN d.date IS NOT NULL AND m.multiplier IS NOT NULL THEN sqrt(m.multiplier) ELSE 1.0 END, 8) + 0.0 AS scale FROM bars b LEFT JOIN reacting d ON d.ticker = b.ticker AND d.date = b.date LEFT JOIN multiplier m ON m.ticker = b.ticker"))(lambda s, d: forecasts.horizon_multipliers(bars(s, d).select("ticker", "date"), reactions(s, d), forecasts.earnings_multiplier(returns(s, d), reactions(s, d), 8)))
+OU = "SELECT ticker, b, a, sqrt((syy - b * b * sxx) / (n - 2)) AS sd, a / nullif(1 - b, 0) AS level, last FROM (SELECT ticker, regr_slope(now, before) AS b, regr_intercept(now, before) AS a, regr_sxx(now, before) AS sxx, regr_syy(now, before) AS syy, count(before) AS n, max_by(now, position) AS last FROM (SELECT ticker, position, x AS now, lag(x) OVER (PARTITION BY ticker ORDER BY date) AS before FROM rv) GROUP BY 1)"
+REV = {
+    "rn": "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM zed",
+    "rx": "SELECT *, pow(0.97, (k - 1) % 2000) * sum(0.01 * z * pow(0.97, -((k - 1) % 2000))) OVER (PARTITION BY ticker, (k - 1) // 2000 ORDER BY date) AS lx FROM rn",
+    "rv": "SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS position, ln(round(100 * exp(lx), 4)) AS x FROM rx",
+}
+OK = "b > 0 AND b < 1"
+query("model_ornstein_uhlenbeck", sql("SELECT ticker, " + ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in {"persistence": "b", "intercept": f"CASE WHEN {OK} THEN a END", "residual_volatility": f"CASE WHEN {OK} THEN sd END", "half_life": f"CASE WHEN {OK} THEN ln(2) / -ln(b) END", "long_run_price": f"CASE WHEN {OK} THEN exp(level) END", "daily_drift": f"CASE WHEN {OK} THEN (level - last) * (1 - pow(b, 5)) / 5 END"}.items()) + f" FROM ({OU})", **REV))(lambda s, d: forecasts.ornstein_uhlenbeck(forecasts.log_returns(fixtures.rev_bars(s, d)), 5).select("ticker", *[F.round(c, 6).alias(c) for c in ("persistence", "intercept", "residual_volatility", "half_life", "long_run_price", "daily_drift")]))
+query("syn_forward_returns", sql(f"SELECT ticker, date, {r8('realized AS forward')} FROM fits"))(lambda s, d: returns(s, d).select("ticker", "date", forecasts.forward_return(HORIZON).alias("forward")))
+query("syn_drift_prior", sql(f"SELECT ticker, {r8('(0.10 + bias * 0.03 * confidence) * 5 / 248 AS mean', '0.2 * 5 / 248 + 0.0 * bias AS sd')} FROM assessed"))(lambda s, d: fundamentals.fair_value(scores(s, d), FUND).select("ticker", forecasts.drift_prior(0.10 + C("annual_drift_tilt"), 0.2, 5, 248)[0].alias("mean"), F.lit(forecasts.drift_prior(0.1, 0.2, 5, 248)[1]).alias("sd")))
+query("syn_next_trading_days", sql("SELECT ticker, step, date FROM (SELECT ticker, CAST(date AS DATE) AS date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS step FROM (SELECT ticker, unnest(generate_series(max(date) + INTERVAL 1 DAY, max(date) + INTERVAL 14 DAY, INTERVAL 1 DAY)) AS date FROM bars GROUP BY 1) WHERE isodow(date) <= 5) WHERE step <= 5"))(lambda s, d: forecasts.next_trading_days(bars(s, d).groupBy("ticker").agg(F.max("date").alias("date")), 5))
+LAST = f"(SELECT ticker, max(position) AS position FROM origins GROUP BY 1)"
+PRICE = "".join(f", round(c * exp(quantile_cont(value, {(1 - v) / 2})), 6) + 0.0 AS low_{round(100 * v)}, round(c * exp(quantile_cont(value, {1 - (1 - v) / 2})), 6) + 0.0 AS high_{round(100 * v)}" for v in LEVELS)
+MOVES = "".join(f", round(avg(CASE WHEN value > ln(1 + {t}) THEN 1.0 ELSE 0.0 END), 8) AS p_rise_{round(100 * t)}, round(avg(CASE WHEN value <= ln(1 - {t}) THEN 1.0 ELSE 0.0 END), 8) AS p_fall_{round(100 * t)}" for t in (0.02, 0.05))
+query("syn_price_summary", sql(f"SELECT s.ticker, any_value(c) AS close, round(any_value(c) * exp(quantile_cont(value, 0.5)), 6) + 0.0 AS median_price{PRICE.replace('round(c *', 'round(any_value(c) *')}, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END), 8) AS p_up{MOVES} FROM samples s JOIN {LAST} l ON l.ticker = s.ticker AND l.position = s.position JOIN lastbar b ON b.ticker = s.ticker WHERE model = 'engine' GROUP BY 1"))(lambda s, d: _price_summary(s, d))
+
+
+def _price_summary(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("ticker")
+    last = samples(s, d).where("model = 'engine'").withColumn("top", F.max("position").over(w)).where("position = top")
+    closes = bars(s, d).groupBy("ticker").agg(F.max_by("close", "date").alias("close"))
+    out = forecasts.price_summary(last, closes, LEVELS, [0.02, 0.05])
+    return out.select("ticker", "close", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(("low", "high", "median"))], *[c for c in out.columns if c.startswith("p_")])
+
+
+# ---- backtest and evaluation ---------------------------------------------------------------
+
+query("bt_origins", sql(f"SELECT ticker, date, position, CAST(floor((position - {FIRST}) / 25) AS BIGINT) AS refit, {r8('realized')} FROM origins"))(lambda s, d: gbm_fits(s, d).select("ticker", "date", "position", forecasts.refit_of(C("position"), FIRST, 5, 21).alias("refit"), "realized"))
+HITS = ", ".join(evaluate.level_name(v) for v in LEVELS)
+query("eval_score_forecasts", sql(f"SELECT ticker, date, position, model, {r8('realized', 'crps', 'pit', 'p_up', 'brier')}, {HITS} FROM records"))(records)
+query("eval_central_interval", sql(f"SELECT ticker, date, position, model, {r8('quantile_cont(value, 0.05) AS low', 'quantile_cont(value, 0.95) AS high')} FROM samples GROUP BY 1, 2, 3, 4"))(lambda s, d: evaluate.central_interval(samples(s, d), 0.9, evaluate.ORIGIN))
+query("eval_reliability", sql("SELECT ticker, model, CAST(bin AS INTEGER) AS bin, round(avg(p_up), 8) AS forecast, round(avg(CASE WHEN realized > 0 THEN 1.0 ELSE 0.0 END), 8) AS frequency, count(*) AS size, round(2 * sqrt(greatest(avg(p_up) * (1 - avg(p_up)), 1e-6) / count(*)), 8) AS tolerance FROM (SELECT *, CASE WHEN k = 1 THEN 0 ELSE ceil((k - 1) * 2.0 / (n - 1)) - 1 END AS bin FROM (SELECT *, row_number() OVER (PARTITION BY ticker, model ORDER BY p_up, date) AS k, count(*) OVER (PARTITION BY ticker, model) AS n FROM records)) GROUP BY 1, 2, 3"))(lambda s, d: evaluate.reliability(records(s, d)))
+query("eval_interval_calibration", sql("SELECT ticker, model, CAST(level AS DOUBLE) AS level, round(avg(CASE WHEN abs(pit - 0.5) <= level / 2 THEN 1.0 ELSE 0.0 END), 8) AS observed, count(*) AS n, round(2 * sqrt(level * (1 - level) / count(*)), 8) AS tolerance FROM records, (SELECT CAST(unnest([" + ", ".join(map(str, evaluate.LEVELS)) + "]) AS DOUBLE) AS level) GROUP BY ticker, model, level"))(lambda s, d: evaluate.interval_calibration(records(s, d)))
+query("eval_pit_histogram", sql("SELECT e.ticker, e.model, CAST(e.bin AS INTEGER) AS bin, round(coalesce(c.c, 0) / e.n, 8) AS share FROM (SELECT ticker, model, count(*) AS n, unnest(range(0, 10)) AS bin FROM records GROUP BY 1, 2) e LEFT JOIN (SELECT ticker, model, least(floor(pit * 10), 9) AS bin, count(*) AS c FROM records GROUP BY 1, 2, 3) c ON c.ticker = e.ticker AND c.model = e.model AND c.bin = e.bin"))(lambda s, d: evaluate.pit_histogram(records(s, d)))
+SKILL = "round(1 - avg(crps) / avg(b_crps), 8) + 0.0 AS crps_skill"
+query("eval_segments", sql(f"SELECT ticker, segment, count(*) AS forecasts, {SKILL}, round(avg(CAST(hit_90 AS DOUBLE)), 8) AS coverage_90, round(1 - avg(brier) / avg(b_brier), 8) + 0.0 AS brier_skill FROM (SELECT *, unnest([CASE WHEN turbulent_probability > 0.5 THEN 'turbulent regime (HMM)' ELSE 'calm regime (HMM)' END, CASE WHEN trending = 1 THEN 'trending (ADX)' WHEN trending = 0 THEN 'ranging (ADX)' END, CASE WHEN earnings_in_window THEN 'earnings in window' ELSE 'no earnings in window' END, CAST(year(date) AS VARCHAR)]) AS segment FROM regimes WHERE model = 'engine') WHERE segment IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5"))(lambda s, d: evaluate.segments(regime_records(s, d)))
+query("eval_worst_misses", sql(f"SELECT ticker, rank, date, {r8('exp(realized) - 1 AS realized_return', 'pit')} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(pit - 0.5) DESC, date) AS rank FROM records WHERE model = 'engine') WHERE rank <= 5"))(lambda s, d: evaluate.worst_misses(records(s, d)))
+query("eval_tail_miss_rate", sql("SELECT ticker, round(1 - avg(CAST(hit_95 AS DOUBLE)), 8) AS tail_miss_rate FROM records WHERE model = 'engine' GROUP BY 1"))(lambda s, d: evaluate.tail_miss_rate(records(s, d)))
+COVER = ", ".join(f"round(avg(CAST(hit_{round(100 * v)} AS DOUBLE)), 8) AS coverage_{round(100 * v)}" for v in LEVELS)
+query("eval_compare_models", sql(f"SELECT ticker, model, count(*) AS forecasts, round(avg(crps), 8) AS mean_crps, {SKILL}, round(avg(brier), 8) AS brier, round(1 - avg(brier) / avg(b_brier), 8) + 0.0 AS brier_skill, {COVER} FROM beside GROUP BY 1, 2"))(lambda s, d: evaluate.skills(records(s, d), LEVELS))
+query("eval_compare_models_tests")(lambda s, d: evaluate.compare_models(records(s, d), LEVELS))
+KS = "SELECT ticker, model, max(n) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY ticker, model ORDER BY pit) AS i, count(*) OVER (PARTITION BY ticker, model) AS n FROM records) GROUP BY 1, 2"
+query("stat_ks_uniform", sql(f"SELECT ticker, model, n, {r8('distance', 'least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * s * s))))) AS p_value')} FROM (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * distance AS s FROM ({KS}))"))(lambda s, d: S.ks_uniform(records(s, d), "pit", ["ticker", "model"]))
+DM = "SELECT ticker, model, date, d, d - avg(d) OVER (PARTITION BY ticker, model) AS c FROM (SELECT *, crps - b_crps AS d FROM beside WHERE model <> 'gbm')"
+query("stat_diebold_mariano", sql(f"SELECT ticker, model, n, {r8('m AS mean_difference', 'CASE WHEN lrv > 0 THEN m / sqrt(lrv / n) * sqrt((n - 3 + 2 / n) / n) ELSE 0.0 END AS statistic')} FROM (SELECT ticker, model, count(*) AS n, avg(d) AS m, avg(c * c) + coalesce(sum(c * c1), 0) / count(*) AS lrv FROM (SELECT *, lag(c) OVER (PARTITION BY ticker, model ORDER BY date) AS c1 FROM ({DM})) GROUP BY 1, 2)"))(lambda s, d: S.diebold_mariano(evaluate.beside(records(s, d)).where("model != 'gbm'"), "crps", "b_crps", ["ticker", "model"], "date", with_p=False))
+query("eval_coverage_tolerance", sql("SELECT ticker, round(2 * sqrt(0.9 * 0.1 / count(*)), 8) AS tolerance FROM records WHERE model = 'engine' GROUP BY 1"))(lambda s, d: records(s, d).where("model = 'engine'").groupBy("ticker").agg(evaluate.coverage_tolerance(F.lit(0.9), F.count(F.lit(1))).alias("tolerance")))
+query("eval_base_rate_brier", sql("SELECT ticker, round(avg((rate - up) ** 2), 8) AS base_rate_brier FROM (SELECT ticker, up, coalesce(avg(up) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) AS rate FROM (SELECT ticker, date, CASE WHEN realized > 0 THEN 1.0 ELSE 0.0 END AS up FROM records WHERE model = 'engine')) GROUP BY 1"))(lambda s, d: evaluate.base_rate_brier(records(s, d)))
+PER_YEAR = 248 / 5
+RISK_FREE = 1.065 ** (1 / PER_YEAR) - 1
+RULE = {
+    "held": "SELECT ticker, date, exp(realized) - 1 AS stock, CASE WHEN p_up >= 0.55 THEN 1 ELSE 0 END AS i FROM records WHERE model = 'engine'",
+    "switched": "SELECT *, abs(i - coalesce(lag(i) OVER (PARTITION BY ticker ORDER BY date), 0)) AS sw FROM held",
+    "ruled": f"SELECT ticker, date, 'rule' AS strategy, CASE WHEN i = 1 THEN stock ELSE {RISK_FREE!r} END - sw * 0.0025 / 2 AS r, stock, i, sw FROM switched UNION ALL SELECT ticker, date, 'buy_and_hold', stock, stock, 1, 0 FROM switched",
+    "wealth": "SELECT *, sum(ln(1 + r)) OVER (PARTITION BY ticker, strategy ORDER BY date) AS lw FROM ruled",
+    "peaked": "SELECT *, max(lw) OVER (PARTITION BY ticker, strategy ORDER BY date) AS top FROM wealth",
+    "performed": f"SELECT ticker, strategy, exp(sum(ln(1 + r)) * {PER_YEAR} / count(*)) - 1 AS annual_return, stddev_samp(r) * sqrt({PER_YEAR}) AS annual_volatility, CASE WHEN stddev_samp(r) > 0 THEN (avg(r) - {RISK_FREE!r}) / stddev_samp(r) * sqrt({PER_YEAR}) ELSE 0.0 END AS sharpe_ratio, min(exp(lw - top) - 1) AS max_drawdown, exp(sum(ln(1 + r))) - 1 - CASE WHEN strategy = 'rule' THEN 0 ELSE 0.0025 END AS total_return, avg(CAST(i AS DOUBLE)) AS share_invested, CASE WHEN strategy = 'rule' THEN sum(sw) ELSE 1 END AS trades, CASE WHEN strategy = 'rule' THEN avg(CASE WHEN stock > 0 THEN 1.0 ELSE 0.0 END) FILTER (i = 1) END AS hit_rate FROM peaked GROUP BY 1, 2",
+}
+PERF = r8("annual_return", "annual_volatility", "sharpe_ratio", "max_drawdown", "total_return", "share_invested", "hit_rate")
+query("eval_long_only_rule", sql(f"SELECT ticker, strategy, CAST(trades AS BIGINT) AS trades, {PERF} FROM performed", **RULE))(lambda s, d: evaluate.long_only_rule(records(s, d), SETTINGS))
+query("eval_performance", sql(f"SELECT ticker, {r8('annual_return', 'annual_volatility', 'sharpe_ratio', 'max_drawdown', 'total_return + 0.0025 AS total_return')} FROM performed WHERE strategy = 'buy_and_hold'", **RULE))(lambda s, d: evaluate.performance(records(s, d).where("model = 'engine'").withColumn("stock", F.expm1("realized")), "stock", PER_YEAR, RISK_FREE))
+query("bt_chosen_models", sql("SELECT ticker, date, position, coalesce(best, CASE WHEN has THEN 'garch_t' ELSE 'gbm' END) AS chosen FROM (SELECT ticker, date, position, arg_min(model, m * 1000000 + k) FILTER (known >= 20) AS best, bool_or(model = 'garch_t') AS has FROM (SELECT *, count(crps) OVER w AS known, avg(crps) OVER w AS m, CASE model WHEN 'gbm' THEN 1 WHEN 'garch_t' THEN 2 ELSE 4 END * 1e-9 AS k FROM records WHERE model <> 'engine' WINDOW w AS (PARTITION BY ticker, model ORDER BY position RANGE BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING)) GROUP BY 1, 2, 3)"))(lambda s, d: evaluate.chosen_models(records(s, d), 5, 20, "garch_t"))
+query("syn_best_model", sql("SELECT ticker, arg_min(model, m) AS chosen FROM (SELECT ticker, model, avg(crps) AS m FROM records WHERE model <> 'engine' GROUP BY 1, 2) GROUP BY 1"))(lambda s, d: evaluate.best_model(evaluate.skills(records(s, d), LEVELS), "garch_t"))
+query("out_verdicts")(lambda s, d: evaluate.verdicts(evaluate.compare_models(records(s, d), LEVELS), evaluate.long_only_rule(records(s, d), SETTINGS), SETTINGS))

@@ -49,7 +49,7 @@ def walk_bars(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFram
 def rev_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log price falls back to its mean by 3 % a day."""
     order = Window.partitionBy("ticker").orderBy("date")
-    numbered = daily(spark, sf_dir).withColumn("i", F.row_number().over(order) % 2000)
+    numbered = daily(spark, sf_dir).withColumn("i", (F.row_number().over(order) - 1) % 2000)
     keep = 0.97
     part = Window.partitionBy("ticker", "block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     numbered = numbered.withColumn("block", F.floor((F.row_number().over(order) - 1) / 2000))
