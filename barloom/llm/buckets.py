@@ -1,9 +1,12 @@
 """Components of items that share buckets, without expanding a bucket into all its pairs.
 
 In the first round each member of a bucket is compared with one pivot, another in each bucket;
-in the second, only members that are still in another component than most of their bucket are
-compared with the members of other components. Members of one component need no further link
-between them, and every pair that shares a bucket and is in two components is compared.
+the likeliest of these pairs are proved first, the others only where they still join two
+components. In the second round only members that are in another component than most of their
+bucket are left: where that main component is large, such a member is held against the component
+as a whole, in one join that puts out true links alone; else against the members of other
+components in the bucket. Members of one component need no further link between them, and every
+pair that shares a bucket and is in two components is compared.
 """
 
 from __future__ import annotations
@@ -13,29 +16,46 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, release
 
 #: Pairs of each member that are proved first.
 LIKELY = 4
+#: Members of a bucket's main component beyond which outsiders are held against the whole component.
+LARGE = 16
 
 
-def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], distance: Callable[[Column, Column], Column], confirmed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], distance: Callable[[Column, Column], Column], heavy_of: Callable[[DataFrame], DataFrame], exact: Callable[[Column, Column], Column]) -> DataFrame:
     """Components (id, component) of `items` (id, keys array<long>, light), ids unique and not null.
 
     `alike` tells from the light columns of two items whether the pair is worth a proof, and must
-    hold for every true pair; `distance` orders pairs, likely ones first; `confirmed` keeps the
-    true ones of pairs (a, b). Items without a link may be missing from the result.
+    hold for every true pair; `distance` orders pairs, likely ones first. `heavy_of` gives (id,
+    heavy) for the ids of a table (id), `exact` tells true pairs by their heavy columns. Items
+    without a link may be missing from the result.
     """
     posted = items.select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = posted.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    bucketed = cut(posted.join(shared.select("key", F.col("p.id").alias("pivot")), "key"))
+    # The pivot is the member whose id is smallest after its bits are flipped by the key's hash.
+    flipped = F.col("id").bitwiseXOR(F.xxhash64("key"))
+    shared = posted.groupBy("key").agg(F.min(flipped).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    bucketed = cut(posted.join(shared.select("key", F.col("p").bitwiseXOR(F.xxhash64("key")).alias("pivot")), "key"), 500_000)
+    del posted, shared
+    release(items.sparkSession)
     light = items.select("id", "light")
     lit_up = lambda side: light.select(F.col("id").alias(side), F.col("light").alias(f"l_{side}"))
     la, lb = F.col("l_a"), F.col("l_b")
 
+    def weighed(ids: DataFrame) -> DataFrame:
+        return cut(heavy_of(ids.distinct()).select("id", "heavy"), 5_000)
+
+    def side(heavy: DataFrame, name: str) -> DataFrame:
+        return heavy.select(F.col("id").alias(name), F.col("heavy").alias(f"h_{name}"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        heavy = weighed(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+        return pairs.join(side(heavy, "a"), "a").join(side(heavy, "b"), "b").where(exact(F.col("h_a"), F.col("h_b"))).select("a", "b")
+
     def between(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""
-        part = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
+        part = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
         named = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
         return named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
 
@@ -52,14 +72,32 @@ def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], di
     in_part = cut(bucketed.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")))
     mixed = in_part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
     rest = cut(in_part.join(mixed, "key"))
-    most = rest.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    rest = cut(rest.join(most, "key").join(items.select("id", "light", F.col("keys")), "id"))
-    outside = rest.where("part != main").select("key", F.col("id").alias("a"), F.col("part").alias("a_part"), F.col("light").alias("l_a"), F.col("keys").alias("k_a"))
-    inside = rest.select("key", "main", F.col("id").alias("b"), F.col("part").alias("b_part"), F.col("light").alias("l_b"), F.col("keys").alias("k_b"))
-    # A pair is looked at in the first of the buckets that it shares.
-    first_shared = F.array_min(F.array_intersect("k_a", "k_b")) == F.col("key")
-    pairs = outside.join(inside, "key").where((F.col("b_part") != F.col("a_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(la, lb) & first_shared)
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = cut(confirmed(pairs))
+    most = rest.groupBy("key", "part").count().groupBy("key").agg(F.max(F.struct("count", "part")).alias("m")).select("key", F.col("m.part").alias("main"), (F.col("m.count") > LARGE).alias("large"))
+    rest = cut(rest.join(most, "key"))
+    more = cut(against_parts(rest, label, light, weighed, side, alike, exact).union(confirmed(against_members(rest, items, alike, star))))
     return components(links.union(more)) if more.limit(1).count() else label
+
+
+def against_members(rest: DataFrame, items: DataFrame, alike, star: DataFrame) -> DataFrame:
+    """Pairs of an outsider with the members of other components in its bucket, less those of a
+    large main component."""
+    full = rest.where("part != main OR NOT large").join(items.select("id", "light", "keys"), "id")
+    outside = full.where("part != main").select("key", F.col("id").alias("a"), F.col("part").alias("a_part"), F.col("light").alias("l_a"), F.col("keys").alias("k_a"))
+    inside = full.select("key", "main", F.col("id").alias("b"), F.col("part").alias("b_part"), F.col("light").alias("l_b"), F.col("keys").alias("k_b"))
+    # A pair is looked at in the first of the buckets that it shares: there it is held together
+    # here, or one of the two is in a large main component and the other is held against that.
+    once = F.array_min(F.array_intersect("k_a", "k_b")) == F.col("key")
+    pairs = outside.join(inside, "key").where((F.col("b_part") != F.col("a_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(F.col("l_a"), F.col("l_b")) & once)
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+
+
+def against_parts(rest: DataFrame, label: DataFrame, light: DataFrame, weighed, side, alike, exact) -> DataFrame:
+    """Links of outsiders with the members of a large main component."""
+    outsiders = cut(rest.where("part != main AND large").select(F.col("id").alias("a"), F.col("main").alias("part")).distinct())
+    members = cut(label.select(F.col("component").alias("part"), F.col("id").alias("b")).join(outsiders.select("part").distinct(), "part", "left_semi"))
+    heavy = weighed(outsiders.select(F.col("a").alias("id")).union(members.select(F.col("b").alias("id"))))
+    low = lambda end: light.select(F.col("id").alias(end), F.col("light").alias(f"l_{end}"))
+    a = outsiders.join(low("a"), "a").join(side(heavy, "a"), "a")
+    b = members.join(low("b"), "b").join(side(heavy, "b"), "b")
+    return a.join(b, "part").where(alike(F.col("l_a"), F.col("l_b")) & exact(F.col("h_a"), F.col("h_b"))).select("a", "b")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, *, keep_partitions: bool = True) -> DataFrame:
-    """Reliable checkpoint in the shared folder: cuts lineage and survives lost executors.
-
-    The rows are computed once: they are held on the executors' disks only while the
-    checkpoint files are written.
-    """
+def cut(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Reliable checkpoint in the shared folder: cuts lineage and survives lost executors. It is
+    read back in parts of about `rows` rows, if it was written in more, so that a small table does
+    not drag a large table's partitions through later shuffles."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    parts = max(8, -(-out.count() // rows))
+    return out.coalesce(parts) if parts < out.rdd.getNumPartitions() else out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect garbage: Spark then removes shuffle and checkpoint files of tables
+    that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -51,20 +58,17 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     spark = edges.sparkSession
     e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u != v")
     both = cut(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    parent = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("p"))
-    parent = cut(parent)
+    parts = both.rdd.getNumPartitions()
+    small = lambda df: df.coalesce(parts)
+    parent = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("p")))
     while True:
-        near = both.join(parent.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("p").alias("m"))
-        moved = parent.join(near, "id").select("id", "p", F.least("p", "m").alias("m"))
-        hooked = moved.select("id", "m").union(moved.select(F.col("p").alias("id"), "m")).groupBy("id").agg(F.min("m").alias("p"))
+        near = small(both.join(parent.withColumnRenamed("id", "u"), "u")).groupBy(F.col("v").alias("id")).agg(F.min("p").alias("m"))
+        moved = small(parent.join(near, "id")).select("id", "p", F.least("p", "m").alias("m"))
+        hooked = small(moved.select("id", "m").union(moved.select(F.col("p").alias("id"), "m")).groupBy("id").agg(F.min("m").alias("p")))
         up = hooked.select(F.col("id").alias("p"), F.col("p").alias("g"))
-        jumped = hooked.join(up, "p").select("id", F.col("g").alias("p"))
-        after = cut(jumped)
+        after = cut(hooked.join(up, "p").select("id", F.col("g").alias("p")))
         changed = after.join(parent.withColumnRenamed("p", "was"), "id").where("p != was").limit(1).count()
         parent = after
+        release(spark)
         if not changed:
             return parent.select("id", F.col("p").alias("component"))
-
-
-def hold(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.DISK_ONLY)

@@ -5,10 +5,7 @@ a parity bitmap (an odd sketch): the population count of two bitmaps' XOR estima
 equal samples precisely where similarity is high, so most false candidates go without their full
 sets being fetched. What is left is confirmed on full shingle sets. Chosen links make components.
 
-No bucket is expanded into all its pairs. Copies of one set collapse first. In the first round
-each member of a bucket is compared with the bucket's smallest member; in the second, only members
-that are still in another component than most of their bucket are compared with the members of
-other components. Members of one component need no further link between them.
+Copies of one set collapse first; no bucket is expanded into all its pairs (see buckets).
 """
 
 from __future__ import annotations
@@ -19,13 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .buckets import joined_parts
+from .common import cut, release
 
 BANDS, ROWS = 40, 5
-SKETCH_WORDS = 8  # of 64 bits
+SKETCH_WORDS = 16  # of 64 bits
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: a public 64-bit finaliser
 
 
@@ -98,15 +96,15 @@ class MinHash:
         return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def sketch_limit(similarity: float, samples: int, bits: int, sigmas: float = 6.0) -> int:
-    """XOR population count that a pair of the given similarity exceeds with probability under
-    1e-9: six standard deviations above its mean. The deviation has two independent parts, the
+def sketch_limit(similarity: float, samples: int, bits: int, sigmas: float = 4.75) -> int:
+    """XOR population count that a pair of the given similarity exceeds with probability about
+    1e-6: so many standard deviations above its mean. The deviation has two independent parts, the
     number of unequal samples (binomial) and how their two flips each fall on the bits."""
     flips = 2 * samples * (1 - similarity)
     mean = bits / 2 * (1 - (1 - 2 / bits) ** flips)
     slope = 2 * (1 - 2 / bits) ** flips
-    variance = slope**2 * samples * similarity * (1 - similarity) + bits / 4 * (1 - (1 - 4 / bits) ** flips)
-    return math.ceil(mean + sigmas * math.sqrt(variance))
+    falls = bits / 4 * (1 - (1 - 4 / bits) ** flips) + bits**2 / 4 * ((1 - 4 / bits) ** flips - (1 - 2 / bits) ** (2 * flips))
+    return math.ceil(mean + sigmas * math.sqrt(slope**2 * samples * similarity * (1 - similarity) + max(0.0, falls)))
 
 
 def signatures(docs: DataFrame, *, size: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -149,56 +147,49 @@ def near_copies(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, band
     Returns for each row: the id, n_shingles long, component_id (smallest id reachable over links,
     itself included), kept boolean (the id is its component_id). Rows with null, empty or blank
     text have no shingles and are linked with nothing. A row with a null id is linked with nothing
-    and kept, its component_id null. Rows that repeat an id are one node: each gets the same
-    component. Ties go to the smallest id. An empty table gives an empty table. Other columns are
+    and kept, its component_id null. Rows that repeat an id are one node, which has the
+    links of all their texts: each gets the same component. Ties go to the smallest id. An empty table gives an empty table. Other columns are
     not read, whatever their names.
 
     A pair at the threshold shares no bucket with probability (1 - s**rows)**bands, 1.3e-7 with the
-    defaults, less above it; a true pair fails the sketch test with probability under 1e-8.
+    defaults, less above it; it fails the sketch test with probability about 1e-6, less above it.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    sig = cut(signatures(docs, size=size, bands=bands, rows=rows, id_col=id_col, text_col=text_col))
+    sig = cut(signatures(docs, size=size, bands=bands, rows=rows, id_col=id_col, text_col=text_col), 20_000)
     usable = sig.where("set_hash IS NOT NULL AND id IS NOT NULL")
-    sets = cut(usable.groupBy("set_hash").agg(F.min("id").alias("id"), F.min_by(F.struct("n_shingles", "keys", "sketch"), "id").alias("s")).select("set_hash", "id", "s.*"))
-    posted = sets.select("id", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    bucketed = cut(posted.join(shared.select("key", "pivot"), "key"))
+    sets = cut(usable.groupBy("set_hash").agg(F.min("id").alias("id"), F.min_by(F.struct("n_shingles", "keys", "sketch"), "id").alias("s")).select("set_hash", "id", "s.*"), 20_000)
+    release(spark)
     limit = sketch_limit(similarity, bands * rows, 64 * SKETCH_WORDS)
     percent = round(similarity * 1_000_000)
-    sketches = sets.select("id", "n_shingles", "sketch")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that the sketches leave and full sets confirm."""
-        a = sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
-        b = sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
-        differing = sum((F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
-        sized = F.least("n_a", "n_b") * F.lit(1_000_000) >= F.greatest("n_a", "n_b") * F.lit(percent)
-        left = cut(pairs.join(a, "a").join(b, "b").where(sized & (differing <= limit)).select("a", "b"))
-        needed = left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(needed, "id", "left_semi")
-        full = cut(shingle_sets(texts, size=size, id_col="id", text_col=text_col))
-        full_a, full_b = full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), full.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y")).cast("long")
-        union = F.size("x") + F.size("y") - both
-        return left.join(full_a, "a").join(full_b, "b").where(both * 1_000_000 >= union * percent).select("a", "b")
-
-    star = bucketed.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(confirmed(star))
-    label = components(links)
-    # Members whose component differs from the one that most of their bucket has.
-    in_part = cut(bucketed.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")))
-    mixed = in_part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
-    rest = cut(in_part.join(mixed, "key"))
-    counts = rest.groupBy("key", "part").count()
-    most = counts.groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    rest = cut(rest.join(most, "key"))
-    outside = rest.where("part != main").select("key", F.col("id").alias("o"), F.col("part").alias("o_part"))
-    pairs = outside.join(rest, "key").where("part != o_part AND (part = main OR o < id)")
-    pairs = pairs.select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(confirmed(pairs))
-    if more.limit(1).count():
-        label = components(links.union(more))
+
+    def differing(a: Column, b: Column) -> Column:
+        return sum((F.bit_count(a["sketch"][k].bitwiseXOR(b["sketch"][k])) for k in range(SKETCH_WORDS)), F.lit(0))
+
+    def alike(a: Column, b: Column) -> Column:
+        sized = F.least(a["n_shingles"], b["n_shingles"]) * F.lit(1_000_000) >= F.greatest(a["n_shingles"], b["n_shingles"]) * F.lit(percent)
+        return sized & (differing(a, b) <= limit)
+
+    def heavy_of(ids: DataFrame) -> DataFrame:
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(ids, "id", "left_semi")
+        return shingle_sets(texts, size=size, id_col="id", text_col=text_col).select("id", F.col("shingles").alias("heavy"))
+
+    def exact(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b)).cast("long")
+        return both * 1_000_000 >= (F.size(a) + F.size(b) - both) * percent
+
+    items = sets.select("id", "keys", F.struct("n_shingles", "sketch").alias("light"))
+    label = joined_parts(items, alike, differing, heavy_of, exact)
     named = sets.select("set_hash", "id").join(label, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     out = sig.join(named, "set_hash", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.col("component_id").cast(kind).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows less near copies: of each group the row with the smallest id stays. Of rows
+    that repeat an id, the one with the smallest text stays. Rows with null ids stay."""
+    groups = near_copies(docs, size=size, similarity=similarity, id_col=id_col, text_col=text_col)
+    ids = groups.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(ids, F.col(f"`{id_col}`") == F.col("__kept"), "left_semi")
+    first = named.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))).where("__nth = 1").drop("__nth")
+    return first.unionByName(docs.where(F.col(id_col).isNull()))
