@@ -468,3 +468,37 @@ query("eval_performance", sql(f"SELECT ticker, {r8('annual_return', 'annual_vola
 query("bt_chosen_models", sql("SELECT ticker, date, position, coalesce(best, CASE WHEN has THEN 'garch_t' ELSE 'gbm' END) AS chosen FROM (SELECT ticker, date, position, arg_min(model, m * 1000000 + k) FILTER (known >= 20) AS best, bool_or(model = 'garch_t') AS has FROM (SELECT *, count(crps) OVER w AS known, avg(crps) OVER w AS m, CASE model WHEN 'gbm' THEN 1 WHEN 'garch_t' THEN 2 ELSE 4 END * 1e-9 AS k FROM records WHERE model <> 'engine' WINDOW w AS (PARTITION BY ticker, model ORDER BY position RANGE BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING)) GROUP BY 1, 2, 3)"))(lambda s, d: evaluate.chosen_models(records(s, d), 5, 20, "garch_t"))
 query("syn_best_model", sql("SELECT ticker, arg_min(model, m) AS chosen FROM (SELECT ticker, model, avg(crps) AS m FROM records WHERE model <> 'engine' GROUP BY 1, 2) GROUP BY 1"))(lambda s, d: evaluate.best_model(evaluate.skills(records(s, d), LEVELS), "garch_t"))
 query("out_verdicts")(lambda s, d: evaluate.verdicts(evaluate.compare_models(records(s, d), LEVELS), evaluate.long_only_rule(records(s, d), SETTINGS), SETTINGS))
+
+
+# ---- whole plans ---------------------------------------------------------------------------
+
+#: The walk-forward of the registered queries: yearly-spaced cost, all tickers, all days.
+PLAN = load_settings(forecast={"monte_carlo_paths": 1000}, walk_forward={"min_training_days": 1600, "forecast_every_days": 20, "refit_every_days": 160, "min_scored_forecasts_for_model_selection": 5}, models={"hmm": {"random_restarts": 2}})
+
+
+def prepared(s: SparkSession, d: str) -> DataFrame:
+    return walkforward.prepare(bars(s, d), earnings(s, d), PLAN)
+
+
+def _live(s: SparkSession, d: str) -> DataFrame:
+    from .plans.live import live_forecast
+
+    chosen = evaluate.best_model(evaluate.skills(records(s, d), LEVELS), "garch_t")
+    out = live_forecast(prepared(s, d), earnings(s, d), chosen, fundamentals.fair_value(scores(s, d), FUND), PLAN)
+    return out.select("ticker", "as_of", "last_close", "volatility_model", F.size("samples").alias("paths"), "posterior_mean", "posterior_sd", "training_rows")
+
+
+query("bt_prepare")(prepared)
+query("bt_walk_forward")(lambda s, d: walkforward.walk_forward(prepared(s, d), PLAN)[0])
+query("bt_refit_log")(lambda s, d: walkforward.candidates(prepared(s, d), PLAN, "serial").where("note IS NOT NULL").select("ticker", "date", "refit", "note"))
+query("syn_live_forecast")(_live)
+BARS_OF_EVENTS = "SELECT event_type AS ticker, CAST(date_trunc('hour', ts) AS VARCHAR) AS bar_start, min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, (ts, event_id)) AS close, CAST(count(value) AS DOUBLE) AS volume FROM events GROUP BY 1, 2"
+
+
+def _event_bars(s: SparkSession, d: str) -> DataFrame:
+    from .streaming.bars import intraday_bars
+
+    return intraday_bars(s.read.parquet(f"{d}/events.parquet"))
+
+
+query("stream_intraday_bars", BARS_OF_EVENTS)(_event_bars)
