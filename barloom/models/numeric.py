@@ -120,10 +120,10 @@ def chain(start: np.ndarray, transition: np.ndarray, emission: np.ndarray) -> tu
     steps = steps.reshape(m, BLOCK, k, k)
     product = np.empty_like(steps)
     run = steps[:, 0]
-    product[:, 0] = run / run.sum((1, 2), keepdims=True)
+    product[:, 0] = run / np.maximum(run.sum((1, 2), keepdims=True), 1e-300)
     for i in range(1, BLOCK):
         run = product[:, i - 1] @ steps[:, i]
-        product[:, i] = run / run.sum((1, 2), keepdims=True)
+        product[:, i] = run / np.maximum(run.sum((1, 2), keepdims=True), 1e-300)
     state = np.empty((m, BLOCK, k))
     at = start
     for i in range(m):
@@ -136,14 +136,14 @@ def chain(start: np.ndarray, transition: np.ndarray, emission: np.ndarray) -> tu
             rest[0] = first
             for j in range(1, BLOCK):
                 rest[j] = rest[j - 1] @ steps[0, j]
-                rest[j] /= rest[j].sum()
+                rest[j] /= max(rest[j].sum(), 1e-300)
             own = rest
         here = at @ own
-        state[i] = here / here.sum(1, keepdims=True)
+        state[i] = here / np.maximum(here.sum(1, keepdims=True), 1e-300)
         at = state[i, -1]
     filtered = state.reshape(-1, k)[:t]
     predicted = np.vstack([start, filtered[:-1] @ transition])
-    return filtered, (predicted * emission).sum(1)
+    return filtered, np.maximum((predicted * emission).sum(1), 1e-300)
 
 
 def generator(seed: int, *parts: object) -> np.random.Generator:
