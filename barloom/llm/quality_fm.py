@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col:
     # At most 2 * fit_rows ids: a proven bound, so that documents need no shuffle.
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(m).cast("double").alias(f"_m{k}") for k, m in enumerate(metadata)]).join(F.broadcast(ids), "_id")
     one = _features(found, len(metadata), ["_id", "_label"]).collect()
-    one.sort(key=lambda r: (r["_id"], list(r["at"])))
+    one.sort(key=lambda r: (r["_id"], r["at"], r["value"]))
     y = np.array([r["_label"] for r in one], np.float64)
     weight = np.ones(len(one))
     for k, n in sizes.items():
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col:
         if mine.any():
             weight[mine] = n / mine.sum()
     weight *= len(one) / max(1e-9, weight.sum())
-    rows = [(np.array(r["at"], np.int32), np.array(r["value"], np.float32)) for r in one]
+    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in one]
     return fit(rows, y, weight, Featuriser(len(metadata)).size)
 
 
@@ -181,9 +181,9 @@ def _features(found: DataFrame, metadata: int, keep: list[str]) -> DataFrame:
         for part in parts:
             numbers = [part.column(f"_m{k}").to_pylist() for k in range(metadata)]
             got = [of(t.as_py(), [c[i] for c in numbers]) for i, t in enumerate(part.column("_text"))]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], [*keep, "at", "value"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], [*keep, "at", "value"])
 
-    return found.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", at array<int>, value array<float>")
+    return found.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", at binary, value binary")
 
 
 def classify(docs: DataFrame, model: FactorisationMachine, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
