@@ -29,22 +29,27 @@ def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], di
 
     `alike` tells from the light columns of two items whether the pair is worth a proof, and must
     hold for every true pair; `distance` orders pairs, likely ones first. `heavy_of` gives (id,
-    heavy) for the ids of a table (id), `exact` tells true pairs by their heavy columns. Items
+    heavy) for the ids of a table (id) at least, `exact` tells true pairs by their heavy columns. Items
     without a link may be missing from the result.
     """
     posted = items.select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    # The pivot is the member whose id is smallest after its bits are flipped by the key's hash.
-    flipped = F.col("id").bitwiseXOR(F.xxhash64("key"))
-    shared = posted.groupBy("key").agg(F.min(flipped).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    bucketed = cut(posted.join(shared.select("key", F.col("p").bitwiseXOR(F.xxhash64("key")).alias("pivot")), "key"), 500_000)
+    # Most keys stand once: they go by a count of bare keys, before ids are moved.
+    shared = cut(posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"), 500_000)
+    release(items.sparkSession)
+    held = cut(posted.join(shared, "key"), 500_000)
     del posted, shared
+    # The pivot is the member whose id is smallest after its bits are flipped by the key's hash.
+    flip = F.xxhash64("key")
+    pivots = held.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(flip)).alias("p")).select("key", F.col("p").bitwiseXOR(flip).alias("pivot"))
+    bucketed = cut(held.join(pivots, "key"), 500_000)
+    del held, pivots
     release(items.sparkSession)
     light = items.select("id", "light")
     lit_up = lambda side: light.select(F.col("id").alias(side), F.col("light").alias(f"l_{side}"))
     la, lb = F.col("l_a"), F.col("l_b")
 
     def weighed(ids: DataFrame) -> DataFrame:
-        return cut(heavy_of(ids.distinct()).select("id", "heavy"), 5_000)
+        return heavy_of(ids.distinct())
 
     def side(heavy: DataFrame, name: str) -> DataFrame:
         return heavy.select(F.col("id").alias(name), F.col("heavy").alias(f"h_{name}"))

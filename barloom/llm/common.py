@@ -58,7 +58,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     spark = edges.sparkSession
     e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u != v")
     both = cut(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    parts = both.rdd.getNumPartitions()
+    parts = max(1, both.rdd.getNumPartitions())
     small = lambda df: df.coalesce(parts)
     parent = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("p")))
     while True:

@@ -172,7 +172,7 @@ def near_copies(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, band
 
     def heavy_of(ids: DataFrame) -> DataFrame:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(ids, "id", "left_semi")
-        return shingle_sets(texts, size=size, id_col="id", text_col=text_col).select("id", F.col("shingles").alias("heavy"))
+        return cut(shingle_sets(texts, size=size, id_col="id", text_col=text_col).select("id", F.col("shingles").alias("heavy")), 5_000)
 
     def exact(a: Column, b: Column) -> Column:
         both = F.size(F.array_intersect(a, b)).cast("long")
