@@ -472,8 +472,8 @@ query("out_verdicts")(lambda s, d: evaluate.verdicts(evaluate.compare_models(rec
 
 # ---- whole plans ---------------------------------------------------------------------------
 
-#: The walk-forward of the registered queries: yearly-spaced cost, all tickers, all days.
-PLAN = load_settings(forecast={"monte_carlo_paths": 1000}, walk_forward={"min_training_days": 1600, "forecast_every_days": 20, "refit_every_days": 160, "min_scored_forecasts_for_model_selection": 5}, models={"hmm": {"random_restarts": 2}})
+#: The walk-forward and live forecast of the registered queries: the engine's own settings, nothing reduced.
+PLAN = load_settings()
 
 
 def prepared(s: SparkSession, d: str) -> DataFrame:

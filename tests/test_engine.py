@@ -7,6 +7,7 @@ import pytest
 from conftest import walk
 from pyspark.sql import functions as F
 
+from barloom import queries
 from barloom.functions import statistics as S
 from barloom.functions.windows import ewm
 from barloom.models import numeric, returns
@@ -200,6 +201,14 @@ def test_walk_forward_is_blind_to_later_bars(spark):
     pd.testing.assert_frame_equal(one[early].reset_index(drop=True), two[two["position"] + 5 < 480].reset_index(drop=True))
 
 
+def test_registered_plan_has_the_full_settings(spark):
+    assert queries.PLAN == load_settings()
+    days = spark.createDataFrame([(t, k) for t, n in (("A", 700), ("B", 510), ("C", 509)) for k in range(n)], "ticker string, position int")
+    got = {(r["ticker"], r["refit"]): r["positions"] for r in walkforward.test_origins(days, queries.PLAN).collect()}
+    assert sorted(p for (t, _), of in got.items() for p in of if t == "A") == list(range(504, 695, 5)) and got["A", 1][0] == 529
+    assert got["B", 0] == [504] and not any(t == "C" for t, _ in got)
+
+
 def test_fundamentals(spark):
     ann = [("T", (pd.Timestamp("2020-01-10") + pd.DateOffset(months=3 * i)).to_pydatetime(), 1.0, 1.0 + 0.1 * i, 10.0) for i in range(8)]
     e = spark.createDataFrame(ann, files.EARNINGS)
