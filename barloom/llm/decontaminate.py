@@ -2,10 +2,12 @@
 
 Words are the symbols. A random walk over a word sequence repeats or leaves its current word by a
 random bit of (step, word); two sequences at a small edit distance give embeddings at a small
-Hamming distance. Sampled coordinates of the embedding are bucket keys; many repetitions reach the
-target recall. Item-sized windows start at every word of every text, less those that hold too few
-words of the benchmark to be within the allowed distance, which loses nothing. Each candidate is
-then verified by the edit distance of the item to the best substring around it.
+Hamming distance. Sampled coordinates of the embedding are bucket keys. Item-sized windows start at
+every word of every text, less those that hold too few words of the benchmark to be within the
+allowed distance, which loses nothing. The walk reads about the first half of an item, so what it
+misses is found by pieces: an item with k allowed edits is cut into k + 1 runs of words, of which k
+edits leave one whole wherever they fall, and a text that has a run proposes the item around it.
+Each candidate is then verified by the edit distance of the item to the best substring around it.
 """
 
 from __future__ import annotations
@@ -79,6 +81,7 @@ class Index:
     seed: int = 11
     vocabulary: dict[str, int] = field(default_factory=dict)
     classes: list[tuple[int, int, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = field(default_factory=list)
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(self.seed)
@@ -111,6 +114,49 @@ class Index:
                 unique, first = np.unique(column[order], return_index=True)
                 tables.append((unique, np.append(first, len(order)), np.array(members)[order]))
             self.classes.append((low, slack, member, tables, picks))
+        self.width = np.ones(len(self.items), np.int64)
+        for low, members in by.items():
+            self.width[members] = max(1, low // 2)
+        runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, ids in enumerate(self.numbered):
+            if len(ids):
+                parts = min(allowed(len(ids), self.edits) + 1, len(ids))
+                cuts = [len(ids) * j // parts for j in range(parts + 1)]
+                for a, b in zip(cuts, cuts[1:]):
+                    runs[b - a].append((k, a))
+        for size, of in runs.items():
+            owner, offset = np.array(of, np.int64).T
+            key = np.zeros(len(of), np.uint64)
+            with np.errstate(over="ignore"):
+                for j in range(size):
+                    key = self.chained(key, np.array([self.numbered[k][a + j] for k, a in of], np.int64))
+            order = np.argsort(key, kind="stable")
+            unique, first = np.unique(key[order], return_index=True)
+            self.pieces[size] = (unique, np.append(first, len(order)), owner[order], offset[order])
+        self.distinct = [frozenset(ids.tolist()) for ids in self.numbered]
+
+    def chained(self, key: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return mix(key * np.uint64(0x9E3779B97F4A7C15) + self.symbols[tokens])
+
+    def by_pieces(self, tokens: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs (item, block of its start) for each place where a whole piece of an item stands."""
+        at = np.flatnonzero(tokens)
+        key = np.zeros(at.size, np.uint64)
+        for size in range(1, max(self.pieces, default=0) + 1):
+            inside = np.flatnonzero(at + size <= len(tokens))
+            at, key = at[inside], key[inside]
+            word = tokens[at + size - 1]
+            known = np.flatnonzero(word)
+            with np.errstate(over="ignore"):
+                at, key = at[known], self.chained(key[known], word[known])
+            if size in self.pieces and at.size:
+                unique, first, owner, offset = self.pieces[size]
+                place = np.minimum(np.searchsorted(unique, key), len(unique) - 1)
+                hit = np.flatnonzero(unique[place] == key)
+                lens = first[place[hit] + 1] - first[place[hit]]
+                which = np.repeat(first[place[hit]], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+                item = owner[which]
+                yield np.unique(np.stack([item, np.maximum(np.repeat(at[hit], lens) - offset[which], 0) // self.width[item]], 1), axis=0)
 
     @property
     def pad(self) -> int:
@@ -143,13 +189,12 @@ class Index:
             total += len(words) + 2 * pad
         tokens = np.concatenate(parts) if parts else gap
         starts_of = np.array(begin, np.int64)
-        tried: set[tuple[int, int, int]] = set()
+        pairs = list(self.by_pieces(tokens))
         for low, slack, member, tables, picks in self.classes:
             upto = np.concatenate(([0], np.cumsum(member[tokens])))
             starts = np.flatnonzero(upto[low:] - upto[:-low] >= max(1, low - slack)) if len(tokens) >= low else np.empty(0, np.int64)
             if not starts.size:
                 continue
-            pairs = []
             for key, (unique, first, owner) in zip(self.keys(tokens, starts, low, picks), tables, strict=True):
                 at = np.minimum(np.searchsorted(unique, key), len(unique) - 1)
                 hit = np.flatnonzero(unique[at] == key)
@@ -157,16 +202,18 @@ class Index:
                 where = np.repeat(starts[hit], lens)
                 offset = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
                 pairs.append(np.stack([owner[np.repeat(first[at[hit]], lens) + offset], where // max(1, low // 2)], 1))
-            for item, block in np.unique(np.concatenate(pairs), axis=0).tolist():
-                ids = self.numbered[item]
-                limit, n = allowed(len(ids), self.edits), len(ids)
-                width = max(1, low // 2)
-                s, e = max(0, block * width - limit - 1), block * width + width + n + limit + 1
-                near = tokens[s:e].tolist()
-                distance = best_match(ids.tolist(), near)
-                if distance <= limit:
-                    # The match may touch two texts' padding but not two texts: pads exceed the limit.
-                    self._credit(found, starts_of, texts, item, ids.tolist(), limit, s, e, tokens, pad)
+        for item, block in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else []:
+            ids, width = self.numbered[item], int(self.width[item])
+            limit, n = allowed(len(ids), self.edits), len(ids)
+            s, e = max(0, block * width - limit - 1), block * width + width + n + limit + 1
+            near = tokens[s:e].tolist()
+            # Each word of the item that is missing here altogether costs an edit.
+            if len(self.distinct[item]) - len(self.distinct[item].intersection(near)) > limit:
+                continue
+            distance = best_match(ids.tolist(), near)
+            if distance <= limit:
+                # The match may touch two texts' padding but not two texts: pads exceed the limit.
+                self._credit(found, starts_of, texts, item, ids.tolist(), limit, s, e, tokens, pad)
         return found
 
     def _credit(self, found, starts_of, texts, item, ids, limit, s, e, tokens, pad) -> None:
@@ -185,7 +232,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, r
     distance int (smallest word edits of an item found; null if none) and contaminated boolean.
 
     An item is in a text if a substring of the text's words is within floor(edits * n) word
-    insertions, deletions or replacements of its n words; case and punctuation do not count. Null
+    insertions, deletions or replacements of its n words; case and punctuation do not count. None
+    is missed, wherever the edits fall and whatever the item's length. Null
     and empty texts, and items without words, match nothing; equal items are all reported; items
     with a null id are left out; an item id that stands twice is reported once. Ids may be null or
     repeat. Input columns named item_ids, distance or contaminated are replaced. An empty table or

@@ -316,6 +316,31 @@ def test_decontamination_recall_against_brute_force(spark):
     assert {r["doc_id"]: set(r["item_ids"]) for r in blocks.collect()} == got
 
 
+@pytest.mark.parametrize("n", [7, 40, 58, 150, 400, 1500])
+def test_decontamination_finds_every_placement_of_edits(n):
+    k = decontaminate.allowed(n)
+    item = [f"w{i}" for i in range(n)]
+    new = [f"w{n + i}" for i in range(k)]
+    every = lambda at: [new[at.index(i)] if i in at else w for i, w in enumerate(item)]
+    copies = [every(range(k)), item[k:], new + item, every(range(0, 2 * k, 2)), every(range(n - k, n)), item[: n - k], every(range(n // 2 - k // 2, n // 2 - k // 2 + k)), every(range(4, 5 * k, 5)), item]
+    beyond = [item[k + 1 :], ["w0"] * n, []]
+    index = decontaminate.Index([(1, item), (2, [f"w{n - i}" for i in range(n)])])
+    got = index.search([["x"] * 9 + c + ["y"] * 9 for c in copies] + beyond)
+    assert [0 in g for g in got] == [True] * len(copies) + [False] * len(beyond)
+    assert all(g[0] == sellers(item, c) for g, c in zip(got, copies)) if n < 200 else True
+    other = decontaminate.Index([(2, [f"v{i}" for i in range(3 * n)]), (1, item)])
+    assert all(1 in g for g in other.search(copies))
+
+
+def test_decontamination_equals_brute_force_on_few_words():
+    rng = random.Random(12)
+    items = [(k, rng.choices("abcdefghij", k=rng.randint(1, 25))) for k in range(30)]
+    texts = [rng.choices("abcdefghijkl", k=rng.randint(0, 80)) for _ in range(120)]
+    got = decontaminate.Index(items).search(texts)
+    want = [{k: d for k, t in items if (d := sellers(t, x)) <= decontaminate.allowed(len(t))} for x in texts]
+    assert got == want
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "null id"), (1, "null id"), (2, "tie tie"), (3, ""), (4, None), (None, "one")], "item_id long, text string")
     out = decontaminate.find_items(with_extra(spark, odd_texts()), bench).collect()
