@@ -68,7 +68,9 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
 
     A run is removed if it holds at least `min_words` words and the same lines, in the same order,
     stand earlier: in a document with a smaller id (null ids come first; of texts with one id the
-    one with the smaller hash) or earlier in the same document. White space inside lines is not
+    one with the smaller hash) or earlier in the same document. Each window of a run is held
+    against its first place only: lines after the last whole window go if they follow that first place
+    too, and stay if they follow a later place alone. White space inside lines is not
     compared, blank lines never count. The first place of every line stays, so no text is lost
     altogether. A null text stays null with 0 lines; a text of blank lines is unchanged. Repeated
     rows of one document get the same result. A text whose lines all go becomes empty. A column
