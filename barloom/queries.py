@@ -350,14 +350,14 @@ query("stat_dickey_fuller_zero", sql(f"SELECT ticker, n, round(b / sqrt((syy - b
 # ---- models and synthesis ------------------------------------------------------------------
 
 
-def gbm_fits(s: SparkSession, d: str) -> DataFrame:
-    return forecasts.origins(forecasts.gbm(returns(s, d)), FIRST, STEP, HORIZON)
+def gbm_fits(s: SparkSession, d: str, step: int = STEP) -> DataFrame:
+    return forecasts.origins(forecasts.gbm(returns(s, d)), FIRST, step, HORIZON)
 
 
-def samples(s: SparkSession, d: str) -> DataFrame:
+def samples(s: SparkSession, d: str, step: int = STEP, paths: int = PATHS) -> DataFrame:
     """Deterministic forecasts of four stand-in models at each origin: GBM with scaled volatility."""
-    rows = gbm_fits(s, d).select("ticker", "date", "position", "realized", "drift", "volatility", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("scale")) for m, k in SCALES.items()])).alias("m"))
-    rows = rows.select("*", "m.*", F.explode(F.sequence(F.lit(1), F.lit(PATHS))).alias("path"))
+    rows = gbm_fits(s, d, step).select("ticker", "date", "position", "realized", "drift", "volatility", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("scale")) for m, k in SCALES.items()])).alias("m"))
+    rows = rows.select("*", "m.*", F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path"))
     name = F.concat_ws("|", F.lit("42"), "ticker", C("position").cast("string"), "model", C("path").cast("string"))
     one = lambda k: (F.conv(F.substring(F.md5(F.concat(name, F.lit(k))), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     value = HORIZON * C("drift") + math.sqrt(HORIZON) * C("volatility") * C("scale") * F.sqrt(-2 * F.ln(one("|u"))) * F.cos(2 * math.pi * one("|v"))
@@ -368,6 +368,15 @@ def records(s: SparkSession, d: str) -> DataFrame:
     return evaluate.score(samples(s, d), LEVELS)
 
 
+def full_samples(s: SparkSession, d: str) -> DataFrame:
+    """The same at every origin and with all paths of the settings, for queries without SQL."""
+    return samples(s, d, SETTINGS["walk_forward"]["forecast_every_days"], SETTINGS["forecast"]["monte_carlo_paths"])
+
+
+def full_records(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.score(full_samples(s, d), LEVELS).persist()
+
+
 def regime_records(s: SparkSession, d: str) -> DataFrame:
     return records(s, d).withColumns({"earnings_in_window": C("position") % 3 == 0, "turbulent_probability": F.when(C("position") % 50 < 25, 0.7).otherwise(0.2), "trending": F.when(C("position") % 4 != 0, (C("position") % 2).cast("double"))})
 
@@ -445,7 +454,7 @@ query("eval_worst_misses", sql(f"SELECT ticker, rank, date, {r8('exp(realized) -
 query("eval_tail_miss_rate", sql("SELECT ticker, round(1 - avg(CAST(hit_95 AS DOUBLE)), 8) AS tail_miss_rate FROM records WHERE model = 'engine' GROUP BY 1"))(lambda s, d: evaluate.tail_miss_rate(records(s, d)))
 COVER = ", ".join(f"round(avg(CAST(hit_{round(100 * v)} AS DOUBLE)), 8) AS coverage_{round(100 * v)}" for v in LEVELS)
 query("eval_compare_models", sql(f"SELECT ticker, model, count(*) AS forecasts, round(avg(crps), 8) AS mean_crps, {SKILL}, round(avg(brier), 8) AS brier, round(1 - avg(brier) / avg(b_brier), 8) + 0.0 AS brier_skill, {COVER} FROM beside GROUP BY 1, 2"))(lambda s, d: evaluate.skills(records(s, d), LEVELS))
-query("eval_compare_models_tests")(lambda s, d: evaluate.compare_models(records(s, d), LEVELS))
+query("eval_compare_models_tests")(lambda s, d: evaluate.compare_models(full_records(s, d), LEVELS))
 KS = "SELECT ticker, model, max(n) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY ticker, model ORDER BY pit) AS i, count(*) OVER (PARTITION BY ticker, model) AS n FROM records) GROUP BY 1, 2"
 query("stat_ks_uniform", sql(f"SELECT ticker, model, n, {r8('distance', 'least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * s * s))))) AS p_value')} FROM (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * distance AS s FROM ({KS}))"))(lambda s, d: S.ks_uniform(records(s, d), "pit", ["ticker", "model"]))
 DM = "SELECT ticker, model, date, d, d - avg(d) OVER (PARTITION BY ticker, model) AS c FROM (SELECT *, crps - b_crps AS d FROM beside WHERE model <> 'gbm')"
@@ -467,7 +476,14 @@ query("eval_long_only_rule", sql(f"SELECT ticker, strategy, CAST(trades AS BIGIN
 query("eval_performance", sql(f"SELECT ticker, {r8('annual_return', 'annual_volatility', 'sharpe_ratio', 'max_drawdown', 'total_return + 0.0025 AS total_return')} FROM performed WHERE strategy = 'buy_and_hold'", **RULE))(lambda s, d: evaluate.performance(records(s, d).where("model = 'engine'").withColumn("stock", F.expm1("realized")), "stock", PER_YEAR, RISK_FREE))
 query("bt_chosen_models", sql("SELECT ticker, date, position, coalesce(best, CASE WHEN has THEN 'garch_t' ELSE 'gbm' END) AS chosen FROM (SELECT ticker, date, position, arg_min(model, m * 1000000 + k) FILTER (known >= 20) AS best, bool_or(model = 'garch_t') AS has FROM (SELECT *, count(crps) OVER w AS known, avg(crps) OVER w AS m, CASE model WHEN 'gbm' THEN 1 WHEN 'garch_t' THEN 2 ELSE 4 END * 1e-9 AS k FROM records WHERE model <> 'engine' WINDOW w AS (PARTITION BY ticker, model ORDER BY position RANGE BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING)) GROUP BY 1, 2, 3)"))(lambda s, d: evaluate.chosen_models(records(s, d), 5, 20, "garch_t"))
 query("syn_best_model", sql("SELECT ticker, arg_min(model, m) AS chosen FROM (SELECT ticker, model, avg(crps) AS m FROM records WHERE model <> 'engine' GROUP BY 1, 2) GROUP BY 1"))(lambda s, d: evaluate.best_model(evaluate.skills(records(s, d), LEVELS), "garch_t"))
-query("out_verdicts")(lambda s, d: evaluate.verdicts(evaluate.compare_models(records(s, d), LEVELS), evaluate.long_only_rule(records(s, d), SETTINGS), SETTINGS))
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    scored = full_records(s, d)
+    return evaluate.verdicts(evaluate.compare_models(scored, LEVELS), evaluate.long_only_rule(scored, SETTINGS), SETTINGS)
+
+
+query("out_verdicts")(_verdicts)
 
 
 # ---- whole plans ---------------------------------------------------------------------------
@@ -483,7 +499,7 @@ def prepared(s: SparkSession, d: str) -> DataFrame:
 def _live(s: SparkSession, d: str) -> DataFrame:
     from .plans.live import live_forecast
 
-    chosen = evaluate.best_model(evaluate.skills(records(s, d), LEVELS), "garch_t")
+    chosen = evaluate.best_model(evaluate.skills(full_records(s, d), LEVELS), "garch_t")
     out = live_forecast(prepared(s, d), earnings(s, d), chosen, fundamentals.fair_value(scores(s, d), FUND), PLAN)
     return out.select("ticker", "as_of", "last_close", "volatility_model", F.size("samples").alias("paths"), "posterior_mean", "posterior_sd", "training_rows")
 

@@ -209,6 +209,19 @@ def test_registered_plan_has_the_full_settings(spark):
     assert got["B", 0] == [504] and not any(t == "C" for t, _ in got)
 
 
+def test_full_samples_follow_the_settings(spark):
+    few = queries.full_samples(spark, "/root/testdata/sf0.001").where("position < 515 AND model IN ('gbm', 'engine')")
+    values = few.toPandas()
+    assert sorted(values["position"].unique()) == [504, 509, 514]
+    assert (values.groupby(["ticker", "position", "model"]).size() == 10000).all() and values["ticker"].nunique() == 6
+    got = evaluate.score(few, [0.95]).toPandas().set_index(["ticker", "position", "model"])
+    for key, g in values.groupby(["ticker", "position", "model"]):
+        v, x = g["value"].to_numpy(), g["realized"].iloc[0]
+        low, high = np.quantile(v, [0.025, 0.975])
+        assert got["hit_95"][key] == (low <= x <= high)
+        assert got["crps"][key] == pytest.approx(np.abs(v - x).mean() - np.mean([np.abs(v - y).mean() for y in v]) / 2)
+
+
 def test_fundamentals(spark):
     ann = [("T", (pd.Timestamp("2020-01-10") + pd.DateOffset(months=3 * i)).to_pydatetime(), 1.0, 1.0 + 0.1 * i, 10.0) for i in range(8)]
     e = spark.createDataFrame(ann, files.EARNINGS)
