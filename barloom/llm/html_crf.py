@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Element names of HTML.
-SKIPPED = "script|style|template|noscript|iframe|svg|math|textarea|object|select|canvas|audio|video"
+# Element names of HTML. What is skipped holds no text of the page, and runs on to the
+# page's end if it is not closed; all other elements are read.
+SKIPPED = "script|style|template|textarea"
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul br".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -30,7 +31,7 @@ OWN = "p h1 h2 h3 h4 h5 h6 li td th dd dt div blockquote pre figcaption a span l
 #: Words of class, id and role that tell parts of pages apart; a name that holds one counts.
 NAMES = "ad ads advert sponsor promo banner popup cookie consent gdpr notice alert warning message comment reply respond discuss disqus sidebar side widget related recommend more share social follow nav menu breadcrumb crumb pagination pager toolbar header masthead logo top footer foot copyright legal bottom content article post entry story main body text prose page form login signup newsletter subscribe search tags meta byline author date caption".split()
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:{SKIPPED})(?:/|\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'])/)>|<({SKIPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*")
 

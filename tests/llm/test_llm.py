@@ -192,6 +192,17 @@ def test_html_edges(spark):
     assert html_crf.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("before", ['<svg class="i"/>', "<svg-icon name=x></svg-icon>", "<video-player>", "<svg class=i />", "<video src=x />", "<object data=x>", "<audio>", "<canvas>", "<select>", "<iframe src=x>", "<script src='x'/>", "<style />", "<textarea/>", "<template-x>", "<script>a</script x>"])
+def test_html_text_after_an_element_stays(before):
+    assert "".join(b.text for b in html_crf.blocks_of(f"<article>{before}<p>body</p></article>")) == "body"
+
+
+def test_html_skips_only_what_is_no_text():
+    text = lambda page: " ".join(b.text for b in html_crf.blocks_of(page))
+    assert text("<p>so <math><mi>x</mi></math> is<object>fallback</object></p>") == "so x isfallback"
+    assert text("<p>a<script src=/js/>if (1 > 0) {}</script>b<style>p {}</style>c<textarea>t</textarea><template><p>u</template>d</p><script>rest") == "abcd"
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/\r\nX: y é", "same é"), (2, None, "same é"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 300_000), (None, "u", "same é"), (6, "u", "\r\n\r\nWARC/1.0\r\n\r\n"), (6, "u", "\r\n\r\nWARC/1.0\r\n\r\n")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
