@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -47,9 +48,12 @@ class Block:
 
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order. Character references are decoded, white space inside a block is
-    one space, blocks without text are left out. Unclosed, misnested and cut-off tags are borne."""
+    one space, blocks without text are left out. Unclosed, misnested and cut-off tags are borne, at
+    any depth. A block's path has each open tag once, at its innermost place."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    # Of each open element: its tag, the path and names down to it, and its own names.
+    stack: list[tuple[str, tuple[str, ...], frozenset[str], frozenset[str]]] = []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = begin = 0
     page = page or ""
@@ -59,7 +63,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), linked, begin))
+                out.append(Block(text, stack[-1][1] if stack else (), stack[-1][2] if stack else frozenset(), linked, begin))
             pieces.clear()
         linked = 0
 
@@ -70,9 +74,20 @@ def blocks_of(page: str | None) -> list[Block]:
                 begin = at
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked += len(text)
 
+    def drop(k: int) -> None:
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
+    def push(tag: str, words: frozenset[str]) -> None:
+        path, names = stack[-1][1:3] if stack else ((), frozenset())
+        if not path or path[-1] != tag:
+            path = (*(t for t in path if t != tag), tag)
+        stack.append((tag, path, names if words <= names else names | words, words))
+        opened[tag] += 1
+
     end = 0
     for m in TOKEN.finditer(page):
         take(page[end : m.start()], end)
@@ -84,24 +99,27 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in BLOCKS:
             close_block()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    drop(k)
                     break
             continue
         if name in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[t] for t in CLOSES[name]) else ():
                 if stack[k][0] in CLOSES[name]:
-                    del stack[k:]
+                    drop(k)
                     break
                 if stack[k][0] in STOPS:
                     break
         elif name == "body":
-            stack[:] = [x for x in stack if x[0] == "html"]
-        if name not in EMPTY and not m[4].endswith("/") and len(stack) < 400:
+            outer = [x[3] for x in stack if x[0] == "html"]
+            drop(0)
+            for words in outer:
+                push("html", words)
+        if name not in EMPTY and not m[4].endswith("/"):
             found = NAMED.findall(m[4]) if "=" in m[4] else ()
             words = frozenset(w.lower() for groups in found for g in groups if g for w in PARTS.findall(g))
-            stack.append((name, words))
+            push(name, words)
     take(page[end:], end)
     close_block()
     return out

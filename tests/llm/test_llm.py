@@ -203,6 +203,13 @@ def test_html_skips_only_what_is_no_text():
     assert text("<p>a<script src=/js/>if (1 > 0) {}</script>b<style>p {}</style>c<textarea>t</textarea><template><p>u</template>d</p><script>rest") == "abcd"
 
 
+def test_html_open_elements_have_no_limit():
+    deep = "<b>" * 3000
+    page = f"<article class=story>{deep}<p>one</p><nav class=menu><a>two</a></nav><div><i>three</i></div></article><footer>four</footer>"
+    got = [(b.text, set(b.path) - {"b"}, set(b.names), b.linked) for b in html_crf.blocks_of(page)]
+    assert got == [("one", {"article", "p"}, {"story"}, 0), ("two", {"article", "nav"}, {"story", "menu"}, 3), ("three", {"article", "div"}, {"story"}, 0), ("four", {"footer"}, set(), 0)]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/\r\nX: y é", "same é"), (2, None, "same é"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 300_000), (None, "u", "same é"), (6, "u", "\r\n\r\nWARC/1.0\r\n\r\n"), (6, "u", "\r\n\r\nWARC/1.0\r\n\r\n")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
