@@ -390,6 +390,17 @@ def test_media_copies(spark):
     assert media_copies.image_copies(odd.limit(0)).count() == 0
 
 
+def test_small_crops_of_large_images():
+    large = [media_copies.picture([float(k), 1.0], 400) for k in range(3)]
+    whole = [media_copies.describe(a) for a in large]
+    assert len(whole[0][0]) > 800
+    for k, a in enumerate(large):
+        for y, x in ((150, 120), (20, 260), (290, 40)):
+            crop = media_copies.describe(a[y : y + 100, x : x + 100] * 0.9 + 5)
+            votes = [media_copies.consensus(*w, *crop) for w in whole]
+            assert votes[k] >= media_copies.CONSENSUS > max(v for j, v in enumerate(votes) if j != k)
+
+
 def test_png_filters():
     import struct
     import zlib
