@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +20,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    A machine-local folder is used only where the session names none, as in local tests.
+    A machine-local folder is used only where the session names none and runs in one process, as in
+    local tests; on a cluster a missing setting is an error, since executors could not see the folder.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-checkpoint-"))
     if named and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name inside the shared folder; `remove` deletes it when its tables are used up."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The table written as Parquet in the shared folder and read again: cuts lineage, survives lost
+    executors, and is read by columns."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder on whatever file system Spark wrote it to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of narrow tables (a few longs each) that may be broadcast: 64 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def beside(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins a table with a narrow one: broadcast where that one's counted rows are few, by a shuffle
+    (whose skewed partitions Spark splits) beyond it. `small` should be materialised."""
+    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+
+
 def cut(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """Reliable checkpoint in the shared folder: cuts lineage and survives lost executors. It is
     read back in parts of about `rows` rows, if it was written in more, so that a small table does
