@@ -210,6 +210,54 @@ def test_html_open_elements_have_no_limit():
     assert got == [("one", {"article", "p"}, {"story"}, 0), ("two", {"article", "nav"}, {"story", "menu"}, 3), ("three", {"article", "div"}, {"story"}, 0), ("four", {"footer"}, set(), 0)]
 
 
+#: Pages written by hand, none of them from the training generator: (page, its main text).
+PAGES = [
+    ("<article><p>Real text.</p></article>", "Real text."),
+    ("<p>Alone on the page</p>", "Alone on the page"),
+    ("Only words, no markup", "Only words, no markup"),
+    ("<html><body><article><p>" + "One long paragraph without a title. " * 24 + "</p></article></body></html>", ("One long paragraph without a title. " * 24).strip()),
+    ("<!DOCTYPE html><html lang=en><head><title>Bread - Kitchen notes</title><meta name=viewport content='width=device-width'></head><body class='home blog'><header class='site-header'><a href='/'>Kitchen notes</a></header><nav class='main-nav'><a href='/a'>Recipes</a> <a href='/b'>About</a></nav><main><article><h1>Bread</h1><p>Mix flour &amp; water.</p><p>Wait a day, then bake.</p></article></main><footer>&copy; 2021 Kitchen notes</footer></body></html>", "Bread Mix flour & water. Wait a day, then bake."),
+    ("<html><body><div id='navigation'><ul><li><a href=x>Start</a><li><a href=y>News</a></ul></div><div class='post'><h2>A walk</h2><p>We went up the hill.<p>It rained.</div><div id='sidebar'><h3>Archive</h3><ul><li><a href=z>March</a></ul></div></body></html>", "A walk We went up the hill. It rained."),
+    ("<body><div class='cookie-banner'>We use cookies. <button>Agree</button></div><article><h1>Rivers</h1><p>Rivers carry sand.</p></article></body>", "Rivers Rivers carry sand."),
+    ("<main><h1>Title</h1><p>First.</p><aside class='ad-box'>Buy now!</aside><p>Second.</p></main>", "Title First. Second."),
+    ("<article><h1>Talk</h1><p>The text itself.</p><section id='comments'><h2>3 comments</h2><div class='comment'><p>I disagree.</p></div><div class='comment'><p>Me too!</p></div></section></article>", "Talk The text itself."),
+    ("<article><p>Before.</p><form action='/join' class='newsletter'><label>Your mail</label><input><button>Join</button></form><p>After.</p></article>", "Before. After."),
+    ("<article><p>The mass is <math><mi>m</mi></math> kilograms.</p><noscript><p>Shown without scripts.</p></noscript><p>See <svg><text>figure</text></svg> one.</p></article>", "The mass is m kilograms. Shown without scripts. See figure one."),
+    ("<article><script src=\"x>var a = 'hidden';</script><p>Shown.</p></article>", "Shown."),
+    ("<article><script>if (a < b) { document.write('<p>no</p>') }</script><style>.x > p { color: red }</style><p>Yes.</p></article>", "Yes."),
+    ("<article><p title='5 > 3'>Math is <b class=\"x\">fun</b>.</p></article>", "Math is fun."),
+    ("<article><!-- <p>not this</p> --><p>This&nbsp;one,\n  with   space.</p></article>", "This one, with space."),
+    ("<article><h1>Steps</h1><ol><li>Open the box.<li>Take it out.</ol><table><tr><th>Part<th>Count<tr><td>Bolt<td>4</table></article>", "Steps Open the box. Take it out. Part Count Bolt 4"),
+    ("<article><blockquote><p>To be or not to be.</p></blockquote><pre>a = 1\nb = 2</pre></article>", "To be or not to be. a = 1 b = 2"),
+    ("<nav><ul><li><a href=/>Home</a></ul></nav><footer><p>&copy; nobody</p></footer>", ""),
+    ("<div role='main'><h1>Cats</h1><p>Cats sleep most of the day.</p></div><div class='footer'>Imprint</div>", "Cats Cats sleep most of the day."),
+    ("<article><p>Cut off in a ta", "Cut off in a ta"),
+    ("<article><p>Cut off in a tag.</p><p class=\"x", "Cut off in a tag."),
+    ("<ARTICLE><H1>UPPER CASE</H1><P>Tags in capitals.</ARTICLE><FOOTER>end</FOOTER>", "UPPER CASE Tags in capitals."),
+]
+
+
+@pytest.mark.parametrize("page,text", PAGES)
+def test_html_pages_written_by_hand(page, text):
+    assert html_crf.extract(page, html_crf.trained()) == text
+
+
+def test_html_bears_hostile_markup_in_linear_time():
+    import time
+
+    field = html_crf.trained()
+    many = 100_000
+    pages = ["<p " + '"' * many, "<p a=" + '"' * (many + 1) + ">x", "<a b=\">" * (many // 2), "<a b='><p c=\">" * (many // 4), "<" * many, "</" * many, "<!--" * many, "<script>" * many, "<p><div>" + "<b>" * (many // 2) + "<p></p>" * (many // 2), "".join(f'<div class="content{k % 50}x{k}">' for k in range(many // 10)) + "<p>deep</p>", "</i>" * many, "<a " + "b = " * many, "<a " + "/ " * many + ">t"]
+    began = time.time()
+    texts = [html_crf.extract(p, field) for p in pages]
+    assert time.time() - began < 30 and texts[9] == "deep"
+
+
+def test_html_deep_nesting_keeps_the_ancestors():
+    page = "<article>" + "<div>" * 10_000 + "<p>one</p>" + "<footer>two</footer>" + "</div>" * 10_000 + "<p>three</p></article><footer>four</footer>"
+    assert [(b.text, "footer" in b.path, "article" in b.path) for b in html_crf.blocks_of(page)] == [("one", False, True), ("two", True, True), ("three", False, True), ("four", True, False)]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/\r\nX: y é", "same é"), (2, None, "same é"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 300_000), (None, "u", "same é"), (6, "u", "\r\n\r\nWARC/1.0\r\n\r\n"), (6, "u", "\r\n\r\nWARC/1.0\r\n\r\n")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
