@@ -1,12 +1,12 @@
 """Components of items that share buckets, without expanding a bucket into all its pairs.
 
-In the first round each member of a bucket is compared with one pivot, another in each bucket;
-the likeliest of these pairs are proved first, the others only where they still join two
-components. In the second round only members that are in another component than most of their
-bucket are left: where that main component is large, such a member is held against the component
-as a whole, in one join that puts out true links alone; else against the members of other
-components in the bucket. Members of one component need no further link between them, and every
-pair that shares a bucket and is in two components is compared.
+Each member of a bucket is compared with one pivot, another in each bucket; the likeliest of these
+pairs are proved first, the others only where they still join two components. What is then left are
+buckets whose members are in different components. In a bucket of at most MEET members those meet in
+pairs. Members of larger ones meet in the groups that `narrow` gives them, which must bring together
+every true pair: rare features first, so that members which are alike in common features alone meet
+nowhere. Members of one component need no further link between them, and every true pair that
+shares a bucket and is in two components is compared.
 """
 
 from __future__ import annotations
@@ -16,46 +16,41 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, release
+from .common import beside, components, cut, release
 
 #: Pairs of each member that are proved first.
 LIKELY = 4
-#: Members of a bucket's main component beyond which outsiders are held against the whole component.
-LARGE = 16
+#: Members of a bucket up to which those of different components meet in pairs.
+MEET = 32
 
 
-def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], distance: Callable[[Column, Column], Column], heavy_of: Callable[[DataFrame], DataFrame], exact: Callable[[Column, Column], Column]) -> DataFrame:
+def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], distance: Callable[[Column, Column], Column], heavy_of: Callable[[DataFrame], DataFrame], exact: Callable[[Column, Column], Column], narrow: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (id, component) of `items` (id, keys array<long>, light), ids unique and not null.
 
     `alike` tells from the light columns of two items whether the pair is worth a proof, and must
     hold for every true pair; `distance` orders pairs, likely ones first. `heavy_of` gives (id,
-    heavy) for the ids of a table (id) at least, `exact` tells true pairs by their heavy columns. Items
-    without a link may be missing from the result.
+    heavy) for the ids of a table (id) at least, `exact` tells true pairs by their heavy columns.
+    `narrow` gives for a table (id, part) pairs (a, b) of different parts that hold every true one
+    at least. Items without a link may be missing from the result.
     """
     posted = items.select("id", F.explode(F.array_distinct("keys")).alias("key"))
     # Most keys stand once: they go by a count of bare keys, before ids are moved.
-    shared = cut(posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"), 500_000)
+    shared = cut(posted.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1"), 500_000)
     release(items.sparkSession)
-    held = cut(posted.join(shared, "key"), 500_000)
-    del posted, shared
+    held = cut(beside(posted, shared, "key"), 500_000)
+    del posted
     # The pivot is the member whose id is smallest after its bits are flipped by the key's hash.
     flip = F.xxhash64("key")
-    pivots = held.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(flip)).alias("p")).select("key", F.col("p").bitwiseXOR(flip).alias("pivot"))
-    bucketed = cut(held.join(pivots, "key"), 500_000)
-    del held, pivots
-    release(items.sparkSession)
+    pivots = cut(held.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(flip)).alias("p")).select("key", F.col("p").bitwiseXOR(flip).alias("pivot")), 500_000)
     light = items.select("id", "light")
     lit_up = lambda side: light.select(F.col("id").alias(side), F.col("light").alias(f"l_{side}"))
     la, lb = F.col("l_a"), F.col("l_b")
 
-    def weighed(ids: DataFrame) -> DataFrame:
-        return heavy_of(ids.distinct())
-
     def side(heavy: DataFrame, name: str) -> DataFrame:
         return heavy.select(F.col("id").alias(name), F.col("heavy").alias(f"h_{name}"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        heavy = weighed(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+        heavy = heavy_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
         return pairs.join(side(heavy, "a"), "a").join(side(heavy, "b"), "b").where(exact(F.col("h_a"), F.col("h_b"))).select("a", "b")
 
     def between(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -64,45 +59,39 @@ def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], di
         named = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
         return named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
 
-    star = bucketed.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    star = beside(held, pivots, "key").where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     star = cut(star.join(lit_up("a"), "a").join(lit_up("b"), "b").where(alike(la, lb)).select("a", "b", distance(la, lb).alias("d")))
     # A member has at most one pivot for each of its keys, so that no window is large.
     likely = star.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(f"rank <= {LIKELY}")
-    links = cut(confirmed(cut(likely.select("a", "b"))))
+    likely = cut(likely.select("a", "b"))
+    links = cut(confirmed(likely))
     label = components(links)
-    further = cut(between(star.select("a", "b"), label).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
-    links = cut(links.union(confirmed(further)))
-    label = components(links)
-    # Members whose component differs from the one that most of their bucket has.
-    in_part = cut(bucketed.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")))
-    mixed = in_part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
-    rest = cut(in_part.join(mixed, "key"))
-    most = rest.groupBy("key", "part").count().groupBy("key").agg(F.max(F.struct("count", "part")).alias("m")).select("key", F.col("m.part").alias("main"), (F.col("m.count") > LARGE).alias("large"))
-    rest = cut(rest.join(most, "key"))
-    more = cut(against_parts(rest, label, light, weighed, side, alike, exact).union(confirmed(against_members(rest, items, alike, star))))
-    return components(links.union(more)) if more.limit(1).count() else label
-
+    further = cut(between(star.select("a", "b"), label).join(likely, ["a", "b"], "left_anti"))
+    if further.limit(1).count():
+        links = cut(links.union(confirmed(further)))
+        label = components(links)
+    # Members of buckets that hold more than one component.
+    in_part = cut(held.join(label, "id", "left").select("key", "members", "id", F.coalesce("component", "id").alias("part")), 500_000)
+    mixed = cut(in_part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key"), 500_000)
+    rest = cut(beside(in_part, mixed, "key"), 500_000)
+    del held, in_part
+    release(items.sparkSession)
 
-def against_members(rest: DataFrame, items: DataFrame, alike, star: DataFrame) -> DataFrame:
-    """Pairs of an outsider with the members of other components in its bucket, less those of a
-    large main component."""
-    full = rest.where("part != main OR NOT large").join(items.select("id", "light", "keys"), "id")
-    outside = full.where("part != main").select("key", F.col("id").alias("a"), F.col("part").alias("a_part"), F.col("light").alias("l_a"), F.col("keys").alias("k_a"))
-    inside = full.select("key", "main", F.col("id").alias("b"), F.col("part").alias("b_part"), F.col("light").alias("l_b"), F.col("keys").alias("k_b"))
-    # A pair is looked at in the first of the buckets that it shares: there it is held together
-    # here, or one of the two is in a large main component and the other is held against that.
-    once = F.array_min(F.array_intersect("k_a", "k_b")) == F.col("key")
-    pairs = outside.join(inside, "key").where((F.col("b_part") != F.col("a_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(F.col("l_a"), F.col("l_b")) & once)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-
-
-def against_parts(rest: DataFrame, label: DataFrame, light: DataFrame, weighed, side, alike, exact) -> DataFrame:
-    """Links of outsiders with the members of a large main component."""
-    outsiders = cut(rest.where("part != main AND large").select(F.col("id").alias("a"), F.col("main").alias("part")).distinct())
-    members = cut(label.select(F.col("component").alias("part"), F.col("id").alias("b")).join(outsiders.select("part").distinct(), "part", "left_semi"))
-    heavy = weighed(outsiders.select(F.col("a").alias("id")).union(members.select(F.col("b").alias("id"))))
-    low = lambda end: light.select(F.col("id").alias(end), F.col("light").alias(f"l_{end}"))
-    a = outsiders.join(low("a"), "a").join(side(heavy, "a"), "a")
-    b = members.join(low("b"), "b").join(side(heavy, "b"), "b")
-    return a.join(b, "part").where(alike(F.col("l_a"), F.col("l_b")) & exact(F.col("h_a"), F.col("h_b"))).select("a", "b")
+    small = rest.where(F.col("members") <= MEET).join(light, "id")
+    one = small.select("key", F.col("id").alias("a"), F.col("part").alias("p"), F.col("light").alias("l_a"))
+    other = small.select("key", F.col("id").alias("b"), F.col("part").alias("q"), F.col("light").alias("l_b"))
+    pairs = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & alike(la, lb)).select("a", "b").distinct()
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    if pairs.limit(1).count():
+        links = cut(links.union(confirmed(pairs)))
+        label = components(links)
+    large = cut(rest.where(F.col("members") > MEET).select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("part")))
+    if not large.limit(1).count():
+        return label
+    keyed = items.select("id", "keys", "light")
+    end = lambda name: keyed.select(F.col("id").alias(name), F.col("keys").alias(f"k_{name}"), F.col("light").alias(f"l_{name}"))
+    met = cut(narrow(large).distinct())
+    met = met.join(end("a"), "a").join(end("b"), "b").where(F.arrays_overlap("k_a", "k_b") & alike(la, lb)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = cut(met.join(tried, ["a", "b"], "left_anti"))
+    return components(links.union(confirmed(met))) if met.limit(1).count() else label

@@ -93,12 +93,16 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     parts = max(1, both.rdd.getNumPartitions())
     small = lambda df: df.coalesce(parts)
     parent = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("p")))
+    # A node has one row in `parent`, in every round: where they are few, the hub of a star meets its
+    # neighbours without a shuffle; beyond that Spark splits the hub's partition.
+    few = parent.count() <= BROADCAST_ROWS
+    held = lambda df: F.broadcast(df) if few else df
     while True:
-        near = small(both.join(parent.withColumnRenamed("id", "u"), "u")).groupBy(F.col("v").alias("id")).agg(F.min("p").alias("m"))
+        near = small(both.join(held(parent.withColumnRenamed("id", "u")), "u")).groupBy(F.col("v").alias("id")).agg(F.min("p").alias("m"))
         moved = small(parent.join(near, "id")).select("id", "p", F.least("p", "m").alias("m"))
         hooked = small(moved.select("id", "m").union(moved.select(F.col("p").alias("id"), "m")).groupBy("id").agg(F.min("m").alias("p")))
         up = hooked.select(F.col("id").alias("p"), F.col("p").alias("g"))
-        after = cut(hooked.join(up, "p").select("id", F.col("g").alias("p")))
+        after = cut(hooked.join(held(up), "p").select("id", F.col("g").alias("p")))
         changed = after.join(parent.withColumnRenamed("p", "was"), "id").where("p != was").limit(1).count()
         parent = after
         release(spark)

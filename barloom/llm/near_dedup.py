@@ -5,7 +5,8 @@ a parity bitmap (an odd sketch): the population count of two bitmaps' XOR estima
 equal samples precisely where similarity is high, so most false candidates go without their full
 sets being fetched. What is left is confirmed on full shingle sets. Chosen links make components.
 
-Copies of one set collapse first; no bucket is expanded into all its pairs (see buckets).
+Copies of one set collapse first; buckets are not expanded into all their pairs (see buckets), and what
+is left of large ones meets by rare shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import joined_parts
-from .common import cut, release
+from .common import beside, cut, release
 
 BANDS, ROWS = 40, 5
 SKETCH_WORDS = 16  # of 64 bits
@@ -141,6 +142,38 @@ def shingle_sets(docs: DataFrame, *, size: int, id_col: str, text_col: str) -> D
     return docs.select(id_col, text_col).mapInArrow(run, "id long, shingles array<long>")
 
 
+def rare_pairs(sets: DataFrame, millionths: int) -> DataFrame:
+    """Pairs (a, b) of different parts of `sets` (id, part, heavy array<long>, a set) that share a
+    shingle among the rarest of each, a superset of the pairs at the similarity.
+
+    Shingles are ordered by how many of the sets have them. A set of n shares at least s * n
+    shingles with one at similarity s, so that the first shingle they share is among the first
+    n - s * n + 1 of it; for the smaller of the two 2s / (1 + s) takes the place of s. Sets that are
+    alike only in shingles that all of them have do not meet. Where both shared places are so late
+    that too few shingles follow, the pair is left out at once.
+    """
+    million = F.lit(1_000_000)
+    at_least = lambda n, share: F.ceil(n * share / million).cast("int")
+    n = F.size("heavy")
+    each = sets.select("id", F.explode("heavy").alias("g"))
+    common = cut(each.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), 500_000)
+    found = beside(each, common, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))
+    both = 2_000_000.0 * millionths / (1_000_000 + millionths)
+    sized = sets.select("id", "part", n.alias("n")).join(found, "id").withColumn("alone", F.col("n") - F.size("gs"))
+    probe = F.col("n") - at_least(F.col("n"), F.lit(millionths)) + 1
+    entries = sized.select("id", "part", "n", F.col("alone"), F.posexplode(F.slice("gs", F.lit(1), F.greatest(probe - F.col("alone"), F.lit(0)))).alias("k", "e"))
+    entries = entries.select("id", "part", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("e.g").alias("g"))
+    entries = cut(entries)
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(both) / million - 1e-9).cast("int") + 1
+    a = entries.select("g", F.col("id").alias("a"), F.col("part").alias("p"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    b = entries.where(F.col("at") < first).select("g", F.col("id").alias("b"), F.col("part").alias("q"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    longer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))
+    near = F.col("n_b") * million >= F.col("n_a") * F.lit(millionths)
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = left * F.lit(1_000_000 + millionths) >= (F.col("n_a") + F.col("n_b")) * F.lit(millionths)
+    return a.join(b, "g").where((F.col("p") != F.col("q")) & longer & near & enough).select("a", "b")
+
+
 def near_copies(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups rows whose shingle sets have a Jaccard similarity of at least `similarity`.
 
@@ -171,15 +204,18 @@ def near_copies(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, band
         return sized & (differing(a, b) <= limit)
 
     def heavy_of(ids: DataFrame) -> DataFrame:
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(ids, "id", "left_semi")
+        texts = beside(docs.select(F.col(id_col).cast("long").alias("id"), text_col), cut(ids), "id", "left_semi")
         return cut(shingle_sets(texts, size=size, id_col="id", text_col=text_col).select("id", F.col("shingles").alias("heavy")), 5_000)
 
     def exact(a: Column, b: Column) -> Column:
         both = F.size(F.array_intersect(a, b)).cast("long")
         return both * 1_000_000 >= (F.size(a) + F.size(b) - both) * percent
 
+    def narrow(parts: DataFrame) -> DataFrame:
+        return rare_pairs(heavy_of(parts.select("id")).join(parts, "id"), percent)
+
     items = sets.select("id", "keys", F.struct("n_shingles", "sketch").alias("light"))
-    label = joined_parts(items, alike, differing, heavy_of, exact)
+    label = joined_parts(items, alike, differing, heavy_of, exact, narrow)
     named = sets.select("set_hash", "id").join(label, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     out = sig.join(named, "set_hash", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.col("component_id").cast(kind).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

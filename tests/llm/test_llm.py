@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm import bpe, decontaminate, html_crf, line_dedup, media_copies, near_dedup, quality_fm, reply_trees, token_count, warc
+from barloom.llm import bpe, buckets, decontaminate, html_crf, line_dedup, media_copies, near_dedup, quality_fm, reply_trees, token_count, warc
 from barloom.llm.common import components
 
 VOCABULARY = P.path("byte_bpe_50k.json")
@@ -109,6 +109,62 @@ def test_near_copies_equal_brute_force(spark, size):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def made_rows(spark) -> tuple[int, int]:
+    """Rows that joins and generators of all queries so far have made: their sum, and how many queries."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, total = store.executionsList(), 0
+    for k in range(runs.size()):
+        e = runs.apply(k)
+        values = store.executionMetrics(e.executionId())
+        nodes = store.planGraph(e.executionId()).allNodes()
+        for i in range(nodes.size()):
+            node = nodes.apply(i)
+            if "Join" in node.name():
+                for j in range(node.metrics().size()):
+                    m = node.metrics().apply(j)
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total, runs.size()
+
+
+def test_templated_texts_do_not_meet_in_pairs(spark):
+    """Pages of one template, alike in 7 of 10 words: all share buckets, none is a near copy."""
+    rng = random.Random(2)
+    template = [f"t{i}" for i in range(120)]
+    made = []
+    for n in (400, 800):
+        rows = [(i, " ".join(template + [f"u{rng.randrange(10**9)}" for _ in range(45)])) for i in range(n)]
+        before = made_rows(spark)[0]
+        got = near_dedup.near_copies(frame(spark, rows), size=2).collect()
+        made.append(made_rows(spark)[0] - before)
+        assert all(r["kept"] for r in got) and len(got) == n
+    assert made[1] <= 2.2 * made[0]
+
+
+def test_large_buckets_meet_by_rare_shingles(spark, monkeypatch):
+    """Every bucket that holds two components is taken as a large one."""
+    monkeypatch.setattr(buckets, "MEET", 0)
+    monkeypatch.setattr(buckets, "LIKELY", 1)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for base in (rng.choices(words, k=k) for k in (4, 9, 30, 31, 32, 80, 81)):
+        for _ in range(25):
+            copy = [rng.choice(words) if rng.random() < 0.06 else w for w in base]
+            rows.append((len(rows), " ".join(copy + rng.choices(words, k=rng.randint(0, 3)))))
+    want, _ = brute_components(rows, 2)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_copies(frame(spark, rows), size=2).collect()} == want
+
+
+def test_rare_pairs_hold_every_true_pair(spark):
+    rng = random.Random(4)
+    sets = [(i, i, rng.sample(range(40), rng.randint(1, 24))) for i in range(120)]
+    sets += [(200 + i, 200 + i, list({*sets[i][2], *rng.sample(range(40), 2)})) for i in range(100)]
+    got = {(min(r), max(r)) for r in near_dedup.rare_pairs(spark.createDataFrame(sets, "id long, part long, heavy array<long>"), 800_000).collect()}
+    true = {(a, b) for a, _, x in sets for b, _, y in sets if a < b and 10 * len(set(x) & set(y)) >= 8 * len(set(x) | set(y))}
+    assert true <= got and len(true) > 50
+
+
 def test_near_copies_edges(spark):
     out = near_dedup.near_copies(with_extra(spark, odd_texts()), size=2).collect()
     assert len(out) == 10
