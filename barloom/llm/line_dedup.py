@@ -4,10 +4,11 @@ From every line on, a window of following lines is taken until it holds `min_wor
 line with the smallest hash in a window is its fingerprint. What a window holds depends on its
 text alone, so any two runs of equal lines with at least `min_words` words share a window and
 hence a fingerprint: none is missed, and a fingerprint that stands in one place only rules out all
-its windows. Windows with repeated fingerprints are joined to the first place of the same window,
-and matches are extended line by line. To the left every extension is itself a matched window
-(a window that starts one line earlier ends no later); to the right the lines after the window
-are compared with those after its first place. The lines of all runs but the first go.
+its windows. Matches are extended line by line over all earlier places at once. To the left every
+extension is itself a matched window (a window that starts one line earlier ends no later). To the
+right a window is also taken together with the lines that follow it, one, two and so on, up to where
+the next window ends: such a run stands earlier exactly if its hash does, wherever that is. A run
+that is not the first with its hash goes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, beside, cut, fresh
 
 #: Words that a repeated run of lines must hold to be removed.
 MIN_WORDS = 50
@@ -37,30 +38,28 @@ def windows(docs: DataFrame, *, min_words: int, id_col: str, text_col: str) -> D
     placed = unit.select("*", (F.sum("w").over(of.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")).alias("before"), F.row_number().over(of.orderBy("pos")).alias("nth"))
     # A line is in the window if fewer than min_words words stand between the window's start and it.
     ahead = of.orderBy("before").rangeBetween(0, min_words - 1)
-    held = placed.select("id", "dk", "pos", "nth", F.collect_list("h").over(ahead).alias("hashes"), (F.max(F.col("before") + F.col("w")).over(ahead) >= F.col("before") + min_words).alias("whole"))
-    return held
+    held = placed.select("id", "dk", "nth", F.collect_list("h").over(ahead).alias("hashes"), (F.max(F.col("before") + F.col("w")).over(ahead) >= F.col("before") + min_words).alias("whole"))
+    # The next window, or at the end of the text what is left of it, has the lines that follow this one.
+    after, ends = F.lead("hashes").over(of.orderBy("nth")), F.lead("whole").over(of.orderBy("nth"))
+    held = held.select("*", after.alias("after"), ends.alias("ends")).where("whole")
+    more = F.coalesce(F.size("after") + 1 - F.size("hashes"), F.lit(0))
+    beyond = F.slice("after", F.size("after") - more + 1, F.greatest(more - F.col("ends").cast("int"), F.lit(0)))
+    return held.select("id", "dk", "nth", "hashes", F.when(more > 0, beyond).otherwise(F.array().cast("array<bigint>")).alias("beyond"))
 
 
 def repeated(docs: DataFrame, *, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Positions of the lines to remove: id, dk (text hash), positions array<int>."""
-    lines = cut(windows(docs, min_words=min_words, id_col=id_col, text_col=text_col))
-    full = lines.where("whole").select("id", "dk", "nth", F.size("hashes").alias("n"), F.xxhash64("hashes").alias("window"), F.array_min("hashes").alias("fingerprint"), F.array_position("hashes", F.array_min("hashes")).alias("at"))
-    place = F.struct("id", "dk", (F.col("nth") + F.col("at")).alias("line"))
-    twice = full.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select("fingerprint")
-    found = full.join(twice, "fingerprint").select("id", "dk", "nth", "n", "window")
+    """The lines to remove: id, dk (text hash), numbers array<int> among the lines with words, from 1."""
+    full = cut(windows(docs, min_words=min_words, id_col=id_col, text_col=text_col).withColumn("fingerprint", F.array_min("hashes")))
+    place = F.xxhash64("id", "dk", F.col("nth") + F.array_position("hashes", F.col("fingerprint")))
+    twice = cut(full.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("fingerprint"))
+    longer = F.transform(F.sequence(F.lit(0), F.size("beyond")), lambda k: F.struct((F.size("hashes") + k).alias("n"), F.xxhash64("hashes", F.slice("beyond", F.lit(1), k)).alias("run")))
+    found = cut(beside(full, twice, "fingerprint").select("id", "dk", "nth", F.explode(longer).alias("r")).select("id", "dk", "nth", "r.n", "r.run"))
+    # Of each run, its first place; of a place, all runs that start there are held against that.
     start = F.struct("id", "dk", "nth")
-    first = found.groupBy("window").agg(F.min(start).alias("source"), F.max(start).alias("last")).where(~F.col("source").eqNullSafe(F.col("last"))).select("window", "source")
-    match = found.join(first, "window").where(~start.eqNullSafe(F.col("source"))).select("id", "dk", "nth", "n", F.col("source.id").alias("s_id"), F.col("source.dk").alias("s_dk"), F.col("source.nth").alias("s_nth"))
-    after = lines.select(F.col("id").alias("x_id"), F.col("dk").alias("x_dk"), F.col("nth").alias("x_nth"), "hashes")
-    own = match.join(after, F.col("id").eqNullSafe(F.col("x_id")) & (F.col("dk") == F.col("x_dk")) & (F.col("nth") + F.col("n") == F.col("x_nth")), "left").select(*match.columns, F.col("hashes").alias("mine"))
-    both = own.join(after, F.col("s_id").eqNullSafe(F.col("x_id")) & (F.col("s_dk") == F.col("x_dk")) & (F.col("s_nth") + F.col("n") == F.col("x_nth")), "left").select(*own.columns, F.coalesce("hashes", F.array().cast("array<bigint>")).alias("its"))
-    same = F.zip_with(F.coalesce("mine", F.array().cast("array<bigint>")), "its", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    wrong = F.array_position(same, F.lit(False))
-    longer = F.when(wrong > 0, wrong - 1).otherwise(F.size(same)).cast("int")
-    gone = both.select("id", "dk", F.explode(F.sequence(F.col("nth"), F.col("nth") + F.col("n") + longer - 1)).alias("nth")).distinct()
-    keyed = lines.select("id", "dk", "nth", "pos")
-    named = gone.alias("g").join(keyed.alias("k"), F.col("g.id").eqNullSafe(F.col("k.id")) & (F.col("g.dk") == F.col("k.dk")) & (F.col("g.nth") == F.col("k.nth"))).select("k.id", "k.dk", "pos")
-    return named.groupBy("id", "dk").agg(F.collect_list("pos").alias("positions"))
+    first = cut(found.groupBy("run").agg(F.min(start).alias("source"), F.max(start).alias("last")).where(~F.col("source").eqNullSafe(F.col("last"))).select("run", "source"))
+    again = beside(found, first, "run", rows=500_000).where(~start.eqNullSafe(F.col("source"))).groupBy("id", "dk", "nth").agg(F.max("n").alias("n"))
+    gone = again.groupBy("id", "dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("nth"), F.col("nth") + F.col("n") - 1))))).alias("numbers"))
+    return cut(gone)
 
 
 def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,22 +67,25 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
 
     A run is removed if it holds at least `min_words` words and the same lines, in the same order,
     stand earlier: in a document with a smaller id (null ids come first; of texts with one id the
-    one with the smaller hash) or earlier in the same document. Each window of a run is held
-    against its first place only: lines after the last whole window go if they follow that first place
-    too, and stay if they follow a later place alone. White space inside lines is not
+    one with the smaller hash) or earlier in the same document, at whatever place. White space inside lines is not
     compared, blank lines never count. The first place of every line stays, so no text is lost
     altogether. A null text stays null with 0 lines; a text of blank lines is unchanged. Repeated
     rows of one document get the same result. A text whose lines all go becomes empty. A column
     n_chars, where there is one, is set to the new length. Columns named n_lines or n_removed are
     replaced; all others are passed on, whatever their names. An empty table gives an empty table.
     """
-    gone = repeated(docs, min_words=min_words, id_col=id_col, text_col=text_col).select(F.col("id").alias("__id"), F.col("dk").alias("__dk"), F.col("positions").alias("__gone"))
+    gone = repeated(docs, min_words=min_words, id_col=id_col, text_col=text_col)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__dk")), "left")
-    lines = F.split(text_col, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
-    joined = joined.withColumn("__lines", lines)
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.col("__lines")[i]), "\n"))
-    out = joined.withColumn("__text", text)
-    columns = [F.col("__text").alias(c) if c == text_col else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in kept]
-    return out.select(*columns, F.coalesce(F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    i_, d_, gone_, lines_, text_ = fresh([*docs.columns, "n_lines", "n_removed"], "id", "dk", "gone", "lines", "text")
+    gone = gone.select(F.col("id").alias(i_), F.col("dk").alias(d_), F.col("numbers").alias(gone_))
+    # Few numbers of lines are broadcast, so that texts do not move; beyond that the texts are joined by a shuffle.
+    few = (gone.agg(F.sum(F.size(gone_) + 8)).first()[0] or 0) <= 4_000_000
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(i_)) & (F.xxhash64(f"`{text_col}`") == F.col(d_))
+    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(F.broadcast(gone) if few else gone, same, "left")
+    joined = joined.withColumn(lines_, F.split(f"`{text_col}`", "\n", -1))
+    worded = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: plain(F.col(lines_)[i]) != "")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.transform(gone_, lambda k: F.get(worded, k - 1)))
+    text = F.when(F.col(gone_).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines_)[i]), "\n"))
+    out = joined.withColumn(text_, text)
+    columns = [F.col(text_).alias(c) if c == text_col else F.length(text_).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in kept]
+    return out.select(*columns, F.coalesce(F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines_)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone_), F.lit(0)).cast("long").alias("n_removed"))

@@ -134,15 +134,17 @@ numbered AS (
   SELECT a.doc_id, a.nth, string_agg(b.line, chr(10) ORDER BY b.nth) AS t, count(*) AS n
   FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.before BETWEEN a.before AND a.before + 49
   GROUP BY a.doc_id, a.nth, a.before HAVING max(b.before + b.w) >= a.before + 50
-), placed AS (SELECT *, first_value(doc_id) OVER f AS s_id, first_value(nth) OVER f AS s_nth FROM win WINDOW f AS (PARTITION BY t ORDER BY doc_id, nth)),
-hit AS (SELECT doc_id, nth, s_id, s_nth FROM placed WHERE (doc_id, nth) <> (s_id, s_nth)),
-ends AS (
-  SELECT h.doc_id, h.nth, min(a.nth) AS stop FROM hit h JOIN numbered a ON a.doc_id = h.doc_id AND a.nth >= h.nth
+), hit AS (
+  SELECT a.doc_id, a.nth, b.doc_id AS s_id, b.nth AS s_nth FROM win a JOIN win b ON a.t = b.t AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.nth < a.nth))
+), ends AS (
+  SELECT h.doc_id, h.nth, h.s_id, h.s_nth, min(a.nth) AS stop FROM hit h JOIN numbered a ON a.doc_id = h.doc_id AND a.nth >= h.nth
   LEFT JOIN numbered b ON b.doc_id = h.s_id AND b.nth = h.s_nth + a.nth - h.nth
-  WHERE b.line IS NULL OR a.line <> b.line GROUP BY h.doc_id, h.nth
+  WHERE b.line IS NULL OR a.line <> b.line GROUP BY ALL
+), runs AS (
+  SELECT h.doc_id, h.nth, max(coalesce(e.stop, 1000000000)) AS stop FROM hit h
+  LEFT JOIN ends e ON e.doc_id = h.doc_id AND e.nth = h.nth AND e.s_id = h.s_id AND e.s_nth = h.s_nth GROUP BY 1, 2
 ), gone AS (
-  SELECT DISTINCT n.doc_id, n.pos FROM hit h LEFT JOIN ends e ON e.doc_id = h.doc_id AND e.nth = h.nth
-  JOIN numbered n ON n.doc_id = h.doc_id AND n.nth >= h.nth AND n.nth < coalesce(e.stop, 1000000000)
+  SELECT DISTINCT n.doc_id, n.pos FROM runs h JOIN numbered n ON n.doc_id = h.doc_id AND n.nth >= h.nth AND n.nth < h.stop
 ), out AS (
   SELECT r.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (g.pos IS NULL), '') AS text
   FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos GROUP BY r.doc_id

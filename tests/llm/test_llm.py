@@ -369,13 +369,12 @@ def brute_lines(rows, least):
             if n < least:
                 continue
             window = tuple(x for _, x in u[k : k + e])
-            if window not in seen:
-                seen[window] = (i, k)
-                continue
-            j, m = seen[window]
-            while k + e < len(u) and m + e < len(plain[j]) and u[k + e][1] == plain[j][m + e][1]:
-                e += 1
-            gone[i] |= {p for p, _ in u[k : k + e]}
+            for j, m in seen.get(window, ()):
+                f = e
+                while k + f < len(u) and m + f < len(plain[j]) and u[k + f][1] == plain[j][m + f][1]:
+                    f += 1
+                gone[i] |= {p for p, _ in u[k : k + f]}
+            seen.setdefault(window, []).append((i, k))
     return {i: ("\n".join(x for k, x in enumerate(ls) if k not in gone[i]), len(gone[i])) for i, ls in docs.items()}
 
 
@@ -388,6 +387,21 @@ def test_line_winnowing_equals_brute_force(spark):
     assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got} == want and any(n for _, n in want.values())
 
 
+def test_repeats_of_a_later_place_go(spark):
+    p, x, y, z = "p " * 60, "x " * 10, "y " * 10, "z " * 49
+    rows = [(1, f"{p}\n{x}"), (2, f"{p}\n{y}\n{z}"), (3, f"{p}\n{y}"), (4, f"{p}\n{y}\n{z}\nend"), (5, f"{y}\n{z}\n\n{x}"), (6, f"{z}\nq\n{z}\nq")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    want = brute_lines(rows, 50)
+    assert got == {i: t for i, (t, _) in want.items()} and got[3] == "" and got[2] == f"{y}\n{z}" and got[4] == "end" and got[5] == f"\n{x}" and got[6] == f"{z}\nq"
+
+
+def test_columns_named_like_helpers_stay(spark):
+    names = ["id", "dk", "gone", "lines", "_text", "__text", "__lines", "N_chars"]
+    docs = frame(spark, [(1, "a " * 60), (2, "a " * 60 + "\nb")]).select("*", *[F.lit(n).alias(n) for n in names])
+    out = line_dedup.remove_repeats(docs).orderBy("doc_id").collect()
+    assert out[1]["text"] == "b" and all(r[n] == n for r in out for n in names)
+
+
 def test_line_edges(spark):
     out = line_dedup.remove_repeats(with_extra(spark, odd_texts())).collect()
     by = {r["doc_id"]: r for r in out}
