@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -60,33 +62,39 @@ def trailing_percentile(x: Column, n: int) -> Column:
     return F.when(x.isNotNull() & (F.count(x).over(frame) >= n // 2), 2 * share - 1)
 
 
-#: Rows after which the weights of an exponential average start afresh; by then older rows weigh
-#: less than a double's precision, for every alpha of at least 40 / BLOCK.
-BLOCK = 1024
-
-
-def ewm(df: DataFrame, value: Column, alpha: float, name: str, least: int = 0) -> DataFrame:
-    """Adds the exponentially weighted mean y = alpha * x + (1 - alpha) * y before it, started by
-    the first value; null before it and while fewer than `least` values are there.
+def decaying_sum(df: DataFrame, value: Column, keep: float, name: str) -> DataFrame:
+    """Adds y = value + keep * y before it (0 before the first value), and <name>_n, the number of the
+    value from 0; both null before the first value. Later nulls are not allowed.
 
-    Leading nulls are skipped; later ones are not allowed. Weights grow from the start of each
-    block of rows, never over the whole series, so a series may have any length: what a block
-    inherits is the sum of the block before, all that still weighs. Four windows over one shuffle.
+    Weights grow from the start of each block of rows, never over the whole series, so a series may
+    have any length. A block is as long as it takes a weight to fall below a double's precision,
+    whatever `keep` is; what a block inherits is then the sum of the block before, all that still
+    weighs. Four windows over one shuffle.
     """
-    if alpha * BLOCK < 40:
-        raise ValueError("alpha is too small for the block length")
-    keep = 1 - alpha
-    x, n, b, s, e = (f"__{name}_{k}" for k in "xnbse")
+    if not 0 < keep < 1:
+        raise ValueError("keep must be between 0 and 1")
+    block = math.ceil(40 / -math.log(keep))
+    n, x, b, s, e = f"{name}_n", *(f"__{name}_{k}" for k in "xbse")
     out = df.withColumn(x, value)
     out = out.withColumn(n, F.when(F.col(x).isNotNull(), F.count(x).over(so_far()) - 1))
-    out = out.withColumn(b, F.floor(F.col(n) / BLOCK))
-    place = F.col(n) - F.col(b) * BLOCK
-    weight = F.when(F.col(n) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    out = out.withColumn(b, F.floor(F.col(n) / block))
+    place = F.col(n) - F.col(b) * block
     inside = Window.partitionBy(KEY, b).orderBy(ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn(s, F.pow(F.lit(keep), place) * F.sum(weight * F.col(x) * F.pow(F.lit(keep), -place)).over(inside))
-    out = out.withColumn(e, F.sum(F.when(place == BLOCK - 1, F.col(s))).over(Window.partitionBy(KEY).orderBy(b).rangeBetween(-1, -1)))
-    y = F.col(s) + F.coalesce(F.col(e), F.lit(0.0)) * F.pow(F.lit(keep), place + 1)
-    return out.withColumn(name, F.when(F.col(n) >= max(least, 1) - 1, y)).drop(x, n, b, s, e)
+    out = out.withColumn(s, F.pow(F.lit(keep), place) * F.sum(F.col(x) * F.pow(F.lit(keep), -place)).over(inside))
+    out = out.withColumn(e, F.sum(F.when(place == block - 1, F.col(s))).over(Window.partitionBy(KEY).orderBy(b).rangeBetween(-1, -1)))
+    return out.withColumn(name, F.col(s) + F.coalesce(F.col(e), F.lit(0.0)) * F.pow(F.lit(keep), place + 1)).drop(x, b, s, e)
+
+
+def ewm(df: DataFrame, value: Column, alpha: float, name: str, least: int = 0) -> DataFrame:
+    """Adds the exponentially weighted mean y = alpha * x + (1 - alpha) * y before it, started by
+    the first value; null before it and while fewer than `least` values are there. Any alpha up to 1."""
+    if alpha >= 1:
+        return df.withColumn(name, F.when(F.count(value).over(so_far()) >= max(least, 1), value))
+    x, y, n = f"__{name}_v", f"__{name}_y", f"__{name}_y_n"
+    out = df.withColumn(x, value)
+    first = F.count(x).over(so_far()) == 1
+    out = decaying_sum(out, F.when(first, F.lit(1.0)).otherwise(F.lit(alpha)) * F.col(x), 1 - alpha, y)
+    return out.withColumn(name, F.when(F.col(n) >= max(least, 1) - 1, F.col(y))).drop(x, y, n)
 
 
 def wilder(df: DataFrame, value: Column, period: int, name: str) -> DataFrame:

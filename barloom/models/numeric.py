@@ -19,70 +19,117 @@ class Minimum(NamedTuple):
     converged: bool
 
 
-def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, *, step: float = 0.25, rounds: int = 2000, tolerance: float = 1e-8, restarts: int = 1) -> Minimum:
-    """Nelder-Mead with dimension-dependent coefficients (Gao and Han), restarted about its
-    result. What is not finite counts as infinite, so f may refuse a region."""
+def finite(f: Callable[[np.ndarray], float]) -> Callable[[np.ndarray], float]:
+    """f, infinite where it fails or gives no number, so that it may refuse a region."""
 
-    def safe(x: np.ndarray) -> float:
+    def value(x: np.ndarray) -> float:
         try:
             v = float(f(x))
         except (ArithmeticError, ValueError):
             return math.inf
         return v if math.isfinite(v) else math.inf
 
-    n = len(start)
-    expand, contract, shrink = 1 + 2 / n, 0.75 - 0.5 / n, 1 - 1 / n
-    if n == 1:
-        expand, contract, shrink = 2.0, 0.5, 0.5
-    best, used, done = np.asarray(start, float), 0, False
+    return value
+
+
+def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, *, step: float = 0.25, rounds: int = 2000, tolerance: float = 1e-8, restarts: int = 1) -> Minimum:
+    """Nelder and Mead's search (1965) with the coefficients that Gao and Han (2012) give for a
+    dimension, started again about its result. A run ends when the corners' values and places are
+    both as close as rounding in f allows."""
+    cost, n = finite(f), len(start)
+    grow, inward, shrunk = (2.0, 0.5, 0.5) if n == 1 else (1 + 2 / n, 0.75 - 1 / (2 * n), 1 - 1 / n)
+    top, used, settled = (cost(np.asarray(start, float)), tuple(np.asarray(start, float))), 0, False
     for _ in range(restarts + 1):
-        points = np.vstack([best, best + step * np.eye(n)])
-        values = np.array([safe(p) for p in points])
-        done = False
-        while used < rounds:
-            order = np.argsort(values, kind="stable")
-            points, values = points[order], values[order]
-            if values[-1] - values[0] <= tolerance * (abs(values[0]) + tolerance) and np.abs(points[1:] - points[0]).max() <= math.sqrt(tolerance):
-                done = True
-                break
+        centre = np.array(top[1])
+        corners = sorted([top, *((cost(x), tuple(x)) for x in centre + step * np.eye(n))])
+        settled = False
+        while used < rounds and not settled:
             used += 1
-            centre = points[:-1].mean(0)
-            ray = centre - points[-1]
-            tried = centre + ray
-            v = safe(tried)
-            if v < values[0]:
-                far = centre + expand * ray
-                w = safe(far)
-                points[-1], values[-1] = (far, w) if w < v else (tried, v)
-            elif v < values[-2]:
-                points[-1], values[-1] = tried, v
+            *good, (worst, at) = corners
+            middle = np.mean([x for _, x in good], 0)
+            look = lambda k: (cost(x := middle + k * (middle - np.array(at))), tuple(x))  # noqa: E731,B023
+            new = look(1.0)
+            if new[0] < good[0][0]:
+                new = min(new, look(grow))
+            elif new[0] >= good[-1][0]:
+                tried = look(inward if new[0] < worst else -inward)
+                new = tried if tried[0] < min(new[0], worst) else None
+            if new is None:
+                first = np.array(good[0][1])
+                corners = sorted([good[0], *((cost(y), tuple(y)) for y in (first + shrunk * (np.array(x) - first) for _, x in corners[1:]))])
             else:
-                near = centre + (contract if v < values[-1] else -contract) * ray
-                w = safe(near)
-                if w < min(v, values[-1]):
-                    points[-1], values[-1] = near, w
-                else:
-                    points[1:] = points[0] + shrink * (points[1:] - points[0])
-                    values[1:] = [safe(p) for p in points[1:]]
-        k = int(np.argmin(values))
-        best, value = points[k], float(values[k])
-    return Minimum(best, value, used, done)
+                corners = sorted([*good, new])
+            low, high = corners[0], corners[-1]
+            width = max(max(abs(p - q) for p, q in zip(x, low[1], strict=True)) for _, x in corners)
+            settled = high[0] - low[0] <= tolerance * (abs(low[0]) + tolerance) and width <= math.sqrt(tolerance)
+        top = corners[0]
+    return Minimum(np.array(top[1]), top[0], used, settled)
+
+
+def descend(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, *, rounds: int = 200, tolerance: float = 1e-7) -> Minimum:
+    """Quasi-Newton search (BFGS) with step halving, for a cost with its gradient. It ends where the
+    gradient is small against the cost, or where no step lowers the cost."""
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        try:
+            v, g = f(x)
+        except (ArithmeticError, ValueError):
+            return math.inf, x
+        return (float(v), g) if math.isfinite(v) and np.isfinite(g).all() else (math.inf, x)
+
+    x = np.asarray(start, float)
+    v, g = at(x)
+    if not math.isfinite(v):
+        return Minimum(x, v, 0, False)
+    bend, scaled = np.eye(len(x)) / max(1.0, float(np.abs(g).max())), False
+    for used in range(1, rounds + 1):
+        if np.abs(g).max() <= tolerance * (1 + abs(v)):
+            return Minimum(x, v, used - 1, True)
+        way = -bend @ g
+        if way @ g >= 0:
+            bend = np.eye(len(x)) / max(1.0, float(np.abs(g).max()))
+            way = -bend @ g
+        way *= min(1.0, 2.0 / float(np.abs(way).max()))
+        size = 1.0
+        while True:
+            y = x + size * way
+            w, k = at(y)
+            if w <= v + 1e-4 * size * (way @ g):
+                break
+            size /= 2
+            if size < 1e-9:
+                return Minimum(x, v, used, True)
+        moved, turned = y - x, k - g
+        if (along := float(moved @ turned)) > 1e-10 * float(np.linalg.norm(moved) * np.linalg.norm(turned)):
+            if not scaled:
+                bend, scaled = np.eye(len(x)) * along / float(turned @ turned), True
+            left = np.eye(len(x)) - np.outer(moved, turned) / along
+            bend = left @ bend @ left.T + np.outer(moved, moved) / along
+        x, v, g = y, w, k
+    return Minimum(x, v, rounds, False)
+
+
+def slopes(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, step: float = 1e-5) -> np.ndarray:
+    """Central differences of a cheap vector function: row i has the changes along x[i]."""
+    return np.array([(f(x + d) - f(x - d)) / (2 * step) for d in step * np.eye(len(x))])
 
 
 def first_order(u: np.ndarray, beta: float, start: float) -> np.ndarray:
-    """y[t] = u[t] + beta * y[t - 1], y[-1] = start: blocks by one triangular product, then a short
-    pass over the block ends."""
-    n = len(u)
+    """y[t] = u[t] + beta * y[t - 1], y[-1] = start, along the last axis: blocks by one triangular
+    product, then a short pass over the block ends."""
+    n = u.shape[-1]
     m = -(-n // BLOCK)
     k = np.arange(BLOCK)
     lag = k[:, None] - k[None, :]
     weight = np.where(lag >= 0, beta ** np.maximum(lag, 0), 0.0)
-    part = np.pad(u, (0, m * BLOCK - n)).reshape(m, BLOCK) @ weight.T
-    decay, carry = beta ** (k + 1.0), start
+    padded = np.zeros((*u.shape[:-1], m * BLOCK))
+    padded[..., :n] = u
+    part = padded.reshape(*u.shape[:-1], m, BLOCK) @ weight.T
+    decay, carry = beta ** (k + 1.0), np.full(u.shape[:-1], start)
     for i in range(m):
-        part[i] += decay * carry
-        carry = part[i, -1]
-    return part.reshape(-1)[:n]
+        part[..., i, :] += carry[..., None] * decay
+        carry = part[..., i, -1]
+    return part.reshape(*u.shape[:-1], m * BLOCK)[..., :n]
 
 
 def second_order(u: np.ndarray, a: float, b: float, before: tuple[float, float]) -> np.ndarray:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ordered, so_far
+from ..functions.windows import decaying_sum, ordered, so_far
 
 C = F.col
 
@@ -78,18 +78,13 @@ def merton_logpdf(x: Column, mu: float, sigma: float, intensity: float, jump_mea
 
 def garch_path(returns: DataFrame, omega: float, alpha: float, gamma: float, beta: float) -> DataFrame:
     """M5: by ticker the variance recursion over percent shocks, started by the unconditional
-    variance, folded in the JVM; one row for each day, `variance` being that of the next day.
-
-    Each day's variance is a weighted sum of earlier ones, so that a fold over the shocks that are
-    still felt (beta to the power of their age above 1e-18) gives it to a double's precision.
-    """
-    reach = min(2000, max(1, math.ceil(math.log(1e-18) / math.log(beta))))
+    variance; one row for each day, `variance` being that of the next day. The recursion is a
+    decaying sum of what each day brings, taken in blocks, for any beta and length."""
     start = omega / (1 - alpha - gamma / 2 - beta)
-    w = ordered().rowsBetween(-(reach - 1), 0)
     shocks = returns.where("r IS NOT NULL").withColumn("e", 100 * (C("r") - F.avg("r").over(Window.partitionBy("ticker"))))
-    held = shocks.withColumn("held", F.collect_list("e").over(w))
-    fold = F.aggregate("held", F.lit(start), lambda v, e: omega + (alpha + F.when(e < 0, gamma).otherwise(0.0)) * e * e + beta * v)
-    return held.select("ticker", "date", "position", C("e").alias("shock"), fold.alias("variance"))
+    brought = omega + (alpha + F.when(C("e") < 0, gamma).otherwise(0.0)) * C("e") * C("e")
+    summed = decaying_sum(shocks, brought, beta, "v")
+    return summed.select("ticker", "date", "position", C("e").alias("shock"), (C("v") + start * F.pow(F.lit(beta), C("v_n") + 1)).alias("variance"))
 
 
 def reaction_days(announcements: DataFrame, calendar: DataFrame, timezone: str, close_time: str) -> DataFrame:

@@ -130,31 +130,46 @@ def return_over(closes: DataFrame, days: int, by: list[str]) -> DataFrame:
 CALENDAR_ROWS = 100_000
 
 
+def index_strength(bars: DataFrame, index: DataFrame, name: str) -> DataFrame:
+    """By ticker the index's return over 63 of its sessions up to the ticker's last date; `index` is
+    (date, close), or (ticker, date, close) where tickers have indices of their own. An as-of join by
+    union and a running last value."""
+    own = "ticker" in index.columns
+    by = ["ticker"] if own else []
+    w = Window.partitionBy(*by).orderBy("date")
+    ret = index.withColumn("ret", C("close") / F.lag("close", STRENGTH_DAYS).over(w) - 1).select(*by, "date", "ret", F.lit(True).alias("known"), F.lit(0).alias("side"))
+    last = bars.groupBy("ticker").agg(F.max("date").alias("date"))
+    if own:
+        both = ret.unionByName(last.withColumn("side", F.lit(1)), allowMissingColumns=True)
+        upto = Window.partitionBy("ticker").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("held", F.last(F.when(C("known"), F.struct("ret")), ignorenulls=True).over(upto)).where("side = 1")
+        return found.select("ticker", C("held.ret").alias(name))
+    # One index for all: as-of for each distinct last date, of which there are no more than days.
+    ends = ret.unionByName(last.select("date", F.lit(1).alias("side")).distinct(), allowMissingColumns=True)
+    upto = Window.orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = ends.withColumn("held", F.last(F.when(C("known"), F.struct("ret")), ignorenulls=True).over(upto)).where("side = 1").select("date", C("held.ret").alias(name))
+    return last.join(found, "date").select("ticker", name)
+
+
 def market_context(bars: DataFrame, benchmark: DataFrame, sector: DataFrame | None = None) -> DataFrame:
     """relative strength over 63 sessions against index closes (date, close), index history
     cut at the ticker's last date; beta and correlation of the last 252 common daily log returns
-    (more than 60), differenced before the join; sector against benchmark without the cut."""
+    (more than 60), differenced before the join; sector against benchmark without the cut. `sector`
+    is one index (date, close) or one for each ticker (ticker, date, close); a ticker without one
+    has nulls. Windows without a key run over one index's days alone."""
     days = lambda df: F.broadcast(df) if df.limit(CALENDAR_ROWS + 1).count() <= CALENDAR_ROWS else df
     own = return_over(bars, STRENGTH_DAYS, ["ticker"])
-    last = bars.groupBy("ticker").agg(F.max("date").alias("last"))
-    out = own.select("ticker", C("ret").alias("own"))
-
-    def cut_return(index: DataFrame, name: str) -> DataFrame:
-        # Index rows up to each distinct last date: few dates, found by rank, not by ticker.
-        ranked = index.withColumn("i", F.row_number().over(Window.orderBy("date")))
-        before = ranked.select(C("i").alias("j"), C("close").alias("then"))
-        ends = last.select("last").distinct().join(days(ranked), C("date") <= C("last")).groupBy("last").agg(F.max("i").alias("i"), F.max_by("close", "date").alias("now"))
-        ret = ends.join(before, C("i") - STRENGTH_DAYS == C("j"), "left").select("last", (C("now") / C("then") - 1).alias(name))
-        return last.join(ret, "last").select("ticker", name)
-
-    out = out.join(cut_return(benchmark, "bench"), "ticker", "left")
-    if sector is not None:
-        out = out.join(cut_return(sector, "sect"), "ticker", "left")
-        whole = lambda df: return_over(df.withColumn("k", F.lit(1)), STRENGTH_DAYS, ["k"])
-        both = whole(sector).withColumnRenamed("ret", "s").join(whole(benchmark).withColumnRenamed("ret", "b"), "k").select((C("s") - C("b")).alias("sector_vs_benchmark"))
-        out = out.crossJoin(F.broadcast(both))
-    else:
+    out = own.select("ticker", C("ret").alias("own")).join(index_strength(bars, benchmark, "bench"), "ticker", "left")
+    whole = return_over(benchmark.withColumn("k", F.lit(1)), STRENGTH_DAYS, ["k"]).select(C("ret").alias("b"))
+    if sector is None:
         out = out.withColumns({"sect": F.lit(None).cast("double"), "sector_vs_benchmark": F.lit(None).cast("double")})
+    else:
+        out = out.join(index_strength(bars, sector, "sect"), "ticker", "left").crossJoin(F.broadcast(whole))  # one row
+        if "ticker" in sector.columns:
+            out = out.join(return_over(sector, STRENGTH_DAYS, ["ticker"]).withColumnRenamed("ret", "s"), "ticker", "left")
+        else:
+            out = out.crossJoin(F.broadcast(return_over(sector.withColumn("k", F.lit(1)), STRENGTH_DAYS, ["k"]).select(C("ret").alias("s"))))  # one row
+        out = out.withColumn("sector_vs_benchmark", C("s") - C("b")).drop("s", "b")
     w = Window.partitionBy("ticker").orderBy("date")
     mine = bars.select("ticker", "date", (F.ln("close") - F.ln(F.lag("close").over(w))).alias("x"))
     theirs = benchmark.select("date", (F.ln("close") - F.ln(F.lag("close").over(Window.orderBy("date")))).alias("y"))

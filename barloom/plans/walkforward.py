@@ -1,7 +1,8 @@
 """Walk-forward test and live forecast.
 
-Prepared features are native columns. A refit with the origins that use it is one row with its
-ticker's series as arrays; rows are dealt over tasks, so that one ticker spreads as well as many.
+Prepared features are native columns. A range of refits with the origins that use them is one row
+with its ticker's series as arrays, cut after the range's last outcome; rows are dealt over tasks, so
+that one ticker spreads as well as many. Inside a range each fit starts from the last.
 Candidates are simulated and scored where they are fitted; only scores and the fits (as JSON)
 leave. The engine's volatility model is then chosen by a window over the scores, and the engine
 simulated from the stored fits.
@@ -23,8 +24,11 @@ from ..models.returns import Suite, drift_posterior, simulate
 from ..operators import evaluate
 from ..operators.forecasts import forward_return, reaction_days
 from ..operators.indicators import categories, compute_all, is_trending, prune
+from .durable import durable
 
 C = F.col
+#: Refits in one row of work: a range's first fit is cold, the others start from the one before.
+RANGE = 8
 EVIDENCE = ["trend", "momentum", "volatility", "volume", "kalman_trend", "trend_when_trending", "momentum_when_trending"]
 
 
@@ -126,17 +130,17 @@ def record_schema(levels: list[float]) -> str:
 
 def candidates(prepared: DataFrame, settings: dict, mode: str = "parallel") -> DataFrame:
     """Scores of all candidate models at all origins, and a row `engine` for each origin with what
-    the engine needs (drift posterior, fits). Mode parallel fits each refit cold in a row of its
-    own; mode serial takes a ticker's refits in one row and starts each fit from the last."""
+    the engine needs (drift posterior, fits). Each fit starts from the last one: in mode parallel
+    within ranges of RANGE refits, in mode serial over all refits of a ticker."""
     names, levels, horizon = settings["redundancy"]["priority"], settings["forecast"]["interval_levels"], settings["forecast"]["horizon_days"]
     walk, paths, seed = settings["walk_forward"], settings["forecast"]["monte_carlo_paths"], settings["forecast"]["random_seed"]
     refits = test_origins(prepared, settings)
-    if mode == "serial":
-        refits = refits.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("refit", "positions"))).alias("todo"))
-    else:
-        refits = refits.select("ticker", F.array(F.struct("refit", "positions")).alias("todo"))
-    rows = refits.join(series(prepared, names), "ticker")
-    spread = rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism * 2), "ticker", F.col("todo")[0]["refit"])
+    part = F.lit(0) if mode == "serial" else F.floor(C("refit") / RANGE)
+    refits = refits.groupBy("ticker", part.alias("range")).agg(F.array_sort(F.collect_list(F.struct("refit", "positions"))).alias("todo"))
+    upto = F.array_max(F.transform("todo", lambda x: F.array_max(x["positions"]))) + horizon + 1
+    held = series(prepared, names)
+    rows = refits.join(held, "ticker").select("ticker", "range", "todo", *[F.slice(c, F.lit(1), upto).alias(c) for c in held.columns if c != "ticker"])
+    spread = rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism * 2), "ticker", "range")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -194,9 +198,8 @@ def engine(scored: DataFrame, settings: dict) -> DataFrame:
 
 def walk_forward(prepared: DataFrame, settings: dict, mode: str = "parallel") -> tuple[DataFrame, DataFrame]:
     """(records of all models and the engine, refit log). The candidate stage is written to
-    the checkpoint folder if there is one, so that lost executors cost no refit twice."""
-    scored = candidates(prepared, settings, mode)
-    scored = scored.checkpoint() if scored.sparkSession.sparkContext.getCheckpointDir() else scored.persist()
+    the checkpoint folder, so that lost executors cost no refit twice."""
+    scored = durable(candidates(prepared, settings, mode))
     records = scored.where("model != 'engine'").drop("suite", "note", "scale").withColumn("chosen", F.lit(None).cast("string")).unionByName(engine(scored, settings).drop("suite", "note", "scale"))
     log = scored.where("note IS NOT NULL").select("ticker", "date", "refit", F.from_json("note", "kept array<string>, dropped map<string,array<string>>, adf_statistic double, adf_rejects_unit_root boolean, multiplier double, garch_persistence double, garch_tail_dof double").alias("n")).select("ticker", "date", "refit", "n.*")
     return records, log

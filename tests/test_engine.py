@@ -1,3 +1,4 @@
+import json
 import math
 from datetime import datetime
 
@@ -11,7 +12,7 @@ from barloom import queries
 from barloom.functions import statistics as S
 from barloom.functions.windows import ewm
 from barloom.models import numeric, returns
-from barloom.operators import clean, evaluate, fundamentals, indicators
+from barloom.operators import clean, evaluate, forecasts, fundamentals, indicators
 from barloom.plans import walkforward
 from barloom.settings import load_settings, resolve_path
 from barloom.sources import files
@@ -26,7 +27,7 @@ def test_settings(tmp_path):
     assert resolve_path("/a/b") == resolve_path("b", "/a")
 
 
-@pytest.mark.parametrize("alpha", [0.2, 1 / 14, 2 / 27])
+@pytest.mark.parametrize("alpha", [0.2, 1 / 14, 2 / 27, 1 / 50, 2 / 201, 0.001, 0.6, 0.97, 1.0])
 def test_ewm_equals_pandas_over_block_borders(spark, alpha):
     x = np.random.default_rng(3).normal(5, 1, 2600)
     pdf = pd.DataFrame({"ticker": "T", "date": pd.bdate_range("2010-01-01", periods=2600).date, "x": x})
@@ -83,11 +84,120 @@ def test_cleaning(spark):
 
 
 def test_redundancy():
+    """Two chains of near copies and a loner: each chain keeps the member that stands first."""
+    rho = np.eye(5)
+    for i, j, r in ((0, 2, -0.93), (2, 4, 0.88), (1, 3, 0.81)):
+        rho[i, j] = rho[j, i] = r
+    kept, dropped = indicators.prune(["macd", "cci", "rsi", "obv_slope", "stochastic"], rho, 0.8)
+    assert kept == ["macd", "cci", "stochastic"] and {n: d[0] for n, d in dropped.items()} == {"rsi": "macd", "obv_slope": "cci"}
+
+
+def test_garch_path_equals_the_recursion(spark):
+    x = np.cumsum(np.random.default_rng(5).standard_t(4, 3001) / 100)
+    df = spark.createDataFrame(pd.DataFrame({"ticker": "T", "date": pd.bdate_range("2005-01-03", periods=3001).date, "close": 100 * np.exp(x)}))
+    for omega, alpha, gamma, beta in ((0.0005, 0.0003, 0.0004, 0.999), (0.05, 0.06, 0.08, 0.85), (0.2, 0.3, 0.1, 0.2)):
+        got = forecasts.garch_path(forecasts.log_returns(df), omega, alpha, gamma, beta).orderBy("date").toPandas()["variance"]
+        e = 100 * (np.diff(x) - np.diff(x).mean())
+        v, want = omega / (1 - alpha - gamma / 2 - beta), []
+        for s in e:
+            v = omega + (alpha + gamma * (s < 0)) * s * s + beta * v
+            want.append(v)
+        np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_trend_filter_equals_the_textbook_filter():
+    rng = np.random.default_rng(11)
+    y = 4 + np.cumsum(rng.normal(0, 0.01, 400)) + rng.normal(0, 0.005, 400)
+    observation, slope = 0.4, 0.002
+    a, p, move, noise = np.array([y[0], 0.0]), np.diag([1e4, 1e4]), np.array([[1.0, 1], [0, 1]]), np.diag([1.0, slope])
+    e, f, tilt, spread = [], [], [], []
+    for t in range(400):
+        if t:
+            a, p = move @ a, move @ p @ move.T + noise
+        v = p[0, 0] + observation
+        gain = p[:, 0] / v
+        e.append(y[t] - a[0])
+        f.append(v)
+        a, p = a + gain * e[-1], p - np.outer(gain, p[0])
+        tilt.append(a[1])
+        spread.append(p[1, 1])
+    got = returns.Trend.run(y, observation, slope, True)
+    for mine, want in zip(got, (e, f, tilt, spread), strict=True):
+        np.testing.assert_allclose(mine[2:], want[2:], rtol=1e-6, atol=1e-9)
+    fit = returns.Trend.fit(y)
+    assert fit.converged and fit.level_variance > 0
+    z = returns.Trend(1e-4, observation, slope, True).slope_z(y)
+    np.testing.assert_allclose(z[2:], (np.array(tilt) / np.sqrt(np.array(spread) * 1e-4))[2:], rtol=1e-6)
+
+
+def test_gradients_of_the_likelihoods():
     rng = np.random.default_rng(1)
-    a = rng.normal(size=500)
-    rho = np.corrcoef([a, a + rng.normal(0, 0.1, 500), rng.normal(size=500)])
-    kept, dropped = indicators.prune(["rsi", "stochastic", "obv_slope"], rho, 0.8)
-    assert kept == ["rsi", "obv_slope"] and dropped["stochastic"][0] == "rsi"
+    e = rng.standard_t(5, 300)
+    for f, p in ((lambda q: returns.Garch.surprise(e, 1.5, q), [0.05, 0.04, 0.08, 0.88, 6.0]), (lambda q: returns.Merton.surprise(e, q, 8), [0.03, 0.8, 0.05, -0.2, 4.0])):
+        p = np.array(p)
+        by = [(f(p + d)[0] - f(p - d)[0]) / 2e-6 for d in 1e-6 * np.eye(5)]
+        np.testing.assert_allclose(f(p)[1], by, rtol=1e-4, atol=1e-4)
+    g = returns.Garch(0.0, 0.05, 0.04, 0.08, 0.88, 6.0, 0, 0, True)
+    np.testing.assert_allclose(returns.Garch.natural(g.free(1.3, True), 1.3), [0.05, 0.04, 0.08, 0.88, 6.0], rtol=1e-9)
+
+
+def test_fits_are_the_likeliest_that_a_search_finds():
+    """Quasi-Newton fits against Nelder and Mead's search from the true parameters."""
+    rng = np.random.default_rng(8)
+    e, v = [], 1.0
+    for _ in range(1500):
+        x = math.sqrt(v) * rng.standard_t(7) * math.sqrt(5 / 7)
+        e.append(x)
+        v = 0.04 + (0.05 + 0.06 * (x < 0)) * x * x + 0.88 * v
+    prices = np.cumsum([4.0, *(np.array(e) / 100)])
+    r = 100 * np.diff(prices)
+    garch, merton = returns.Garch.fit(prices), returns.Merton.fit(prices)
+    c = r - r.mean()
+    searched = numeric.simplex(lambda p: returns.Garch.surprise(c, c.var(), p)[0] if p.min() > 0 and p[1] + p[2] / 2 + p[3] < 0.9995 and p[4] > 2.05 else math.inf, np.array([0.04, 0.05, 0.06, 0.88, 7.0]), step=0.02, rounds=3000)
+    assert -garch.likelihood <= searched.value + 1e-3 and garch.converged
+    searched = numeric.simplex(lambda p: returns.Merton.surprise(r, p, 8)[0] if min(p[1], p[2], p[4]) > 0 and p[2] < 0.5 else math.inf, np.array([0.0, 0.8, 0.1, 0.0, 2.0]), step=0.05, rounds=3000)
+    assert -merton.likelihood <= searched.value + 1e-3
+    warm = returns.Garch.fit(prices, warm=garch)
+    assert warm.likelihood == pytest.approx(garch.likelihood, abs=1e-4)
+
+
+def test_quantile_edges_equal_pandas(spark):
+    pairs = [(n, bins) for n in (1, 2, 7, 76, 101, 389, 1000) for bins in (2, 3, 7, 10)]
+    rows = spark.createDataFrame([(n, b, k) for n, b in pairs for k in range(b + 1)], "n long, bins int, k int")
+    got = rows.withColumn("edge", evaluate.linear_edge(F.col("n"), F.col("k"), F.col("bins"))).collect()
+    for r in got:
+        want = pd.Series(np.arange(1, r["n"] + 1)).quantile(r["k"] / r["bins"])
+        assert r["edge"] == pytest.approx(want, abs=1e-9)
+
+
+def test_sector_of_each_ticker(spark):
+    b = spark.createDataFrame(pd.concat([walk(300, k, t) for k, t in enumerate("ABC")]))
+    index = spark.createDataFrame(walk(320, 9, "I")).select("date", "close")
+    sectors = spark.createDataFrame(pd.concat([walk(310, 20 + k, t) for k, t in enumerate("AB")])).select("ticker", "date", "close")
+    got = {r["ticker"]: r for r in fundamentals.market_context(b, index, sectors).collect()}
+    for k, t in enumerate("AB"):
+        alone = fundamentals.market_context(b.where(F.col("ticker") == t), index, sectors.where(F.col("ticker") == t).select("date", "close")).first()
+        assert all(got[t][c] == pytest.approx(alone[c]) for c in ("vs_benchmark", "vs_sector", "sector_vs_benchmark", "beta"))
+    assert got["C"]["vs_sector"] is None and got["C"]["vs_benchmark"] is not None
+
+
+def test_reports_of_all_tickers(spark, tmp_path):
+    from barloom.plans import live
+
+    s = load_settings(forecast={"monte_carlo_paths": 200}, walk_forward={"min_training_days": 400, "forecast_every_days": 10, "refit_every_days": 60, "min_scored_forecasts_for_model_selection": 3}, models={"hmm": {"max_iterations": 30}}, output={"directory": str(tmp_path)})
+    b = spark.createDataFrame(pd.concat([walk(520, 31, "A"), walk(520, 32, "B")]))
+    none = lambda n: spark.createDataFrame([], files.FUNDAMENTALS[n])
+    index = b.where("ticker = 'A'").select("date", "close")
+    a = live.analyse(b, none("earnings"), none("statements"), none("multiples"), spark.createDataFrame([], "ticker string, peer string"), index, None, s)
+    done = {r["ticker"]: r for r in live.write_reports(a, s).collect()}
+    assert set(done) == {"A", "B"}
+    for t, r in done.items():
+        assert all(f"{k}. " in r["report"] for k in range(1, 8)) and "no index" not in r["report"]
+        short = json.loads(r["summary"])
+        assert short["ticker"] == t and short["price_intervals"]["0.5"][0] < short["median_price"] < short["price_intervals"]["0.5"][1]
+    assert {p.name for p in tmp_path.iterdir()} == {"report", "summary", "records", "calibration", "forecast"}
+    panels = spark.read.csv(str(tmp_path / "calibration"), header=True).select("ticker", "panel").distinct().count()
+    assert panels == 6 and a.forecast.count() == 2
 
 
 def test_distributions():
