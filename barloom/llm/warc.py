@@ -4,7 +4,8 @@ Reading plans one partition for each group of files, takes record-type and heade
 parses headers before anything else. Records written here carry the length of their compressed
 member in the gzip header (subfield SL), so that a record which is not wanted is skipped without
 being decompressed. A payload is decoded only if the schema that is read has the payload column.
-Plain and per-record gzip archives from elsewhere are read too, without that short cut.
+Plain and gzip archives from elsewhere are read too: their headers also come first, and blocks that
+are not wanted are inflated piece by piece and dropped.
 
 Paths are opened through pyarrow's file systems: file and whatever else pyarrow reaches.
 """
@@ -23,14 +24,17 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
-from .common import shared_dir
+from .common import cut, remove, scratch
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_length long, refers_to string, headers map<string,string>, payload binary"
 #: Columns that stand in a header of their own.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "payload_length": "X-Payload-Length"}
+KNOWN = {n.lower(): n for n in (*HEADERS.values(), "Content-Length", "Content-Type", "WARC-Profile", "WARC-Block-Digest")}
 FILE_BYTES = 64 << 20
+#: Plain bytes that are inflated at a time.
+PIECE = 1 << 16
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 UNSAFE = re.compile(r"[\x00-\x1f\x7f]")
 
@@ -65,11 +69,19 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 
 def parse_head(head: bytes) -> dict[str, str]:
+    """Headers by name; names that this module knows in its own spelling, whatever their letter case,
+    others as they stand. A line that starts with white space goes on with the header before it."""
     out: dict[str, str] = {}
+    last = None
     for line in head.split(b"\r\n")[1:]:
-        name, _, value = line.partition(b":")
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and last:
+            out[last] = f"{out[last]} {text.strip()}".strip()
+            continue
+        name, _, value = text.partition(":")
         if name:
-            out[name.decode("utf-8", "replace").strip()] = value.decode("utf-8", "replace").strip()
+            last = KNOWN.get(name.strip().lower(), name.strip())
+            out[last] = value.strip()
     return out
 
 
@@ -107,56 +119,108 @@ class Buffered:
             self.held = b""
 
 
+class Member:
+    """The plain bytes of one gzip member, inflated piece by piece as they are asked for; what is
+    skipped is never held whole."""
+
+    def __init__(self, source: Buffered) -> None:
+        self.source, self.opened, self.held, self.inflated = source, zlib.decompressobj(31), bytearray(), 0
+
+    def more(self) -> bool:
+        """Inflates another piece; false at the member's end, and where the file is cut off."""
+        if self.opened.eof:
+            return False
+        packed = self.opened.unconsumed_tail or self.source.take(PIECE)
+        if not packed:
+            return False
+        try:
+            piece = self.opened.decompress(packed, PIECE)
+        except zlib.error:  # damaged: what came before stands
+            return False
+        self.inflated += len(piece)
+        self.held += piece
+        return True
+
+    def look(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        return bytes(self.held[:n])
+
+    def take(self, n: int) -> bytes:
+        out = self.look(n)
+        del self.held[:n]
+        return out
+
+    def skip(self, n: int) -> None:
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if not self.more():
+                return
+        del self.held[:n]
+
+    def close(self) -> None:
+        """To the member's end; bytes of the next one go back to the source."""
+        while self.more():
+            self.held.clear()
+        self.source.held = self.opened.unused_data + self.source.held
+
+
+def head_of(reader: Buffered | Member) -> bytes | None:
+    """The next record's headers, without what ends them; the reader stays before them. None at the
+    end. Line ends that are left of the record before are passed over."""
+    while reader.look(2) == b"\r\n":
+        reader.skip(2)
+    n = 4096
+    while b"\r\n\r\n" not in (seen := reader.look(n)) and len(seen) == n:
+        n *= 2
+    head, found, _ = seen.partition(b"\r\n\r\n")
+    return head if found and head.strip() else None
+
+
+def plain_records(reader: Buffered | Member, wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Records one after another; the block of one that is not wanted is skipped."""
+    while (head := head_of(reader)) is not None:
+        headers = parse_head(head)
+        reader.skip(len(head) + 4)
+        length = int(headers.get("Content-Length", 0))
+        if not wanted(headers):
+            reader.skip(length)
+        elif need_payload:
+            yield headers, reader.take(length)
+        else:
+            reader.skip(length)
+            yield headers, None
+
+
 def records_of(stream, wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block or None) of each record that `wanted(headers)` accepts."""
+    """(headers, block or None) of each record that `wanted(headers)` accepts. Headers are looked at
+    first: of a member that tells its length, the first bytes alone are inflated for them, and the
+    rest only if the payload is wanted; any other member is inflated piece by piece."""
     source = Buffered(stream)
     while start := source.look(24):
-        if start[:2] == b"\x1f\x8b":
-            sized = len(start) == 24 and start[3] == 4 and start[12:14] == b"SL"
-            if sized:
-                size = struct.unpack("<I", start[16:20])[0]
-                packed = source.take(size) if need_payload else source.look(min(size, 4096))
-                opened = zlib.decompressobj(31)
-                data, n = opened.decompress(packed, 4096), 4096
-                while b"\r\n\r\n" not in data and opened.unconsumed_tail:
-                    data += opened.decompress(opened.unconsumed_tail, n)
-                if b"\r\n\r\n" not in data and not need_payload:
-                    data = zlib.decompressobj(31).decompress(source.look(size))
-                head, _, rest = data.partition(b"\r\n\r\n")
-                headers = parse_head(head)
-                if not need_payload:
-                    source.skip(size)
-                if wanted(headers):
-                    if need_payload:
-                        rest += opened.decompress(opened.unconsumed_tail)
-                    yield headers, rest[: int(headers.get("Content-Length", 0))] if need_payload else None
-            else:
-                opened, data = zlib.decompressobj(31), b""
-                while not opened.eof and (more := source.take(1 << 16)):
-                    data += opened.decompress(more)
-                source.held = opened.unused_data + source.held
-                head, _, rest = data.partition(b"\r\n\r\n")
-                headers = parse_head(head)
-                if wanted(headers):
-                    yield headers, rest[: int(headers.get("Content-Length", 0))] if need_payload else None
-        else:
-            n = 4096
-            while b"\r\n\r\n" not in (seen := source.look(n)) and len(seen) == n:
-                n *= 2
-            head, _, _ = seen.partition(b"\r\n\r\n")
-            if not head.strip():
+        if start[:2] != b"\x1f\x8b":
+            if head_of(source) is None:
                 return
+            yield from plain_records(source, wanted, need_payload)
+        elif len(start) == 24 and start[3] == 4 and start[12:14] == b"SL":
+            size = struct.unpack("<I", start[16:20])[0]
+            n = 2048
+            while b"\r\n\r\n" not in (data := zlib.decompressobj(31).decompress(source.look(min(n, size)))) and n < size:
+                n *= 4
+            head = data.partition(b"\r\n\r\n")[0]
             headers = parse_head(head)
-            source.skip(len(head) + 4)
-            length = int(headers.get("Content-Length", 0))
-            take = wanted(headers) and need_payload
-            if take:
-                yield headers, source.take(length)
+            if wanted(headers) and need_payload:
+                whole = zlib.decompress(source.take(size), 31)
+                yield headers, whole[len(head) + 4 : len(head) + 4 + int(headers.get("Content-Length", 0))]
             else:
-                source.skip(length)
+                source.skip(size)
                 if wanted(headers):
                     yield headers, None
-            source.skip(4)
+        else:
+            member_ = Member(source)
+            yield from plain_records(member_, wanted, need_payload)
+            member_.close()
 
 
 class WarcReader(DataSourceReader):
@@ -168,7 +232,7 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes equality and membership on header columns; the rest stays with Spark."""
-        for f in filters:
+        for f in sorted(filters, key=lambda f: isinstance(f, IsNotNull)):  # a value that is asked for is not null
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if name in HEADERS and name != "payload_length" and isinstance(f, EqualTo | In):
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
@@ -287,10 +351,16 @@ class WarcSource(DataSource):
 def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
     """Records of an archive or a folder of archives; only the columns of the given schema are
     read. Filters on header columns are pushed into the scan (this turns on the session setting
-    that Spark needs for it). An empty folder gives an empty table."""
+    that Spark needs for it). An empty folder gives an empty table; what has no type or id, which the
+    format demands of records, is no record.
+
+    Spark keeps the filters that one query pushed for the next query of the same table that pushes
+    none. Each query is therefore given one, that the type (or the id) is not null."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").schema(columns).load(path)
+    out = spark.read.format("warc").schema(columns).load(path)
+    known = [c for c in ("record_type", "record_id") if c in out.columns]
+    return out.where(F.col(known[0]).isNotNull()) if known else out
 
 
 def base32_sha1(data: Column) -> Column:
@@ -309,6 +379,15 @@ def base32_sha1(data: Column) -> Column:
 BROADCAST_ROWS = 200_000
 
 
+#: Record ids: a row's key after the first, percent-encoded; of a null key the second.
+ROW, NO_ROW = "urn:row:", "urn:no-row"
+
+
+def key_of(record_id: Column, kind: DataType) -> Column:
+    """The key that a record id was made of."""
+    return F.when(record_id.startswith(ROW), F.url_decode(F.substr(record_id, F.lit(len(ROW) + 1)))).cast(kind)
+
+
 def archive(pages: DataFrame, path: str, *, key_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", smallest: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes one record for each row into the folder `path`.
 
@@ -324,7 +403,7 @@ def archive(pages: DataFrame, path: str, *, key_col: str = "page_id", uri_col: s
     few = narrow.count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(narrow) if few else narrow, "payload_digest", "left")
     revisit = (F.col("payload_length") >= smallest) & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    name = lambda c: F.concat(F.lit("urn:row:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    name = lambda c: F.coalesce(F.concat(F.lit(ROW), F.url_encode(F.col(c).cast("string"))), F.lit(NO_ROW))
     records = joined.select(name("key").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(date).alias("date"), "payload_digest", "payload_length", F.when(revisit, name("first")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
     records.sparkSession.dataSource.register(WarcSource)
     records.write.format("warc").mode("append").save(path)
@@ -334,13 +413,17 @@ def archive(pages: DataFrame, path: str, *, key_col: str = "page_id", uri_col: s
 def round_trip(pages: DataFrame, *, smallest: int = 0) -> DataFrame:
     """Archives the pages in the shared folder and reads the archives back: page_id, payload_bytes,
     payload_digest, record_type, refers_to. Length and digest of responses are taken from the
-    payloads as read; revisits are read by their headers alone."""
+    payloads as read; revisits are read by their headers alone. The archives go once the result is
+    kept in the shared folder; `archive` is for those that are to stay. Page ids of any kind come back
+    as they were."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     archive(pages, path, smallest=smallest)
     kind = pages.schema["page_id"].dataType
-    key = lambda c: F.nullif(F.substring(F.col(c), 9, 40), F.lit("")).cast(kind)
     responses = read_warc(spark, path, "record_id string, record_type string, payload binary").where("record_type = 'response'")
     revisits = read_warc(spark, path, "record_id string, record_type string, payload_digest string, payload_length long, refers_to string").where("record_type = 'revisit'")
+    key = lambda c: key_of(F.col(c), kind)
     read = responses.select(key("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
-    return read.unionAll(revisits.select(key("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", key("refers_to").alias("refers_to")))
+    out = cut(read.unionAll(revisits.select(key("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", key("refers_to").alias("refers_to"))))
+    remove(spark, path)
+    return out
