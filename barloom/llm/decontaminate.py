@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .near_dedup import mix
 
 WORDS = re.compile(r"\w+").findall
@@ -245,9 +246,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, r
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     numbered = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("item_ids", "distance", "contaminated", "__found")])
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("item_ids", "distance", "contaminated")])
     base = out.columns
-    out = out.withColumn("__found", F.array().cast("array<struct<i:bigint,d:int>>"))
+    (hit,) = fresh([*base, "item_ids", "distance", "contaminated"], "found")
+    out = out.withColumn(hit, F.array().cast("array<struct<i:bigint,d:int>>"))
     for block in range(blocks):
         mine = sorted((r["i"], r["t"]) for r in numbered.where(F.col("block") == block).collect())
         index = Index([(i, words_of(t)) for i, t in mine], edits, repetitions, samples)
@@ -270,6 +272,6 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, r
             return pa.array(out, pa.list_(pa.struct([("i", pa.int64()), ("d", pa.int32())])))
 
         searched = F.arrow_udf(look, "array<struct<i:bigint,d:int>>")
-        out = out.select(*[F.col(f"`{c}`") for c in base], F.concat("__found", searched(F.col(text_col))).alias("__found"))
-    ids = F.array_sort(F.array_distinct(F.transform("__found", lambda x: x["i"])))
-    return out.select(*[F.col(f"`{c}`") for c in base], ids.alias("item_ids"), F.array_min(F.transform("__found", lambda x: x["d"])).alias("distance"), (F.size("__found") > 0).alias("contaminated"))
+        out = out.select(*[F.col(f"`{c}`") for c in base], F.concat(hit, searched(F.col(f"`{text_col}`"))).alias(hit))
+    ids = F.array_sort(F.array_distinct(F.transform(hit, lambda x: x["i"])))
+    return out.select(*[F.col(f"`{c}`") for c in base], ids.alias("item_ids"), F.array_min(F.transform(hit, lambda x: x["d"])).alias("distance"), (F.size(hit) > 0).alias("contaminated"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import joined_parts
-from .common import beside, cut, release
+from .common import beside, cut, fresh, release
 
 BANDS, ROWS = 40, 5
 SKETCH_WORDS = 16  # of 64 bits
@@ -225,7 +225,8 @@ def keep_one(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col:
     """The input rows less near copies: of each group the row with the smallest id stays. Of rows
     that repeat an id, the one with the smallest text stays. Rows with null ids stay."""
     groups = near_copies(docs, size=size, similarity=similarity, id_col=id_col, text_col=text_col)
-    ids = groups.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(ids, F.col(f"`{id_col}`") == F.col("__kept"), "left_semi")
-    first = named.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))).where("__nth = 1").drop("__nth")
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    mark, nth = fresh(docs.columns, "kept", "nth")
+    ids = groups.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(mark)).distinct()
+    named = docs.where(F.col(f"`{id_col}`").isNotNull()).join(ids, F.col(f"`{id_col}`") == F.col(mark), "left_semi")
+    first = named.withColumn(nth, F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{text_col}`").asc_nulls_last()))).where(F.col(nth) == 1).drop(nth)
+    return first.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

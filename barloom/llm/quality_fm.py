@@ -25,14 +25,17 @@ FACTORS = 6
 FIT_ROWS = 4000
 BINS = 12
 
-STRUCTURE = ("length", "upper", "letters", "digits", "marks", "word_length", "distinct", "line_length", "repeated_lines", "tailed_words", "shouts", "bars", "lone_words", "longest_word")
+STRUCTURE = ("length", "upper", "letters", "digits", "marks", "word_length", "distinct", "line_length", "repeated_lines", "tailed_words", "mark_runs", "symbols", "lone_words", "longest_word")
+#: Marks of ordinary prose; all others are symbols.
+PROSE_MARKS = ".,;:!?'\"()-\u2019\u2018\u201c\u201d\u2013\u2014\u2026\u3002\u3001"
 
 
 @lru_cache(maxsize=1)
 def kinds() -> np.ndarray:
-    """Kind of each code point of the basic plane: 0 mark or symbol, 1 letter, 2 capital, 3 digit, 4 space."""
+    """Kind of each code point of the basic plane: 0 symbol, 1 letter, 2 capital, 3 digit, 4 space, 5 mark of prose."""
     of = {"L": 1, "N": 3, "Z": 4}
     table = np.array([4 if chr(c).isspace() else 2 if (k := unicodedata.category(chr(c))) == "Lu" else of.get(k[0], 0) for c in range(1 << 16)], np.uint8)
+    table[[ord(c) for c in PROSE_MARKS]] = 5
     return table
 
 
@@ -41,12 +44,12 @@ def structure(text: str, words: list[str]) -> list[float]:
     n, k = max(1, len(text)), max(1, len(words))
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = kinds()[np.minimum(points, 0xFFFF)]
-    marks, letters, capitals, digits, spaces = np.bincount(kind, minlength=5)[[0, 1, 2, 3, 4]].tolist()
-    letters += capitals
-    mark = kind == 0
+    symbols, letters, capitals, digits, _, marks = np.bincount(kind, minlength=6).tolist()
+    letters, marks = letters + capitals, marks + symbols
+    mark = (kind == 0) | (kind == 5)
     ends = np.concatenate((kind[1:] == 4, [True])) if len(text) else np.empty(0, bool)
-    tailed = int((mark[2:] & mark[1:-1] & mark[:-2] & ends[2:]).sum()) if len(text) > 2 else 0
-    shouts = int(((points[1:] == 33) & (points[:-1] == 33)).sum())
+    tailed = int((mark[1:] & mark[:-1] & ends[1:]).sum())
+    runs = int((mark[1:] & (points[1:] == points[:-1])).sum())
     lines = text.split("\n")
     lens = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
     return [
@@ -60,8 +63,8 @@ def structure(text: str, words: list[str]) -> list[float]:
         min(1.0, math.log1p(n / len(lines)) / 8),
         1 - len(set(lines)) / len(lines),
         min(1.0, tailed / k),
-        min(1.0, shouts / k),
-        min(1.0, 2 * int((points == 124).sum()) / k),
+        min(1.0, runs / k),
+        min(1.0, 2 * symbols / k),
         float((lens == 1).sum()) / k,
         min(1.0, float(lens.max()) / 64),
     ]
@@ -153,14 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col:
     """Fits on labelled rows that are not held out: of each class at most `fit_rows`, the first by
     a hash of the id, so that the same rows are taken at every run. Each class weighs as it does
     among all labelled rows. Rows with a null id or label teach nothing; a row labelled twice
-    counts once, with the larger label. Only the bounded sample reaches the driver."""
+    counts once, with the larger label; of documents that repeat an id the one whose text has the
+    smallest hash teaches. 2 * fit_rows rows reach the driver at most."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out("_id")).groupBy("_id").agg(F.max("_label").alias("_label"))
     sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     picked = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows) for k in (0, 1)]
     ids = picked[0].union(picked[1])
     # At most 2 * fit_rows ids: a proven bound, so that documents need no shuffle.
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(m).cast("double").alias(f"_m{k}") for k, m in enumerate(metadata)]).join(F.broadcast(ids), "_id")
-    one = _features(found, len(metadata), ["_id", "_label"]).collect()
+    told = ["at", "value"]
+    each = _features(found.withColumn("_order", F.coalesce(F.xxhash64("_text"), F.lit(0))), len(metadata), ["_id", "_label", "_order"])
+    one = each.groupBy("_id", "_label").agg(F.min(F.struct("_order", *told)).alias("x")).select("_id", "_label", *[f"x.{c}" for c in told]).collect()
+    assert len(one) <= 2 * fit_rows
     one.sort(key=lambda r: (r["_id"], r["at"], r["value"]))
     y = np.array([r["_label"] for r in one], np.float64)
     weight = np.ones(len(one))

@@ -216,6 +216,19 @@ def test_quality_identity_and_edges(spark):
     assert np.isfinite(known.linear).all()
 
 
+def test_quality_fit_is_bounded_with_repeated_ids(spark):
+    docs = frame(spark, [(1, f"text number {i % 3}") for i in range(3000)] + [(i, f"some words {i}") for i in range(2, 40)]).withColumn("n_chars", F.length("text").cast("long"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] * 2, "doc_id long, quality int")
+    seen = []
+    real = quality_fm.fit
+    quality_fm.fit = lambda rows, *a, **k: seen.append(len(rows)) or real(rows, *a, **k)
+    try:
+        one, two = (quality_fm.train(docs.repartition(n), labels, fit_rows=2) for n in (3, 7))
+    finally:
+        quality_fm.fit = real
+    assert seen == [4, 4] and np.array_equal(one.linear, two.linear)
+
+
 def test_html_field_on_unseen_pages():
     field, wrong, total = html_crf.trained(), 0, 0
     for rows, labels in html_crf.labelled_blocks(4321, 150):
@@ -645,6 +658,48 @@ def test_png_filters():
     assert media_copies.decode_image(png[:40]) is None and media_copies.decode_image(b"P5 2 1 255\n\x01\x02").tolist() == [[1.0, 2.0]]
 
 
+def test_helper_columns_do_not_clash(spark):
+    rows = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (None, "x")]).select("*", *[F.lit(n).alias(n) for n in ("kept", "nth", "_kept", "found", "_found", "__found")])
+    one = near_dedup.keep_one(rows)
+    assert one.columns == rows.columns and one.count() == 2 and one.first()["__found"] == "__found"
+    found = decontaminate.find_items(rows, spark.createDataFrame([(7, "c d e")], "item_id long, text string"))
+    assert found.columns == [*rows.columns, "item_ids", "distance", "contaminated"] and found.where("contaminated AND __found = '__found'").count() == 2
+
+
+def pipeline_tables(spark, path, docs, labels, bench):
+    for name, data, schema in (("documents", docs, DOCS), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", bench, "item_id long, text string")):
+        df = data if not isinstance(data, list) else spark.createDataFrame(data, schema)
+        df.write.parquet(f"{path}/{name}.parquet")
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as C
+
+    pipeline_tables(spark, tmp_path / "none", [], [], [])
+    assert C.run(spark, str(tmp_path / "none")).count() == 0
+    # Without labels the classifier scores 0.5 and keeps nothing.
+    pipeline_tables(spark, tmp_path / "unlabelled", [(1, "some text", "en", "s", 9)], [], [])
+    assert C.run(spark, str(tmp_path / "unlabelled")).count() == 0
+
+
+def test_pipeline_stages_bear_nulls_ties_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rows = [(i, t, None, None, None) for i, t in odd_texts()] + [(50 + i, f"word{i} " * 5 + "here", "en", "s", 30) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(n).alias(n) for n in ("kept", "found", "lines", "score", "n_removed", "contaminated")])
+    labels = [(50 + i, 1, 0) for i in range(20)] + [(None, 1, 0), (5, None, None), (7, 1, 0), (7, 1, 0)]
+    pipeline_tables(spark, tmp_path, docs, labels, [(1, "null id"), (None, "x"), (2, None), (2, "")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = {r["doc_id"]: r for r in out.collect()}
+        assert all(r["found"] == "found" and r["score"] == "score" for r in kept.values()) and {50 + i for i in range(20)} <= set(kept)
+    assert None not in {r["doc_id"] for r in C.benchmark_leaks(spark, docs, str(tmp_path)).collect()}
+    assert sum(r["doc_id"] == 7 for r in C.near_copies(spark, docs, str(tmp_path)).collect()) == 1
+    assert C.tokens(spark, docs, str(tmp_path)).count() == len(rows)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline as C
 
