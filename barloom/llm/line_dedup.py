@@ -83,7 +83,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(i_)) & (F.xxhash64(f"`{text_col}`") == F.col(d_))
     joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(F.broadcast(gone) if few else gone, same, "left")
     joined = joined.withColumn(lines_, F.split(f"`{text_col}`", "\n", -1))
-    worded = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: plain(F.col(lines_)[i]) != "")
+    worded = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: F.col(lines_)[i].rlike(f"[^{SPACES}]"))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.transform(gone_, lambda k: F.get(worded, k - 1)))
     text = F.when(F.col(gone_).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines_)[i]), "\n"))
     out = joined.withColumn(text_, text)
