@@ -30,8 +30,8 @@ def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], di
     `alike` tells from the light columns of two items whether the pair is worth a proof, and must
     hold for every true pair; `distance` orders pairs, likely ones first. `heavy_of` gives (id,
     heavy) for the ids of a table (id) at least, `exact` tells true pairs by their heavy columns.
-    `narrow` gives for a table (id, part) pairs (a, b) of different parts that hold every true one
-    at least. Items without a link may be missing from the result.
+    `narrow` gives for a table (id, part) pairs (a, b) and their parts (p, q), different ones, that hold
+    every true pair at least. Items without a link may be missing from the result.
     """
     posted = items.select("id", F.explode(F.array_distinct("keys")).alias("key"))
     # Most keys stand once: they go by a count of bare keys, before ids are moved.
@@ -92,6 +92,14 @@ def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], di
     keyed = items.select("id", "keys", "light")
     end = lambda name: keyed.select(F.col("id").alias(name), F.col("keys").alias(f"k_{name}"), F.col("light").alias(f"l_{name}"))
     met = cut(narrow(large).distinct())
-    met = met.join(end("a"), "a").join(end("b"), "b").where(F.arrays_overlap("k_a", "k_b") & alike(la, lb)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = met.join(end("a"), "a").join(end("b"), "b").where(F.arrays_overlap("k_a", "k_b") & alike(la, lb))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), distance(la, lb).alias("d"))
     met = cut(met.join(tried, ["a", "b"], "left_anti"))
-    return components(links.union(confirmed(met))) if met.limit(1).count() else label
+    # Of two components the likeliest pairs first: one link joins them.
+    first = met.withColumn("rank", F.row_number().over(Window.partitionBy("p", "q").orderBy("d", "a", "b"))).where(f"rank <= {LIKELY}").select("a", "b")
+    for pairs in (lambda: first, lambda: between(met.select("a", "b"), label).join(first, ["a", "b"], "left_anti")):
+        now = cut(pairs())
+        if now.limit(1).count():
+            links = cut(links.union(confirmed(now)))
+            label = components(links)
+    return label

@@ -143,7 +143,7 @@ def shingle_sets(docs: DataFrame, *, size: int, id_col: str, text_col: str) -> D
 
 
 def rare_pairs(sets: DataFrame, millionths: int) -> DataFrame:
-    """Pairs (a, b) of different parts of `sets` (id, part, heavy array<long>, a set) that share a
+    """Pairs (a, b) of different parts (p, q) of `sets` (id, part, heavy array<long>, a set) that share a
     shingle among the rarest of each, a superset of the pairs at the similarity.
 
     Shingles are ordered by how many of the sets have them. A set of n shares at least s * n
@@ -171,7 +171,7 @@ def rare_pairs(sets: DataFrame, millionths: int) -> DataFrame:
     near = F.col("n_b") * million >= F.col("n_a") * F.lit(millionths)
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     enough = left * F.lit(1_000_000 + millionths) >= (F.col("n_a") + F.col("n_b")) * F.lit(millionths)
-    return a.join(b, "g").where((F.col("p") != F.col("q")) & longer & near & enough).select("a", "b")
+    return a.join(b, "g").where((F.col("p") != F.col("q")) & longer & near & enough).select("a", "b", "p", "q")
 
 
 def near_copies(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
