@@ -25,8 +25,13 @@ def normal_cdf_value(x: float) -> float:
 
 
 def normal_cdf(x: Column) -> Column:
-    """S1; Spark has no error function."""
-    return F.arrow_udf(lambda v: pa.array([None if a is None else normal_cdf_value(a) for a in v.to_pylist()], pa.float64()), "double")(x)
+    """S1; Spark has no error function: its series of positive terms up to 3, its continued fraction beyond."""
+    z = F.abs(x) / math.sqrt(2)
+    steps = F.sequence(F.lit(60), F.lit(1))
+    series = F.aggregate(steps, F.lit(1.0), lambda a, n: 1 + a * 2 * z * z / (2 * n + 1))
+    fraction = F.aggregate(steps, z, lambda a, n: z + n / 2 / a)
+    upper = F.when(z < 3, 0.5 - F.exp(-z * z) * z * series / math.sqrt(math.pi)).otherwise(0.5 * F.exp(-z * z) / (math.sqrt(math.pi) * fraction))
+    return F.when(x.isNotNull(), F.when(x > 0, 1 - upper).otherwise(upper))
 
 
 def normal_logpdf(x: Column, mean: float | Column = 0.0, sd: float | Column = 1.0) -> Column:
@@ -49,30 +54,40 @@ def unit_t_sample(rng: np.random.Generator, nu: float, size) -> np.ndarray:
     return rng.standard_t(nu, size) * math.sqrt((nu - 2) / nu)
 
 
-def chi_square_tail_value(x: float, k: int) -> float:
-    """P(chi-square with k degrees > x). Finite sums: for even k a Poisson sum, for odd k the
-    normal tail and half-integer terms."""
+def gamma_steps(a: float) -> int:
+    """Terms after which the series and the fraction of the incomplete gamma function are exact."""
+    return 120 + int(14 * math.sqrt(a))
+
+
+def chi_square_tail_value(x: float, k: float) -> float:
+    """P(chi-square with k degrees > x), any k above 0: the incomplete gamma function, by its
+    series below its bend and by its continued fraction above."""
     if x <= 0:
         return 1.0
-    h = x / 2
-    if k % 2 == 0:
-        term = total = math.exp(-h)
-        for i in range(1, k // 2):
-            term *= h / i
-            total += term
-        return min(1.0, total)
-    total = math.erfc(math.sqrt(h))
-    term = math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
-    for i in range((k - 1) // 2):
-        total += term
-        term *= h / (i + 1.5)
-    return min(1.0, total)
-
-
-def chi_square_tail(x: Column, k: int) -> Column:
+    a, h = k / 2, x / 2
+    front = math.exp(a * math.log(h) - h - math.lgamma(a))
+    if h < a + 1:
+        acc = 1.0
+        for n in range(gamma_steps(a), 0, -1):
+            acc = 1 + acc * h / (a + n)
+        return max(0.0, 1 - front * acc / a)
+    acc = h + 2 * gamma_steps(a) + 1 - a
+    for n in range(gamma_steps(a), 0, -1):
+        acc = h + 2 * n - 1 - a - n * (n - a) / acc
+    return front / acc
+
+
+def chi_square_tail(x: Column, k: float) -> Column:
+    """S5 of a column; null stays null."""
     if k == 2:
         return F.when(x <= 0, 1.0).otherwise(F.exp(-x / 2))
-    return F.arrow_udf(lambda v: pa.array([None if a is None else chi_square_tail_value(a, k) for a in v.to_pylist()], pa.float64()), "double")(x)
+    a = k / 2
+    h = F.when(x > 0, x / 2)
+    steps = F.sequence(F.lit(gamma_steps(a)), F.lit(1))
+    front = F.exp(a * F.ln(h) - h - math.lgamma(a))
+    series = F.aggregate(steps, F.lit(1.0), lambda s, n: 1 + s * h / (n + a))
+    fraction = F.aggregate(steps, h + (2 * gamma_steps(a) + 1 - a), lambda s, n: h + (2 * n - 1 - a) - n * (n - a) / s)
+    return F.when(x <= 0, 1.0).when(h < a + 1, F.greatest(F.lit(0.0), 1 - front * series / a)).otherwise(front / fraction)
 
 
 def jarque_bera(df: DataFrame, x: str, by: list[str]) -> DataFrame:
@@ -101,6 +116,19 @@ def arch_lm_value(residuals: np.ndarray, lags: int) -> tuple[float, float]:
     return float(lm), chi_square_tail_value(float(lm), lags)
 
 
+def arch_lm(df: DataFrame, x: str, by: list[str], order: str, lags: int) -> DataFrame:
+    """S7 by group: n, statistic and p. x holds residuals."""
+
+    def run(pdf):
+        held = pdf.sort_values(order)
+        value, p = arch_lm_value(held[x].to_numpy(), lags)
+        return held[by].head(1).assign(n=len(held) - lags, lm=value, p_value=p)
+
+    kinds = dict(df.dtypes)
+    rows = df.where(C(x).isNotNull()).select(*by, order, x)
+    return rows.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, lm double, p_value double")
+
+
 def critical_value(level: float, n: int) -> float:
     return sum(b / n**i for i, b in enumerate(UNIT_ROOT[level]))
 

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from .functions import statistics as S
 from .functions import windows as N
-from .operators import clean, evaluate, forecasts, fundamentals, indicators
+from .operators import clean, evaluate, filters, forecasts, fundamentals, indicators
 from .plans import walkforward
 from .settings import load_settings
-from .sources import fixtures
+from .sources import files, fixtures
 
 C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,7 +196,18 @@ query("clean_trim_history", sql(f"SELECT ticker, date, {BAR8} FROM bars WHERE da
 query("clean_history_spans", sql(f"SELECT ticker, {r8('date_diff(' + chr(39) + 'day' + chr(39) + ', min(date), max(date)) / 365.25 AS years')} FROM bars GROUP BY 1"))(lambda s, d: clean.spans(bars(s, d)))
 query("clean_load_bars", sql(f"SELECT ticker, date, {BAR8} FROM mended WHERE NOT (open = high AND high = low AND low = close AND volume = 0) AND date >= DATE '1991-12-31'"))(lambda s, d: clean.load_bars(dirty(s, d), load_settings(data={"ohlc_repair_tolerance": 0.02}), datetime(2001, 12, 31)))
 query("clean_earnings", sql("SELECT ticker, announced_at, eps_estimate, reported_eps, surprise_pct FROM earnings"))(lambda s, d: fundamentals.clean_earnings(fixtures.announcements(bars(s, d)).unionAll(fixtures.announcements(bars(s, d)).withColumn("reported_eps", C("reported_eps") + 1))))
-query("clean_statements", sql("SELECT * FROM statements"))(lambda s, d: fixtures.statements(bars(s, d)))
+
+
+def _standardised(s: SparkSession, d: str) -> DataFrame:
+    """Statements as a source has them, a column for each period, brought back to the long form."""
+    long = fixtures.statements(bars(s, d)).withColumn("period_end", C("period_end").cast("string"))
+    wide = lambda freq: long.where(C("freq") == freq).groupBy("ticker", "line_item").pivot("period_end").agg(F.first("value"))
+    both = [fundamentals.standard_statement(wide(freq), freq) for freq in ("annual", "quarterly")]
+    return both[0].unionByName(both[1]).where("value IS NOT NULL")
+
+
+query("clean_statements", sql("SELECT * FROM statements"))(_standardised)
+query("src_fundamentals_json", sql("SELECT * FROM statements"))(lambda s, d: files.from_json(files.to_json(fixtures.statements(bars(s, d))), "statements"))
 query("clean_cache_names", "SELECT DISTINCT regexp_replace(p_name || '&/' || p_brand, '[^A-Za-z0-9._^-]', '_', 'g') || '_1d.csv' AS file FROM part")(lambda s, d: s.read.parquet(f"{d}/part.parquet").select(F.concat(F.regexp_replace(F.concat("p_name", F.lit("&/"), "p_brand"), "[^A-Za-z0-9._^-]", "_"), F.lit("_1d.csv")).alias("file")).distinct())
 
 
@@ -243,29 +254,47 @@ for _name in indicators.REGISTRY:
     query(f"ind_{_name}", INDICATOR_SQL[_name])(lambda s, d, n=_name: indicators.compute(bars(s, d), n, SETTINGS))
 query("ind_true_range", sql(f"SELECT ticker, date, {r8(TR + ' AS tr')} FROM bars"))(lambda s, d: bars(s, d).select("ticker", "date", indicators.true_range().alias("tr")))
 query("ind_wilder_average", sql(f"SELECT ticker, date, {r8('y')} FROM ({ewm_sql('SELECT * FROM bars', 'close', '(1.0/14)', 'y', 14)})"))(lambda s, d: N.wilder(bars(s, d), C("close"), 14, "y").select("ticker", "date", "y"))
+query("ind_wilder_average_50", sql(f"SELECT ticker, date, {r8('y')} FROM ({ewm_sql('SELECT * FROM bars', 'close', '(1.0/50)', 'y', 50)})"))(lambda s, d: N.wilder(bars(s, d), C("close"), 50, "y").select("ticker", "date", "y"))
 query("ind_directional_lines", sql(f"SELECT ticker, date, {r8('pdi AS plus_di', 'mdi AS minus_di')} FROM ({DI})"))(lambda s, d: indicators.directional(bars(s, d), 14).select("ticker", "date", "plus_di", "minus_di"))
-query("ind_all_normalised")(lambda s, d: indicators.compute_all(bars(s, d), SETTINGS))
+
+
+def joined_sql(names: list[str]) -> str:
+    """All bars with the normal values of the named indicators."""
+    of = {n: NORMAL[list(INDICATOR_SQL).index(n)] for n in names}
+    return "SELECT a.ticker, a.date, " + ", ".join(f"t{k}.normal AS {n}" for k, n in enumerate(names)) + " FROM bars a " + " ".join(f"JOIN ({of[n]}) t{k} ON t{k}.ticker = a.ticker AND t{k}.date = a.date" for k, n in enumerate(names))
+
+
+EVERY = list(indicators.REGISTRY)
+query("ind_all_normalised", sql(f"SELECT j.ticker, j.date, {r8(*[f'b.{n} AS {n}' for n in ('open', 'high', 'low', 'close', 'volume')], *[f'j.{n} AS {n}' for n in EVERY], 'x.raw AS adx_raw')} FROM ({joined_sql(EVERY)}) j JOIN bars b ON b.ticker = j.ticker AND b.date = j.date JOIN ({ADX}) x ON x.ticker = j.ticker AND x.date = j.date"))(lambda s, d: indicators.compute_all(bars(s, d), SETTINGS))
 query("norm_bounded", sql(f"SELECT ticker, date, {r8(clip('((close - 100) / 50)') + ' AS y')} FROM bars"))(lambda s, d: bars(s, d).select("ticker", "date", N.bounded(C("close"), 100.0, 50.0).alias("y")))
 query("norm_trailing_std", sql(f"SELECT ticker, date, {r8(std_norm('r') + ' AS y')} FROM rets"))(lambda s, d: forecasts.log_returns(bars(s, d)).select("ticker", "date", N.by_trailing_std(C("r"), 252).alias("y")))
 query("norm_tanh", sql(f"SELECT ticker, date, {r8('tanh(r / 0.02) AS y')} FROM rets"))(lambda s, d: forecasts.log_returns(bars(s, d)).select("ticker", "date", N.tanh_scaled(C("r"), 0.02).alias("y")))
 query("norm_trailing_percentile", sql(f"SELECT ticker, date, {r8(PCT + ' AS y')} FROM (SELECT *, list(raw) FILTER (raw IS NOT NULL) OVER {last(252)} AS held, count(*) OVER {last(252)} AS rows, count(raw) OVER {last(252)} AS n FROM (SELECT *, r AS raw FROM rets))"))(lambda s, d: forecasts.log_returns(bars(s, d)).select("ticker", "date", N.trailing_percentile(C("r"), 252).alias("y")))
 
-SIMPLE = ["bollinger_position", "stochastic", "cci", "chaikin_money_flow"]
+PRIORITY = SETTINGS["redundancy"]["priority"]
 
 
 def normals(s: SparkSession, d: str) -> DataFrame:
-    return indicators.compute_all(bars(s, d), SETTINGS, SIMPLE)
-
+    return indicators.compute_all(bars(s, d), SETTINGS, PRIORITY)
 
-def _normal_sql(name: str) -> str:
-    return NORMAL[list(INDICATOR_SQL).index(name)]
 
-
-JOINED = "SELECT a.ticker, a.date, " + ", ".join(f"t{k}.normal AS {n}" for k, n in enumerate(SIMPLE)) + " FROM bars a " + " ".join(f"JOIN ({_normal_sql(n)}) t{k} ON t{k}.ticker = a.ticker AND t{k}.date = a.date" for k, n in enumerate(SIMPLE))
-PAIRS = [(a, b) for i, a in enumerate(SIMPLE) for b in SIMPLE[i + 1 :]]
-query("agg_correlations", sql(" UNION ALL ".join(f"SELECT ticker, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS rho FROM ({JOINED}) WHERE {' AND '.join(f'{n} IS NOT NULL' for n in SIMPLE)} GROUP BY 1" for a, b in PAIRS)))(lambda s, d: indicators.correlations(normals(s, d), SIMPLE).withColumn("rho", F.round("rho", 6)))
-query("agg_redundancy")(lambda s, d: indicators.pruned(indicators.compute_all(bars(s, d), SETTINGS, SETTINGS["redundancy"]["priority"]), SETTINGS))
-query("agg_composites", sql(f"SELECT ticker, date, CAST(NULL AS DOUBLE) AS trend, {r8('(bollinger_position + stochastic + cci) / 3 AS momentum')}, CAST(NULL AS DOUBLE) AS volatility, {r8('chaikin_money_flow AS volume')} FROM ({JOINED})"))(lambda s, d: indicators.composites(normals(s, d).drop("volume"), SIMPLE, SETTINGS).select("ticker", "date", "trend", "momentum", "volatility", "volume"))
+PAIRS = [(a, b) for i, a in enumerate(PRIORITY) for b in PRIORITY[i + 1 :]]
+RHO = {
+    "normal_values": joined_sql(PRIORITY),
+    "wide_rho": "SELECT ticker, " + ", ".join(f"corr({a}, {b}) AS r{k}" for k, (a, b) in enumerate(PAIRS)) + f" FROM normal_values WHERE {' AND '.join(f'{n} IS NOT NULL' for n in PRIORITY)} GROUP BY 1",
+    "rho": "SELECT ticker, unnest([" + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'rho': r{k}}}" for k, (a, b) in enumerate(PAIRS)) + "], recursive := true) FROM wide_rho",
+}
+query("agg_correlations", sql("SELECT ticker, a, b, round(rho, 6) + 0.0 AS rho FROM rho", **RHO))(lambda s, d: indicators.correlations(normals(s, d), PRIORITY).withColumn("rho", F.round("rho", 6)))
+# The greedy choice, one name at a time: a name is kept unless one that is kept correlates too much.
+KEPT = RHO | {
+    "close_pairs": f"SELECT ticker, list(a || '|' || b) FILTER (abs(rho) > {SETTINGS['redundancy']['max_abs_correlation']}) AS near FROM rho GROUP BY 1",
+    "names": "SELECT unnest(range(1, " + str(len(PRIORITY) + 1) + ")) AS i, unnest([" + ", ".join(f"'{n}'" for n in PRIORITY) + "]) AS name",
+    "choice": "SELECT ticker, near, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept FROM close_pairs UNION ALL SELECT c.ticker, c.near, n.i, CASE WHEN len(list_filter(c.kept, lambda k: list_contains(c.near, k || '|' || n.name))) = 0 THEN list_append(c.kept, n.name) ELSE c.kept END FROM choice c JOIN names n ON n.i = c.i + 1",
+}
+query("agg_redundancy", sql(f"SELECT ticker, array_to_string(kept, ',') AS kept, {len(PRIORITY)} - len(kept) AS dropped FROM choice WHERE i = {len(PRIORITY)}", **KEPT))(lambda s, d: indicators.pruned(normals(s, d), SETTINGS).select("ticker", F.array_join("kept", ",").alias("kept"), F.size("dropped").cast("long").alias("dropped")))
+query("agg_redundancy_twins")(lambda s, d: indicators.pruned(normals(s, d), SETTINGS))
+MEMBERS = {c: [n for n in PRIORITY if indicators.categories()[n] == c] for c in ("trend", "momentum", "volatility", "volume")}
+query("agg_composites", sql(f"SELECT ticker, date, {r8(*['(' + ' + '.join(ns) + f') / {len(ns)} AS {c}' for c, ns in MEMBERS.items()])} FROM normal_values", normal_values=RHO["normal_values"]))(lambda s, d: indicators.composites(normals(s, d).drop("volume"), PRIORITY, SETTINGS).select("ticker", "date", *MEMBERS))
 query("agg_is_trending", sql(f"SELECT ticker, date, CASE WHEN raw IS NOT NULL THEN CASE WHEN raw > 25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS trending FROM ({ADX})"))(lambda s, d: indicators.adx(bars(s, d), SETTINGS).select("ticker", "date", indicators.is_trending(C("adx"), 25).alias("trending")))
 
 
@@ -333,16 +362,25 @@ def returns(s: SparkSession, d: str) -> DataFrame:
     return forecasts.log_returns(bars(s, d))
 
 
-query("stat_normal_cdf")(lambda s, d: returns(s, d).where("r IS NOT NULL").select("ticker", "date", S.normal_cdf(C("r") / 0.01).alias("p")))
+# The error function by its series of positive terms; x must not be null.
+ERF = "(CASE WHEN {z} = 0 THEN 0.0 ELSE list_sum(list_transform(range(0, 150), lambda n: exp((2 * n + 1) * ln(abs({z})) - lgamma(n + 1.5) - {z} * {z}))) * sign({z}) END)"
+query("stat_normal_cdf", sql(f"SELECT ticker, date, {r8('0.5 + 0.5 * ' + ERF.format(z='z') + ' AS p')} FROM (SELECT *, r / 0.01 / sqrt(2) AS z FROM rets WHERE r IS NOT NULL)"))(lambda s, d: returns(s, d).where("r IS NOT NULL").select("ticker", "date", S.normal_cdf(C("r") / 0.01).alias("p")))
 query("stat_normal_logpdf", sql(f"SELECT ticker, date, {r8('-0.5 * ((r - 0.001) / 0.01) * ((r - 0.001) / 0.01) - ln(0.01) - 0.5 * ln(2 * pi()) AS y')} FROM rets"))(lambda s, d: returns(s, d).select("ticker", "date", S.normal_logpdf(C("r"), 0.001, 0.01).alias("y")))
 query("stat_unit_t_logpdf", sql(f"SELECT ticker, date, {r8(f'{S.t_constant(5.0)!r} - 3.0 * ln(1 + (r / 0.01) * (r / 0.01) / 3.0) AS y')} FROM rets"))(lambda s, d: returns(s, d).select("ticker", "date", S.unit_t_logpdf(C("r") / 0.01, 5.0).alias("y")))
 query("stat_chi_square_tail", sql(f"SELECT ticker, date, {r8('CASE WHEN v <= 0 THEN 1.0 ELSE exp(-v / 2) END AS p')} FROM (SELECT *, (r / 0.01) * (r / 0.01) AS v FROM rets) WHERE v IS NOT NULL"))(lambda s, d: returns(s, d).where("r IS NOT NULL").select("ticker", "date", S.chi_square_tail((C("r") / 0.01) * (C("r") / 0.01), 2).alias("p")))
-query("stat_chi_square_tail_five", sql(f"SELECT ticker, {r8('p')} FROM (SELECT ticker, 1.0 AS p FROM rets WHERE position = 0)"))(lambda s, d: returns(s, d).where("position = 0").select("ticker", S.chi_square_tail(F.lit(0.0), 5).alias("p")))
+FIVE = "1 - " + ERF.format(z="sqrt(h)") + " + exp(-h) * (sqrt(h) / gamma(1.5) + h * sqrt(h) / gamma(2.5))"
+query("stat_chi_square_tail_five", sql(f"SELECT ticker, date, {r8(FIVE + ' AS p')} FROM (SELECT *, (r / 0.006) * (r / 0.006) / 2 AS h FROM rets WHERE r IS NOT NULL)"))(lambda s, d: returns(s, d).where("r IS NOT NULL").select("ticker", "date", S.chi_square_tail((C("r") / 0.006) * (C("r") / 0.006), 5).alias("p")))
 MOMENTS = "SELECT ticker, count(r) AS n, avg(r) AS m, stddev_pop(r) AS sd FROM rets GROUP BY 1"
 CTES["shape"] = f"SELECT r.ticker, any_value(m.n) AS n, avg(((r.r - m.m) / m.sd) ** 3) AS skewness, avg(((r.r - m.m) / m.sd) ** 4) - 3 AS excess_kurtosis FROM rets r JOIN ({MOMENTS}) m ON m.ticker = r.ticker WHERE r.r IS NOT NULL GROUP BY 1"
 JB = "n / 6 * (skewness * skewness + excess_kurtosis * excess_kurtosis / 4)"
 query("stat_jarque_bera", sql(f"SELECT ticker, n, {r8('skewness', 'excess_kurtosis', JB + ' AS jb', f'exp(-({JB}) / 2) AS p_value')} FROM shape"))(lambda s, d: S.jarque_bera(returns(s, d), "r", ["ticker"]))
 query("stat_arch_lm", sql(f"SELECT ticker, count(*) AS n, {r8('count(*) * regr_r2(y, y1) AS lm')} FROM (SELECT ticker, r * r AS y, lag(r * r) OVER {W} AS y1 FROM rets WHERE r IS NOT NULL) WHERE y1 IS NOT NULL GROUP BY 1"))(lambda s, d: S.arch_lm_one(returns(s, d), "r", ["ticker"], "date"))
+_lagged = "SELECT ticker, y, x1, x2, x3, x4, x5 FROM (SELECT ticker, r * r AS y, " + ", ".join(f"lag(r * r, {k}) OVER {W} AS x{k}" for k in range(1, 6)) + " FROM rets WHERE r IS NOT NULL) WHERE x5 IS NOT NULL"
+for _k in range(1, 5):  # each lag less what the lags before it explain, so that shares of variance add up
+    _own = "OVER (PARTITION BY ticker)"
+    _lagged = "SELECT ticker, y, " + ", ".join([f"x{j}" for j in range(1, _k + 1)] + [f"x{j} - avg(x{j}) {_own} - covar_pop(x{j}, x{_k}) {_own} / var_pop(x{_k}) {_own} * (x{_k} - avg(x{_k}) {_own}) AS x{j}" for j in range(_k + 1, 6)]) + f" FROM ({_lagged})"
+_lm = "SELECT ticker, count(*) AS n, count(*) * (" + " + ".join(f"pow(corr(y, x{k}), 2)" for k in range(1, 6)) + f") AS lm FROM ({_lagged}) GROUP BY 1"
+query("stat_arch_lm_five", sql(f"SELECT ticker, n, round(lm, 6) + 0.0 AS lm, round({FIVE}, 6) + 0.0 AS p_value FROM (SELECT *, lm / 2 AS h FROM ({_lm}))"))(lambda s, d: S.arch_lm(returns(s, d), "r", ["ticker"], "date", 5).withColumns({"lm": F.round("lm", 6), "p_value": F.round("p_value", 6)}))
 query("stat_unit_root")(lambda s, d: S.unit_root(returns(s, d), "x", ["ticker"], "date"))
 query("stat_dickey_fuller_zero", sql(f"SELECT ticker, n, round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 5) + 0.0 AS statistic FROM (SELECT ticker, count(*) AS n, regr_slope(d, l) AS b, regr_sxx(d, l) AS sxx, regr_syy(d, l) AS syy FROM (SELECT ticker, lag(x) OVER {W} AS l, x - lag(x) OVER {W} AS d FROM rets) WHERE d IS NOT NULL GROUP BY 1)"))(lambda s, d: S.dickey_fuller_zero(returns(s, d), "x", ["ticker"], "date").withColumn("statistic", F.round("statistic", 5)))
 
@@ -385,15 +423,19 @@ ORIGIN8 = "ticker, date, position"
 query("model_gbm_fit", sql(f"SELECT {ORIGIN8}, {r8('drift', 'volatility')} FROM fits"))(lambda s, d: forecasts.gbm(returns(s, d)).select("ticker", "date", "position", "drift", "volatility"))
 DAY = "(drift + volatility * sqrt(-2 * ln((CAST('0x' || substr(md5('42|' || ticker || '|' || position || '|' || path || '|{k}|u'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)) * cos(2 * pi() * (CAST('0x' || substr(md5('42|' || ticker || '|' || position || '|' || path || '|{k}|v'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0))"
 query("model_gbm_paths", sql(f"SELECT ticker, date, position, path, {r8('realized', ' + '.join(f'greatest(ln(0.97), least(ln(1.03), {DAY.format(k=k)}))' for k in range(1, 6)) + ' AS value')} FROM origins, (SELECT unnest(range(1, 21)) AS path)"))(lambda s, d: forecasts.gbm_paths(gbm_fits(s, d), HORIZON, 20, 42, 0.03).select("ticker", "date", "position", "path", "realized", "value"))
-O_, A_, G_, B_ = GARCH
-query(
-    "model_garch_path",
-    sql(
+SLOW_GARCH = (0.0005, 0.0003, 0.0004, 0.999)
+
+
+def garch_sql(o: float, a: float, g: float, b: float) -> str:
+    return sql(
         f"SELECT ticker, date, position, {r8('e AS shock', 'v AS variance')} FROM path WHERE k > 0",
         shocks=f"SELECT ticker, date, position, row_number() OVER {W} AS k, 100 * (r - avg(r) OVER (PARTITION BY ticker)) AS e FROM rets WHERE r IS NOT NULL",
-        path=f"SELECT ticker, CAST(NULL AS DATE) AS date, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS e, CAST({O_ / (1 - A_ - G_ / 2 - B_)!r} AS DOUBLE) AS v FROM (SELECT DISTINCT ticker FROM shocks) UNION ALL SELECT s.ticker, s.date, s.position, s.k, s.e, {O_} + ({A_} + CASE WHEN s.e < 0 THEN {G_} ELSE 0.0 END) * s.e * s.e + {B_} * p.v FROM path p JOIN shocks s ON s.ticker = p.ticker AND s.k = p.k + 1",
-    ),
-)(lambda s, d: forecasts.garch_path(returns(s, d), *GARCH))
+        path=f"SELECT ticker, CAST(NULL AS DATE) AS date, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS e, CAST({o / (1 - a - g / 2 - b)!r} AS DOUBLE) AS v FROM (SELECT DISTINCT ticker FROM shocks) UNION ALL SELECT s.ticker, s.date, s.position, s.k, s.e, {o} + ({a} + CASE WHEN s.e < 0 THEN {g} ELSE 0.0 END) * s.e * s.e + {b} * p.v FROM path p JOIN shocks s ON s.ticker = p.ticker AND s.k = p.k + 1",
+    )
+
+
+for _name, _p in (("model_garch_path", GARCH), ("model_garch_path_slow", SLOW_GARCH)):
+    query(_name, garch_sql(*_p))(lambda s, d, p=_p: forecasts.garch_path(returns(s, d), *p))
 MERTON = (0.03, 0.8, 0.05, -0.2, 2.0)
 
 
@@ -422,6 +464,38 @@ REV = {
 }
 OK = "b > 0 AND b < 1"
 query("model_ornstein_uhlenbeck", sql("SELECT ticker, " + ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in {"persistence": "b", "intercept": f"CASE WHEN {OK} THEN a END", "residual_volatility": f"CASE WHEN {OK} THEN sd END", "half_life": f"CASE WHEN {OK} THEN ln(2) / -ln(b) END", "long_run_price": f"CASE WHEN {OK} THEN exp(level) END", "daily_drift": f"CASE WHEN {OK} THEN (level - last) * (1 - pow(b, 5)) / 5 END"}.items()) + f" FROM ({OU})", **REV))(lambda s, d: forecasts.ornstein_uhlenbeck(forecasts.log_returns(fixtures.rev_bars(s, d)), 5).select("ticker", *[F.round(c, 6).alias(c) for c in ("persistence", "intercept", "residual_volatility", "half_life", "long_run_price", "daily_drift")]))
+STATES = ([0.6, 0.4], [[0.97, 0.03], [0.06, 0.94]], [0.0006, -0.0004], [0.00006, 0.0003])
+_p, _t, _m, _v = STATES
+_density = lambda i: f"exp(-0.5 * (o.r - ({_m[i]})) * (o.r - ({_m[i]})) / {_v[i]}) / sqrt({_v[i]})"
+_ahead = [f"(f.p0 * {_t[0][i]} + f.p1 * {_t[1][i]}) * {_density(i)}" for i in (0, 1)]
+_first = [f"{_p[i]} * {_density(i)}" for i in (0, 1)]
+query(
+    "model_hmm_filter",
+    sql(
+        f"SELECT ticker, date, position, {r8('p1 AS turbulent')} FROM filt UNION ALL SELECT ticker, CAST(date AS VARCHAR) AS date, position, NULL FROM rets WHERE position = 0",
+        obs="SELECT ticker, date, position, r FROM rets WHERE r IS NOT NULL",
+        filt=f"SELECT o.ticker, CAST(o.date AS VARCHAR) AS date, o.position, {_first[0]} / ({_first[0]} + {_first[1]}) AS p0, {_first[1]} / ({_first[0]} + {_first[1]}) AS p1 FROM obs o WHERE o.position = 1 UNION ALL SELECT o.ticker, CAST(o.date AS VARCHAR), o.position, {_ahead[0]} / ({_ahead[0]} + {_ahead[1]}), {_ahead[1]} / ({_ahead[0]} + {_ahead[1]}) FROM filt f JOIN obs o ON o.ticker = f.ticker AND o.position = f.position + 1",
+    ),
+)(lambda s, d: filters.regime_probability(returns(s, d), *STATES))
+TREND = (0.0001, 0.4, 0.002)
+_l, _q, _s = TREND
+# level, tilt, and the covariance (a, c, b) after each day; predicted: level + tilt, a + 2c + b + 1, c + b, b + slope ratio.
+_pa, _pc, _pb = "(k.a + 2 * k.c + k.b + 1)", "(k.c + k.b)", f"(k.b + {_s})"
+query(
+    "model_kalman_trend",
+    sql(
+        f"SELECT ticker, date, position, round(CASE WHEN position >= 2 THEN tilt / sqrt(b * {_l}) END, 5) + 0.0 AS slope_z FROM kal",
+        kal=f"SELECT ticker, CAST(date AS VARCHAR) AS date, position, x AS level, CAST(0 AS DOUBLE) AS tilt, 1e4 - 1e8 / (1e4 + {_q}) AS a, CAST(0 AS DOUBLE) AS c, CAST(1e4 AS DOUBLE) AS b FROM rets WHERE position = 0 UNION ALL SELECT o.ticker, CAST(o.date AS VARCHAR), o.position, k.level + k.tilt + {_pa} / ({_pa} + {_q}) * (o.x - k.level - k.tilt), k.tilt + {_pc} / ({_pa} + {_q}) * (o.x - k.level - k.tilt), {_pa} - {_pa} * {_pa} / ({_pa} + {_q}), {_pc} - {_pa} * {_pc} / ({_pa} + {_q}), {_pb} - {_pc} * {_pc} / ({_pa} + {_q}) FROM kal k JOIN rets o ON o.ticker = k.ticker AND o.position = k.position + 1",
+    ),
+)(lambda s, d: filters.trend_strength(returns(s, d), *TREND).withColumn("slope_z", F.round("slope_z", 5)))
+PRIOR = (0.002, 0.004)
+query(
+    "syn_drift_posterior",
+    sql(
+        f"SELECT ticker, outcomes, {r8(f'CASE WHEN outcomes >= 20 THEN ({PRIOR[0]} / pow({PRIOR[1]}, 2) + s / v) / (1 / pow({PRIOR[1]}, 2) + outcomes / v) ELSE {PRIOR[0]} END AS mean', f'CASE WHEN outcomes >= 20 THEN 1 / sqrt(1 / pow({PRIOR[1]}, 2) + outcomes / v) ELSE {PRIOR[1]} END AS sd')} FROM told",
+        told=f"SELECT ticker, count(realized) AS outcomes, sum(realized) AS s, var_samp(realized) AS v FROM fits WHERE position % {HORIZON} = (n - 1) % {HORIZON} AND position <= n - 1 - {HORIZON} GROUP BY 1",
+    ),
+)(lambda s, d: filters.prior_and_outcomes(returns(s, d), horizon=HORIZON, prior_mean=PRIOR[0], prior_sd=PRIOR[1]))
 query("syn_forward_returns", sql(f"SELECT ticker, date, {r8('realized AS forward')} FROM fits"))(lambda s, d: returns(s, d).select("ticker", "date", forecasts.forward_return(HORIZON).alias("forward")))
 query("syn_drift_prior", sql(f"SELECT ticker, {r8('(0.10 + bias * 0.03 * confidence) * 5 / 248 AS mean', '0.2 * 5 / 248 + 0.0 * bias AS sd')} FROM assessed"))(lambda s, d: fundamentals.fair_value(scores(s, d), FUND).select("ticker", forecasts.drift_prior(0.10 + C("annual_drift_tilt"), 0.2, 5, 248)[0].alias("mean"), F.lit(forecasts.drift_prior(0.1, 0.2, 5, 248)[1]).alias("sd")))
 query("syn_next_trading_days", sql("SELECT ticker, step, date FROM (SELECT ticker, CAST(date AS DATE) AS date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS step FROM (SELECT ticker, unnest(generate_series(max(date) + INTERVAL 1 DAY, max(date) + INTERVAL 14 DAY, INTERVAL 1 DAY)) AS date FROM bars GROUP BY 1) WHERE isodow(date) <= 5) WHERE step <= 5"))(lambda s, d: forecasts.next_trading_days(bars(s, d).groupBy("ticker").agg(F.max("date").alias("date")), 5))
@@ -504,7 +578,7 @@ def _live(s: SparkSession, d: str) -> DataFrame:
     return out.select("ticker", "as_of", "last_close", "volatility_model", F.size("samples").alias("paths"), "posterior_mean", "posterior_sd", "training_rows")
 
 
-query("bt_prepare")(prepared)
+query("bt_prepare", sql(f"SELECT j.ticker, j.date, CAST(f.position AS INTEGER) AS position, {r8('f.x AS x', 'f.realized AS forward', 'CASE WHEN a.raw IS NOT NULL THEN CASE WHEN a.raw > 25 THEN 1.0 ELSE 0.0 END END AS trending')}, d.date IS NOT NULL AS reaction, {r8(*[f'j.{n} AS {n}' for n in PRIORITY])} FROM ({joined_sql(PRIORITY)}) j JOIN fits f ON f.ticker = j.ticker AND f.date = j.date JOIN ({ADX}) a ON a.ticker = j.ticker AND a.date = j.date LEFT JOIN reacting d ON d.ticker = j.ticker AND d.date = j.date"))(prepared)
 query("bt_walk_forward")(lambda s, d: walkforward.walk_forward(prepared(s, d), PLAN)[0])
 query("bt_refit_log")(lambda s, d: walkforward.candidates(prepared(s, d), PLAN, "serial").where("note IS NOT NULL").select("ticker", "date", "refit", "note"))
 query("syn_live_forecast")(_live)
