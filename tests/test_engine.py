@@ -375,3 +375,22 @@ def test_streaming_bars_equal_batch(spark, tmp_path):
     last = spark.sql("SELECT ticker, bar_start, max(volume) AS v FROM bars_out GROUP BY 1, 2")
     assert last.count() == intraday_bars(events).count()
     assert last.agg(F.sum("v")).first()[0] == events.where("value IS NOT NULL").count()
+
+
+def test_running_variance_is_carried_over_batches(spark, tmp_path):
+    from barloom.streaming.bars import running_variance
+
+    close = walk(90, 5)["close"].to_numpy()
+    rows = pd.DataFrame({"ticker": "T", "bar_start": pd.date_range("2024-01-01", periods=90, freq="h"), "close": close})
+    for k in range(3):
+        spark.createDataFrame(rows.iloc[30 * k : 30 * k + 30]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ticker string, bar_start timestamp, close double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = running_variance(stream, 0.1).writeStream.format("memory").queryName("variance_out").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("SELECT * FROM variance_out ORDER BY bar_start").toPandas()
+    want, v = [np.nan], None
+    for a, b in zip(close, close[1:]):
+        v = (b - a) ** 2 if v is None else 0.9 * v + 0.1 * (b - a) ** 2
+        want.append(v)
+    np.testing.assert_allclose(got["variance"].astype(float), want)
