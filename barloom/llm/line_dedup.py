@@ -13,6 +13,8 @@ that is not the first with its hash goes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,19 @@ def repeated(docs: DataFrame, *, min_words: int, id_col: str, text_col: str) ->
     return cut(gone)
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), the value being worked out once even where lambdas inside use it for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def without(lines: Column, numbers: Column) -> Column:
+    """The text less the lines of the given numbers among those with words (from 1); in linear time."""
+    every = lambda held: F.sequence(F.lit(0), F.size(held) - 1)
+    worded = lambda held: F.filter(every(held), lambda i: held[i].rlike(f"[^{SPACES}]"))
+    left = lambda held, at: F.array_except(every(held), F.transform(numbers, lambda k: F.get(at, k - 1)))
+    return bound(lines, lambda held: bound(worded(held), lambda at: F.array_join(F.transform(left(held, at), lambda i: held[i]), "\n")))
+
+
 def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows with later repeated runs removed from the text, and n_lines, n_removed (long).
 
@@ -83,9 +98,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(i_)) & (F.xxhash64(f"`{text_col}`") == F.col(d_))
     joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(F.broadcast(gone) if few else gone, same, "left")
     joined = joined.withColumn(lines_, F.split(f"`{text_col}`", "\n", -1))
-    worded = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: F.col(lines_)[i].rlike(f"[^{SPACES}]"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.transform(gone_, lambda k: F.get(worded, k - 1)))
-    text = F.when(F.col(gone_).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines_)[i]), "\n"))
+    text = F.when(F.col(gone_).isNull(), F.col(f"`{text_col}`")).otherwise(without(F.col(lines_), F.col(gone_)))
     out = joined.withColumn(text_, text)
     columns = [F.col(text_).alias(c) if c == text_col else F.length(text_).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in kept]
     return out.select(*columns, F.coalesce(F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines_)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone_), F.lit(0)).cast("long").alias("n_removed"))
