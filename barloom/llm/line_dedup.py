@@ -59,7 +59,7 @@ def repeated(docs: DataFrame, *, min_words: int, id_col: str, text_col: str) ->
     # Of each run, its first place; of a place, all runs that start there are held against that.
     start = F.struct("id", "dk", "nth")
     first = cut(found.groupBy("run").agg(F.min(start).alias("source"), F.max(start).alias("last")).where(~F.col("source").eqNullSafe(F.col("last"))).select("run", "source"))
-    again = beside(found, first, "run", rows=500_000).where(~start.eqNullSafe(F.col("source"))).groupBy("id", "dk", "nth").agg(F.max("n").alias("n"))
+    again = beside(found, first, "run", rows=100_000).where(~start.eqNullSafe(F.col("source"))).groupBy("id", "dk", "nth").agg(F.max("n").alias("n"))
     gone = again.groupBy("id", "dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("nth"), F.col("nth") + F.col("n") - 1))))).alias("numbers"))
     return cut(gone)
 
@@ -94,7 +94,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     i_, d_, gone_, lines_, text_ = fresh([*docs.columns, "n_lines", "n_removed"], "id", "dk", "gone", "lines", "text")
     gone = gone.select(F.col("id").alias(i_), F.col("dk").alias(d_), F.col("numbers").alias(gone_))
     # Few numbers of lines are broadcast, so that texts do not move; beyond that the texts are joined by a shuffle.
-    few = (gone.agg(F.sum(F.size(gone_) + 8)).first()[0] or 0) <= 4_000_000
+    few = (gone.agg(F.sum(F.size(gone_) + 8)).first()[0] or 0) <= 1_000_000
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(i_)) & (F.xxhash64(f"`{text_col}`") == F.col(d_))
     joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(F.broadcast(gone) if few else gone, same, "left")
     joined = joined.withColumn(lines_, F.split(f"`{text_col}`", "\n", -1))
