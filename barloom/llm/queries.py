@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_crf, line_dedup, media_copies, near_dedup, quality_fm, reply_trees, token_count, warc
+from . import bpe, decontaminate, hard_negatives, html_crf, line_dedup, media_copies, near_dedup, neighbours, quality_fm, reply_trees, token_count, warc, whitening
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -68,6 +68,21 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "item_ids", "distance")
 
 
+def op11_hilbert_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh id are turned to the next one first, as a noisy labeller would."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=5, least_percent=80, scale=256.0)
+
+
+def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=1024.0, shift=100_000, most=8)
+
+
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -79,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_winnowing": op8_line_winnowing,
     "op9_media_copies": op9_media_copies,
     "op10_cgk_decontamination": op10_cgk_decontamination,
+    "op11_hilbert_hard_negatives": op11_hilbert_hard_negatives,
+    "op12_block_whitening": op12_block_whitening,
+    "op13_projection_forest": op13_projection_forest,
 }
 
 OP2_SQL = """
@@ -152,4 +170,20 @@ numbered AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, out.text FROM documents d LEFT JOIN out USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL, "op7_reply_trees": OP7_SQL, "op8_line_winnowing": OP8_SQL}
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: coalesce(NOT isfinite(c), true))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLES: dict[str, str] = {"op11_hilbert_hard_negatives": OP11_SQL, "op2_minhash_near_dedup": OP2_SQL, "op7_reply_trees": OP7_SQL, "op8_line_winnowing": OP8_SQL}
