@@ -16,6 +16,7 @@ from .functions import statistics as S
 from .functions import windows as N
 from .operators import clean, evaluate, filters, forecasts, fundamentals, indicators
 from .plans import walkforward
+from .plans.durable import durable
 from .settings import load_settings
 from .sources import files, fixtures
 
@@ -24,7 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SETTINGS = load_settings()
 LEVELS = SETTINGS["forecast"]["interval_levels"]
-HORIZON, FIRST, STEP, PATHS = 5, 504, 25, 60
+HORIZON, FIRST = SETTINGS["forecast"]["horizon_days"], SETTINGS["walk_forward"]["min_training_days"]
+STEP = SETTINGS["walk_forward"]["forecast_every_days"]
+#: Paths of a stand-in forecast, and the turns by which its points go round: fractions of multiples of
+#: the inverse powers of the plastic number, which cover a square evenly.
+PATHS, TURNS = 1_000, (0.7548776662466927, 0.5698402909980532)
 SCALES = {"gbm": 1.0, "garch_t": 0.9, "merton_jump": 1.1, "engine": 0.95}
 GARCH = (0.05, 0.06, 0.08, 0.85)
 
@@ -47,6 +52,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def quantile_sql(q: float) -> str:
+    """The linear quantile of a sorted list s."""
+    whole = f"CAST(floor((len(s) - 1) * {q!r}) AS BIGINT)"
+    return f"(s[{whole} + 1] + ((len(s) - 1) * {q!r} - {whole}) * (s[least({whole} + 2, len(s))] - s[{whole} + 1]))"
+
+
 # ---- SQL fragments -------------------------------------------------------------------------
 
 CTES: dict[str, str] = {
@@ -59,13 +70,12 @@ CTES: dict[str, str] = {
     "fits": f"SELECT *, avg(r) OVER w AS drift, stddev_samp(r) OVER w AS volatility, lead(x, {HORIZON}) OVER (PARTITION BY ticker ORDER BY date) - x AS realized, count(*) OVER (PARTITION BY ticker) AS n FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY date)",
     "origins": f"SELECT * FROM fits WHERE position >= {FIRST} AND (position - {FIRST}) % {STEP} = 0 AND position < n - {HORIZON}",
     "models": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {s})" for m, s in SCALES.items()) + ") AS t(model, scale)",
-    "drawn": "SELECT ticker, date, position, model, realized, drift, volatility * scale AS sd, path, '42|' || ticker || '|' || position || '|' || model || '|' || path AS name FROM origins, models, (SELECT unnest(range(1, " + str(PATHS + 1) + ")) AS path)",
-    "uniform": "SELECT *, (CAST('0x' || substr(md5(name || '|u'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u, (CAST('0x' || substr(md5(name || '|v'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS v FROM drawn",
-    "samples": f"SELECT ticker, date, position, model, realized, round({HORIZON} * drift + sqrt({HORIZON}) * sd * sqrt(-2 * ln(u)) * cos(2 * pi() * v), 10) AS value FROM uniform",
-    "ranked": "SELECT *, row_number() OVER (PARTITION BY ticker, date, model ORDER BY value) AS i, count(*) OVER (PARTITION BY ticker, date, model) AS n FROM samples",
-    "scored": "SELECT ticker, date, position, model, any_value(realized) AS realized, avg(abs(value - realized)) - sum((2 * i - n - 1) * value) / any_value(n * n) AS crps, (count(*) FILTER (value < realized) + count(*) FILTER (value <= realized)) / 2 / count(*) AS pit, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS p_up, "
-    + ", ".join(f"any_value(realized) BETWEEN quantile_cont(value, {(1 - v) / 2}) AND quantile_cont(value, {1 - (1 - v) / 2}) AS hit_{round(100 * v)}" for v in LEVELS)
-    + " FROM ranked GROUP BY ticker, date, position, model",
+    "drawn": "SELECT ticker, date, position, model, realized, drift, volatility * scale AS sd, (CAST('0x' || substr(md5(name || '|u'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u, (CAST('0x' || substr(md5(name || '|v'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS v FROM (SELECT *, '42|' || ticker || '|' || position || '|' || model AS name FROM origins, models)",
+    "paths": f"SELECT ticker, date, position, model, realized, list_sort(list_transform(range(1, {PATHS + 1}), lambda i: {HORIZON} * drift + sqrt({HORIZON}.0) * sd * sqrt(-2 * ln(1e-9 + (1 - 2e-9) * (u + i * {TURNS[0]!r} - floor(u + i * {TURNS[0]!r})))) * cos(2 * pi() * (v + i * {TURNS[1]!r} - floor(v + i * {TURNS[1]!r}))))) AS s FROM drawn",
+    "samples": "SELECT ticker, date, position, model, realized, unnest(s) AS value FROM paths",
+    "scored": "SELECT ticker, date, position, model, realized, list_sum(list_transform(s, lambda x: abs(x - realized))) / len(s) - list_sum(list_transform(s, lambda x, i: (2 * i - len(s) - 1) * x)) / (len(s) * len(s)) AS crps, list_sum(list_transform(s, lambda x: CASE WHEN x < realized THEN 1.0 WHEN x = realized THEN 0.5 ELSE 0.0 END)) / len(s) AS pit, len(list_filter(s, lambda x: x > 0)) / len(s) AS p_up, "
+    + ", ".join(f"realized BETWEEN {quantile_sql((1 - v) / 2)} AND {quantile_sql(1 - (1 - v) / 2)} AS hit_{round(100 * v)}" for v in LEVELS)
+    + " FROM paths",
     "records": "SELECT *, (p_up - CASE WHEN realized > 0 THEN 1.0 ELSE 0.0 END) ** 2 AS brier FROM scored",
     "beside": "SELECT r.*, b.crps AS b_crps, b.brier AS b_brier FROM records r JOIN records b ON r.ticker = b.ticker AND r.date = b.date AND b.model = 'gbm'",
     "regimes": "SELECT *, position % 3 = 0 AS earnings_in_window, CASE WHEN position % 50 < 25 THEN 0.7 ELSE 0.2 END AS turbulent_probability, CASE WHEN position % 4 = 0 THEN NULL ELSE CAST(position % 2 AS DOUBLE) END AS trending FROM beside",
@@ -388,31 +398,25 @@ query("stat_dickey_fuller_zero", sql(f"SELECT ticker, n, round(b / sqrt((syy - b
 # ---- models and synthesis ------------------------------------------------------------------
 
 
-def gbm_fits(s: SparkSession, d: str, step: int = STEP) -> DataFrame:
-    return forecasts.origins(forecasts.gbm(returns(s, d)), FIRST, step, HORIZON)
+def gbm_fits(s: SparkSession, d: str) -> DataFrame:
+    return forecasts.origins(forecasts.gbm(returns(s, d)), FIRST, STEP, HORIZON)
 
 
-def samples(s: SparkSession, d: str, step: int = STEP, paths: int = PATHS) -> DataFrame:
-    """Deterministic forecasts of four stand-in models at each origin: GBM with scaled volatility."""
-    rows = gbm_fits(s, d, step).select("ticker", "date", "position", "realized", "drift", "volatility", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("scale")) for m, k in SCALES.items()])).alias("m"))
-    rows = rows.select("*", "m.*", F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path"))
-    name = F.concat_ws("|", F.lit("42"), "ticker", C("position").cast("string"), "model", C("path").cast("string"))
-    one = lambda k: (F.conv(F.substring(F.md5(F.concat(name, F.lit(k))), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    value = HORIZON * C("drift") + math.sqrt(HORIZON) * C("volatility") * C("scale") * F.sqrt(-2 * F.ln(one("|u"))) * F.cos(2 * math.pi * one("|v"))
-    return rows.select("ticker", "date", "position", "model", "realized", F.round(value, 10).alias("value"))
+def sample_arrays(s: SparkSession, d: str, paths: int = PATHS) -> DataFrame:
+    """Deterministic forecasts of four stand-in models at each origin, an array of paths in a row: GBM with
+    scaled volatility. An origin's own hash starts its points, so that rows can be dealt to any task."""
+    # Models and hashes come out of a generator: Spark moves no later filter, with the paths in it, below it.
+    start = lambda m, k: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("42"), "ticker", C("position").cast("string"), F.lit(m), F.lit(k))), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (C("volatility") * k).alias("sd"), start(m, "u").alias("u"), start(m, "v").alias("v")) for m, k in SCALES.items()]))
+    rows = gbm_fits(s, d).select("ticker", "date", "position", "realized", "drift", each.alias("m"))
+    rows = rows.repartition(4 * s.sparkContext.defaultParallelism, "ticker", "position").select("ticker", "date", "position", "realized", "drift", "m.*")
+    turned = lambda c, i, turn: C(c) + i * turn - F.floor(C(c) + i * turn)
+    value = lambda i: HORIZON * C("drift") + math.sqrt(HORIZON) * C("sd") * F.sqrt(-2 * F.ln(1e-9 + (1 - 2e-9) * turned("u", i, TURNS[0]))) * F.cos(2 * math.pi * turned("v", i, TURNS[1]))
+    return rows.select(*evaluate.ORIGIN, "realized", F.transform(F.sequence(F.lit(1), F.lit(paths)), value).alias("samples"))
 
 
 def records(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.score(samples(s, d), LEVELS)
-
-
-def full_samples(s: SparkSession, d: str) -> DataFrame:
-    """The same at every origin and with all paths of the settings, for queries without SQL."""
-    return samples(s, d, SETTINGS["walk_forward"]["forecast_every_days"], SETTINGS["forecast"]["monte_carlo_paths"])
-
-
-def full_records(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.score(full_samples(s, d), LEVELS).persist()
+    return evaluate.score_arrays(sample_arrays(s, d), LEVELS)
 
 
 def regime_records(s: SparkSession, d: str) -> DataFrame:
@@ -506,8 +510,8 @@ query("syn_price_summary", sql(f"SELECT s.ticker, any_value(c) AS close, round(a
 
 
 def _price_summary(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("ticker")
-    last = samples(s, d).where("model = 'engine'").withColumn("top", F.max("position").over(w)).where("position = top")
+    paths = sample_arrays(s, d).where("model = 'engine'")
+    last = paths.groupBy("ticker").agg(F.max_by("samples", "position").alias("samples")).select("ticker", F.explode("samples").alias("value"))
     closes = bars(s, d).groupBy("ticker").agg(F.max_by("close", "date").alias("close"))
     out = forecasts.price_summary(last, closes, LEVELS, [0.02, 0.05])
     return out.select("ticker", "close", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(("low", "high", "median"))], *[c for c in out.columns if c.startswith("p_")])
@@ -518,8 +522,8 @@ def _price_summary(s: SparkSession, d: str) -> DataFrame:
 query("bt_origins", sql(f"SELECT ticker, date, position, CAST(floor((position - {FIRST}) / 25) AS BIGINT) AS refit, {r8('realized')} FROM origins"))(lambda s, d: gbm_fits(s, d).select("ticker", "date", "position", forecasts.refit_of(C("position"), FIRST, 5, 21).alias("refit"), "realized"))
 HITS = ", ".join(evaluate.level_name(v) for v in LEVELS)
 query("eval_score_forecasts", sql(f"SELECT ticker, date, position, model, {r8('realized', 'crps', 'pit', 'p_up', 'brier')}, {HITS} FROM records"))(records)
-query("eval_central_interval", sql(f"SELECT ticker, date, position, model, {r8('quantile_cont(value, 0.05) AS low', 'quantile_cont(value, 0.95) AS high')} FROM samples GROUP BY 1, 2, 3, 4"))(lambda s, d: evaluate.central_interval(samples(s, d), 0.9, evaluate.ORIGIN))
-query("eval_reliability", sql("SELECT ticker, model, CAST(bin AS INTEGER) AS bin, round(avg(p_up), 8) AS forecast, round(avg(CASE WHEN realized > 0 THEN 1.0 ELSE 0.0 END), 8) AS frequency, count(*) AS size, round(2 * sqrt(greatest(avg(p_up) * (1 - avg(p_up)), 1e-6) / count(*)), 8) AS tolerance FROM (SELECT *, CASE WHEN k = 1 THEN 0 ELSE ceil((k - 1) * 2.0 / (n - 1)) - 1 END AS bin FROM (SELECT *, row_number() OVER (PARTITION BY ticker, model ORDER BY p_up, date) AS k, count(*) OVER (PARTITION BY ticker, model) AS n FROM records)) GROUP BY 1, 2, 3"))(lambda s, d: evaluate.reliability(records(s, d)))
+query("eval_central_interval", sql(f"SELECT ticker, date, position, model, {r8('quantile_cont(value, 0.05) AS low', 'quantile_cont(value, 0.95) AS high')} FROM samples GROUP BY 1, 2, 3, 4"))(lambda s, d: evaluate.central_interval_arrays(sample_arrays(s, d), 0.9))
+query("eval_reliability", sql("SELECT ticker, model, CAST(bin AS INTEGER) AS bin, round(avg(p_up), 8) AS forecast, round(avg(CASE WHEN realized > 0 THEN 1.0 ELSE 0.0 END), 8) AS frequency, count(*) AS size, round(2 * sqrt(greatest(avg(p_up) * (1 - avg(p_up)), 1e-6) / count(*)), 8) AS tolerance FROM (SELECT *, CASE WHEN k = 1 THEN 0 ELSE ((k - 1) * least(10, greatest(2, n // 75)) + n - 2) // (n - 1) - 1 END AS bin FROM (SELECT *, row_number() OVER (PARTITION BY ticker, model ORDER BY p_up, date) AS k, count(*) OVER (PARTITION BY ticker, model) AS n FROM records)) GROUP BY 1, 2, 3"))(lambda s, d: evaluate.reliability(records(s, d)))
 query("eval_interval_calibration", sql("SELECT ticker, model, CAST(level AS DOUBLE) AS level, round(avg(CASE WHEN abs(pit - 0.5) <= level / 2 THEN 1.0 ELSE 0.0 END), 8) AS observed, count(*) AS n, round(2 * sqrt(level * (1 - level) / count(*)), 8) AS tolerance FROM records, (SELECT CAST(unnest([" + ", ".join(map(str, evaluate.LEVELS)) + "]) AS DOUBLE) AS level) GROUP BY ticker, model, level"))(lambda s, d: evaluate.interval_calibration(records(s, d)))
 query("eval_pit_histogram", sql("SELECT e.ticker, e.model, CAST(e.bin AS INTEGER) AS bin, round(coalesce(c.c, 0) / e.n, 8) AS share FROM (SELECT ticker, model, count(*) AS n, unnest(range(0, 10)) AS bin FROM records GROUP BY 1, 2) e LEFT JOIN (SELECT ticker, model, least(floor(pit * 10), 9) AS bin, count(*) AS c FROM records GROUP BY 1, 2, 3) c ON c.ticker = e.ticker AND c.model = e.model AND c.bin = e.bin"))(lambda s, d: evaluate.pit_histogram(records(s, d)))
 SKILL = "round(1 - avg(crps) / avg(b_crps), 8) + 0.0 AS crps_skill"
@@ -528,11 +532,28 @@ query("eval_worst_misses", sql(f"SELECT ticker, rank, date, {r8('exp(realized) -
 query("eval_tail_miss_rate", sql("SELECT ticker, round(1 - avg(CAST(hit_95 AS DOUBLE)), 8) AS tail_miss_rate FROM records WHERE model = 'engine' GROUP BY 1"))(lambda s, d: evaluate.tail_miss_rate(records(s, d)))
 COVER = ", ".join(f"round(avg(CAST(hit_{round(100 * v)} AS DOUBLE)), 8) AS coverage_{round(100 * v)}" for v in LEVELS)
 query("eval_compare_models", sql(f"SELECT ticker, model, count(*) AS forecasts, round(avg(crps), 8) AS mean_crps, {SKILL}, round(avg(brier), 8) AS brier, round(1 - avg(brier) / avg(b_brier), 8) + 0.0 AS brier_skill, {COVER} FROM beside GROUP BY 1, 2"))(lambda s, d: evaluate.skills(records(s, d), LEVELS))
-query("eval_compare_models_tests")(lambda s, d: evaluate.compare_models(full_records(s, d), LEVELS))
 KS = "SELECT ticker, model, max(n) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY ticker, model ORDER BY pit) AS i, count(*) OVER (PARTITION BY ticker, model) AS n FROM records) GROUP BY 1, 2"
 query("stat_ks_uniform", sql(f"SELECT ticker, model, n, {r8('distance', 'least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * s * s))))) AS p_value')} FROM (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * distance AS s FROM ({KS}))"))(lambda s, d: S.ks_uniform(records(s, d), "pit", ["ticker", "model"]))
+KS_P = f"SELECT ticker, model, least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * s * s))))) AS pit_ks_p FROM (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * distance AS s FROM ({KS}))"
 DM = "SELECT ticker, model, date, d, d - avg(d) OVER (PARTITION BY ticker, model) AS c FROM (SELECT *, crps - b_crps AS d FROM beside WHERE model <> 'gbm')"
 query("stat_diebold_mariano", sql(f"SELECT ticker, model, n, {r8('m AS mean_difference', 'CASE WHEN lrv > 0 THEN m / sqrt(lrv / n) * sqrt((n - 3 + 2 / n) / n) ELSE 0.0 END AS statistic')} FROM (SELECT ticker, model, count(*) AS n, avg(d) AS m, avg(c * c) + coalesce(sum(c * c1), 0) / count(*) AS lrv FROM (SELECT *, lag(c) OVER (PARTITION BY ticker, model ORDER BY date) AS c1 FROM ({DM})) GROUP BY 1, 2)"))(lambda s, d: S.diebold_mariano(evaluate.beside(records(s, d)).where("model != 'gbm'"), "crps", "b_crps", ["ticker", "model"], "date", with_p=False))
+
+
+def dm_p_sql(loss: str) -> str:
+    """The two-sided p value of the loss differences: the normal tail by the error function's series."""
+    inner = f"SELECT *, lag(c) OVER (PARTITION BY ticker, model ORDER BY date) AS c1 FROM ({DM.replace('crps', loss)})"
+    moments = f"SELECT ticker, model, count(*) AS n, avg(d) AS m, avg(c * c) + coalesce(sum(c * c1), 0) / count(*) AS lrv FROM ({inner}) GROUP BY 1, 2"
+    z = f"SELECT ticker, model, CASE WHEN lrv > 0 THEN abs(m) / sqrt(lrv / n) * sqrt((n - 3 + 2 / n) / n) ELSE 0.0 END / sqrt(2) AS z FROM ({moments})"
+    return f"SELECT ticker, model, 2 * (1 - (0.5 + 0.5 * {ERF.format(z='z')})) AS p FROM ({z})"
+
+
+CTES["compared"] = (
+    f"SELECT s.*, k.pit_ks_p, c.p AS crps_dm_p, b.p AS brier_dm_p FROM (SELECT ticker, model, count(*) AS forecasts, avg(crps) AS mean_crps, 1 - avg(crps) / avg(b_crps) AS crps_skill, avg(brier) AS brier, 1 - avg(brier) / avg(b_brier) AS brier_skill, "
+    + ", ".join(f"avg(CAST(hit_{round(100 * v)} AS DOUBLE)) AS coverage_{round(100 * v)}" for v in LEVELS)
+    + f" FROM beside GROUP BY 1, 2) s JOIN ({KS_P}) k USING (ticker, model) LEFT JOIN ({dm_p_sql('crps')}) c USING (ticker, model) LEFT JOIN ({dm_p_sql('brier')}) b USING (ticker, model)"
+)
+_figures = ["mean_crps", "crps_skill", "brier", "brier_skill", *[f"coverage_{round(100 * v)}" for v in LEVELS], "pit_ks_p", "crps_dm_p", "brier_dm_p"]
+query("eval_compare_models_tests", sql(f"SELECT ticker, model, forecasts, {r8(*_figures)} FROM compared"))(lambda s, d: evaluate.compare_models(records(s, d), LEVELS))
 query("eval_coverage_tolerance", sql("SELECT ticker, round(2 * sqrt(0.9 * 0.1 / count(*)), 8) AS tolerance FROM records WHERE model = 'engine' GROUP BY 1"))(lambda s, d: records(s, d).where("model = 'engine'").groupBy("ticker").agg(evaluate.coverage_tolerance(F.lit(0.9), F.count(F.lit(1))).alias("tolerance")))
 query("eval_base_rate_brier", sql("SELECT ticker, round(avg((rate - up) ** 2), 8) AS base_rate_brier FROM (SELECT ticker, up, coalesce(avg(up) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) AS rate FROM (SELECT ticker, date, CASE WHEN realized > 0 THEN 1.0 ELSE 0.0 END AS up FROM records WHERE model = 'engine')) GROUP BY 1"))(lambda s, d: evaluate.base_rate_brier(records(s, d)))
 PER_YEAR = 248 / 5
@@ -553,11 +574,19 @@ query("syn_best_model", sql("SELECT ticker, arg_min(model, m) AS chosen FROM (SE
 
 
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
-    scored = full_records(s, d)
+    scored = records(s, d)
     return evaluate.verdicts(evaluate.compare_models(scored, LEVELS), evaluate.long_only_rule(scored, SETTINGS), SETTINGS)
 
 
-query("out_verdicts")(_verdicts)
+ALPHA = SETTINGS["evaluation"]["significance_level"]
+_within = " AND ".join(f"abs(coverage_{round(100 * v)} - {v}) <= 2 * sqrt({v} * (1 - {v}) / forecasts)" for v in LEVELS)
+query(
+    "out_verdicts",
+    sql(
+        f"SELECT c.ticker, forecasts AS forecasts_tested, pit_ks_p >= {ALPHA} AND {_within} AS calibrated, {r8('pit_ks_p')}, crps_skill > 0 AND crps_dm_p < {ALPHA} AS distribution_edge, {r8('crps_skill', 'crps_dm_p')}, brier_skill > 0 AND brier_dm_p < {ALPHA} AS directional_edge, {r8('brier_skill', 'brier_dm_p')}, p.beats AS rule_beats_buy_and_hold FROM compared c JOIN (SELECT ticker, max(sharpe_ratio) FILTER (strategy = 'rule') > max(sharpe_ratio) FILTER (strategy = 'buy_and_hold') AS beats FROM performed GROUP BY 1) p USING (ticker) WHERE model = 'engine'",
+        **RULE,
+    ),
+)(_verdicts)
 
 
 # ---- whole plans ---------------------------------------------------------------------------
@@ -573,8 +602,10 @@ def prepared(s: SparkSession, d: str) -> DataFrame:
 def _live(s: SparkSession, d: str) -> DataFrame:
     from .plans.live import live_forecast
 
-    chosen = evaluate.best_model(evaluate.skills(full_records(s, d), LEVELS), "garch_t")
-    out = live_forecast(prepared(s, d), earnings(s, d), chosen, fundamentals.fair_value(scores(s, d), FUND), PLAN)
+    ready = durable(prepared(s, d))
+    tested, _ = walkforward.walk_forward(ready, PLAN)
+    chosen = evaluate.best_model(evaluate.skills(tested, LEVELS), "garch_t")
+    out = live_forecast(ready, earnings(s, d), chosen, fundamentals.fair_value(scores(s, d), FUND), PLAN)
     return out.select("ticker", "as_of", "last_close", "volatility_model", F.size("samples").alias("paths"), "posterior_mean", "posterior_sd", "training_rows")
 
 
