@@ -553,7 +553,7 @@ CTES["compared"] = (
     + f" FROM beside GROUP BY 1, 2) s JOIN ({KS_P}) k USING (ticker, model) LEFT JOIN ({dm_p_sql('crps')}) c USING (ticker, model) LEFT JOIN ({dm_p_sql('brier')}) b USING (ticker, model)"
 )
 _figures = ["mean_crps", "crps_skill", "brier", "brier_skill", *[f"coverage_{round(100 * v)}" for v in LEVELS], "pit_ks_p", "crps_dm_p", "brier_dm_p"]
-query("eval_compare_models_tests", sql(f"SELECT ticker, model, forecasts, {r8(*_figures)} FROM compared"))(lambda s, d: evaluate.compare_models(records(s, d), LEVELS))
+query("eval_compare_models_tests", sql(f"SELECT ticker, model, forecasts, {r8(*_figures)} FROM compared"))(lambda s, d: evaluate.compare_models(durable(records(s, d)), LEVELS))
 query("eval_coverage_tolerance", sql("SELECT ticker, round(2 * sqrt(0.9 * 0.1 / count(*)), 8) AS tolerance FROM records WHERE model = 'engine' GROUP BY 1"))(lambda s, d: records(s, d).where("model = 'engine'").groupBy("ticker").agg(evaluate.coverage_tolerance(F.lit(0.9), F.count(F.lit(1))).alias("tolerance")))
 query("eval_base_rate_brier", sql("SELECT ticker, round(avg((rate - up) ** 2), 8) AS base_rate_brier FROM (SELECT ticker, up, coalesce(avg(up) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) AS rate FROM (SELECT ticker, date, CASE WHEN realized > 0 THEN 1.0 ELSE 0.0 END AS up FROM records WHERE model = 'engine')) GROUP BY 1"))(lambda s, d: evaluate.base_rate_brier(records(s, d)))
 PER_YEAR = 248 / 5
@@ -574,7 +574,7 @@ query("syn_best_model", sql("SELECT ticker, arg_min(model, m) AS chosen FROM (SE
 
 
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
-    scored = records(s, d)
+    scored = durable(records(s, d))
     return evaluate.verdicts(evaluate.compare_models(scored, LEVELS), evaluate.long_only_rule(scored, SETTINGS), SETTINGS)
 
 
