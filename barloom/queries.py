@@ -430,12 +430,15 @@ query("model_gbm_paths", sql(f"SELECT ticker, date, position, path, {r8('realize
 SLOW_GARCH = (0.0005, 0.0003, 0.0004, 0.999)
 
 
-def garch_sql(o: float, a: float, g: float, b: float) -> str:
-    return sql(
-        f"SELECT ticker, date, position, {r8('e AS shock', 'v AS variance')} FROM path WHERE k > 0",
-        shocks=f"SELECT ticker, date, position, row_number() OVER {W} AS k, 100 * (r - avg(r) OVER (PARTITION BY ticker)) AS e FROM rets WHERE r IS NOT NULL",
-        path=f"SELECT ticker, CAST(NULL AS DATE) AS date, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS e, CAST({o / (1 - a - g / 2 - b)!r} AS DOUBLE) AS v FROM (SELECT DISTINCT ticker FROM shocks) UNION ALL SELECT s.ticker, s.date, s.position, s.k, s.e, {o} + ({a} + CASE WHEN s.e < 0 THEN {g} ELSE 0.0 END) * s.e * s.e + {b} * p.v FROM path p JOIN shocks s ON s.ticker = p.ticker AND s.k = p.k + 1",
-    )
+def garch_parts(o: float, a: float, g: float, b: float) -> dict[str, str]:
+    return {
+        "shocks": f"SELECT ticker, date, position, row_number() OVER {W} AS k, 100 * (r - avg(r) OVER (PARTITION BY ticker)) AS e FROM rets WHERE r IS NOT NULL",
+        "path": f"SELECT ticker, CAST(NULL AS DATE) AS date, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS e, CAST({o / (1 - a - g / 2 - b)!r} AS DOUBLE) AS v FROM (SELECT DISTINCT ticker FROM shocks) UNION ALL SELECT s.ticker, s.date, s.position, s.k, s.e, {o} + ({a} + CASE WHEN s.e < 0 THEN {g} ELSE 0.0 END) * s.e * s.e + {b} * p.v FROM path p JOIN shocks s ON s.ticker = p.ticker AND s.k = p.k + 1",
+    }
+
+
+def garch_sql(*parameters: float) -> str:
+    return sql(f"SELECT ticker, date, position, {r8('e AS shock', 'v AS variance')} FROM path WHERE k > 0", **garch_parts(*parameters))
 
 
 for _name, _p in (("model_garch_path", GARCH), ("model_garch_path_slow", SLOW_GARCH)):
@@ -473,23 +476,27 @@ _p, _t, _m, _v = STATES
 _density = lambda i: f"exp(-0.5 * (o.r - ({_m[i]})) * (o.r - ({_m[i]})) / {_v[i]}) / sqrt({_v[i]})"
 _ahead = [f"(f.p0 * {_t[0][i]} + f.p1 * {_t[1][i]}) * {_density(i)}" for i in (0, 1)]
 _first = [f"{_p[i]} * {_density(i)}" for i in (0, 1)]
+REGIME_PARTS = {
+    "obs": "SELECT ticker, date, position, r FROM rets WHERE r IS NOT NULL",
+    "filt": f"SELECT o.ticker, CAST(o.date AS VARCHAR) AS date, o.position, {_first[0]} / ({_first[0]} + {_first[1]}) AS p0, {_first[1]} / ({_first[0]} + {_first[1]}) AS p1 FROM obs o WHERE o.position = 1 UNION ALL SELECT o.ticker, CAST(o.date AS VARCHAR), o.position, {_ahead[0]} / ({_ahead[0]} + {_ahead[1]}), {_ahead[1]} / ({_ahead[0]} + {_ahead[1]}) FROM filt f JOIN obs o ON o.ticker = f.ticker AND o.position = f.position + 1",
+}
 query(
     "model_hmm_filter",
     sql(
         f"SELECT ticker, date, position, {r8('p1 AS turbulent')} FROM filt UNION ALL SELECT ticker, CAST(date AS VARCHAR) AS date, position, NULL FROM rets WHERE position = 0",
-        obs="SELECT ticker, date, position, r FROM rets WHERE r IS NOT NULL",
-        filt=f"SELECT o.ticker, CAST(o.date AS VARCHAR) AS date, o.position, {_first[0]} / ({_first[0]} + {_first[1]}) AS p0, {_first[1]} / ({_first[0]} + {_first[1]}) AS p1 FROM obs o WHERE o.position = 1 UNION ALL SELECT o.ticker, CAST(o.date AS VARCHAR), o.position, {_ahead[0]} / ({_ahead[0]} + {_ahead[1]}), {_ahead[1]} / ({_ahead[0]} + {_ahead[1]}) FROM filt f JOIN obs o ON o.ticker = f.ticker AND o.position = f.position + 1",
+        **REGIME_PARTS,
     ),
 )(lambda s, d: filters.regime_probability(returns(s, d), *STATES))
 TREND = (0.0001, 0.4, 0.002)
 _l, _q, _s = TREND
 # level, tilt, and the covariance (a, c, b) after each day; predicted: level + tilt, a + 2c + b + 1, c + b, b + slope ratio.
 _pa, _pc, _pb = "(k.a + 2 * k.c + k.b + 1)", "(k.c + k.b)", f"(k.b + {_s})"
+TREND_PARTS = {"kal": f"SELECT ticker, CAST(date AS VARCHAR) AS date, position, x AS level, CAST(0 AS DOUBLE) AS tilt, 1e4 - 1e8 / (1e4 + {_q}) AS a, CAST(0 AS DOUBLE) AS c, CAST(1e4 AS DOUBLE) AS b FROM rets WHERE position = 0 UNION ALL SELECT o.ticker, CAST(o.date AS VARCHAR), o.position, k.level + k.tilt + {_pa} / ({_pa} + {_q}) * (o.x - k.level - k.tilt), k.tilt + {_pc} / ({_pa} + {_q}) * (o.x - k.level - k.tilt), {_pa} - {_pa} * {_pa} / ({_pa} + {_q}), {_pc} - {_pa} * {_pc} / ({_pa} + {_q}), {_pb} - {_pc} * {_pc} / ({_pa} + {_q}) FROM kal k JOIN rets o ON o.ticker = k.ticker AND o.position = k.position + 1"}
 query(
     "model_kalman_trend",
     sql(
         f"SELECT ticker, date, position, round(CASE WHEN position >= 2 THEN tilt / sqrt(b * {_l}) END, 5) + 0.0 AS slope_z FROM kal",
-        kal=f"SELECT ticker, CAST(date AS VARCHAR) AS date, position, x AS level, CAST(0 AS DOUBLE) AS tilt, 1e4 - 1e8 / (1e4 + {_q}) AS a, CAST(0 AS DOUBLE) AS c, CAST(1e4 AS DOUBLE) AS b FROM rets WHERE position = 0 UNION ALL SELECT o.ticker, CAST(o.date AS VARCHAR), o.position, k.level + k.tilt + {_pa} / ({_pa} + {_q}) * (o.x - k.level - k.tilt), k.tilt + {_pc} / ({_pa} + {_q}) * (o.x - k.level - k.tilt), {_pa} - {_pa} * {_pa} / ({_pa} + {_q}), {_pc} - {_pa} * {_pc} / ({_pa} + {_q}), {_pb} - {_pc} * {_pc} / ({_pa} + {_q}) FROM kal k JOIN rets o ON o.ticker = k.ticker AND o.position = k.position + 1",
+        **TREND_PARTS,
     ),
 )(lambda s, d: filters.trend_strength(returns(s, d), *TREND).withColumn("slope_z", F.round("slope_z", 5)))
 PRIOR = (0.002, 0.004)
@@ -623,3 +630,25 @@ def _event_bars(s: SparkSession, d: str) -> DataFrame:
 
 
 query("stream_intraday_bars", BARS_OF_EVENTS)(_event_bars)
+
+
+def _model_state(s: SparkSession, d: str) -> DataFrame:
+    """The bars streamed through fixed fits, their mean return taken beforehand."""
+    from .streaming.model_state import replay
+
+    listed = lambda v: F.array(*[listed(x) if isinstance(x, list) else F.lit(float(x)) for x in v])
+    held = dict(zip(("omega", "alpha", "gamma", "beta"), GARCH, strict=True)) | dict(zip(("start", "transition", "means", "variances"), STATES, strict=True)) | dict(zip(("level_variance", "observation_ratio", "slope_ratio"), TREND, strict=True))
+    fits = returns(s, d).groupBy("ticker").agg(F.avg("r").alias("mean")).select("ticker", "mean", *[(listed(v) if isinstance(v, list) else F.lit(float(v))).alias(k) for k, v in held.items()])
+    out = replay(bars(s, d).select("ticker", C("date").cast("timestamp").alias("at"), "close"), fits)
+    return out.select("ticker", C("at").cast("date").alias("date"), "close", "variance", "turbulent", F.round("slope_z", 5).alias("slope_z"))
+
+
+query(
+    "stream_model_state",
+    sql(
+        f"SELECT ticker, date, {r8('close', 'g.v AS variance', 'h.p1 AS turbulent')}, round(CASE WHEN position >= 2 THEN k.tilt / sqrt(k.b * {_l}) END, 5) + 0.0 AS slope_z FROM rets r LEFT JOIN (SELECT ticker, position, v FROM path WHERE k > 0) g USING (ticker, position) LEFT JOIN (SELECT ticker, position, p1 FROM filt) h USING (ticker, position) LEFT JOIN (SELECT ticker, position, tilt, b FROM kal) k USING (ticker, position)",
+        **garch_parts(*GARCH),
+        **REGIME_PARTS,
+        **TREND_PARTS,
+    ),
+)(_model_state)
