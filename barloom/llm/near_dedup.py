@@ -24,6 +24,8 @@ from .buckets import joined_parts
 from .common import beside, cut, fresh, release
 
 BANDS, ROWS = 40, 5
+#: Shingles that a worker hands on at once: 2 MB.
+BATCH_SHINGLES = 250_000
 SKETCH_WORDS = 16  # of 64 bits
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: a public 64-bit finaliser
 
@@ -136,8 +138,13 @@ def shingle_sets(docs: DataFrame, *, size: int, id_col: str, text_col: str) -> D
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for part in parts:
-            sets = [shingle(t.as_py()).view(np.int64) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            ids, texts, first, sets, held = part.column(0).cast(pa.int64()), part.column(1), 0, [], 0
+            for k in range(part.num_rows):
+                sets.append(shingle(texts[k].as_py()).view(np.int64))
+                held += len(sets[-1])
+                if held >= BATCH_SHINGLES or k == part.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+                    first, sets, held = k + 1, [], 0
 
     return docs.select(id_col, text_col).mapInArrow(run, "id long, shingles array<long>")
 
