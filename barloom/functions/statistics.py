@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .linear import gram, left_over, swept_all
+
 C = F.col
 
 # Response-surface coefficients of the unit-root test with a constant (MacKinnon 2010).
@@ -117,16 +117,16 @@ def arch_lm_value(residuals: np.ndarray, lags: int) -> tuple[float, float]:
 
 
 def arch_lm(df: DataFrame, x: str, by: list[str], order: str, lags: int) -> DataFrame:
-    """S7 by group: n, statistic and p. x holds residuals."""
-
-    def run(pdf):
-        held = pdf.sort_values(order)
-        value, p = arch_lm_value(held[x].to_numpy(), lags)
-        return held[by].head(1).assign(n=len(held) - lags, lm=value, p_value=p)
-
-    kinds = dict(df.dtypes)
-    rows = df.where(C(x).isNotNull()).select(*by, order, x)
-    return rows.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, lm double, p_value double")
+    """S7 by group: n, statistic and p. x holds residuals. One Gram matrix of the squares, their lags and 1;
+    squares less their group's mean, which the constant takes up, keep it well conditioned."""
+    w = Window.partitionBy(*by)
+    sq = df.where(C(x).isNotNull()).select(*by, order, (C(x) * C(x)).alias("q"))
+    sq = sq.withColumn("q", (C("q") - F.avg("q").over(w)) / F.nullif(F.stddev_pop("q").over(w), F.lit(0.0)))
+    rows = sq.select(*by, "q", *[F.lag("q", k).over(w.orderBy(order)).alias(f"q{k}") for k in range(1, lags + 1)]).where(C(f"q{lags}").isNotNull())
+    g = gram(rows, by, [F.lit(1.0), *[C(f"q{k}") for k in range(1, lags + 1)], C("q")])
+    left = g.select(*by, "n", left_over(C("gram"), lags + 2).alias("left"))
+    out = left.select(*by, "n", (C("n") * (1 - C("left")[lags + 1] / C("left")[1])).alias("lm"))
+    return out.withColumn("p_value", chi_square_tail(C("lm"), lags))
 
 
 def critical_value(level: float, n: int) -> float:
@@ -163,15 +163,41 @@ def unit_root_value(y: np.ndarray, level: float = 0.05, most: int | None = None)
     return {"statistic": statistic, "lags": lags, "observations": len(target), "critical": critical_value(level, len(target)), "stationary": bool(statistic < critical_value(level, len(target)))}
 
 
-def unit_root(df: DataFrame, x: str, by: list[str], order: str, level: float = 0.05) -> DataFrame:
-    """S8 by group; a group's series meets in one task, as its lags must."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+def most_lags(n: Column) -> Column:
+    return F.floor(12 * F.pow(n / 100, F.lit(0.25))).cast("int")
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = unit_root_value(pdf.sort_values(order)[x].to_numpy(), level)
-        return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in by}, **r}])
 
-    return df.select(*by, order, x).groupBy(*by).applyInPandas(test, ", ".join(f"{b} {kinds[b]}" for b in by) + ", statistic double, lags int, observations int, critical double, stationary boolean")
+def unit_root(df: DataFrame, x: str, by: list[str], order: str, level: float = 0.05, most: int | None = None) -> DataFrame:
+    """S8 by group: lags by the smallest AIC over one sample, t of the lagged level, in columns.
+
+    The squares that each number of lags leaves come from one Gram matrix by successive sweeps; a second
+    matrix, over all rows that the chosen number allows, gives the statistic. Levels less their
+    group's mean keep the matrices well conditioned; the constant takes the mean up. `most` bounds
+    the lags, else 12 (n / 100) ** 0.25 of each group; how wide the matrix must be is one count."""
+    if level not in UNIT_ROOT:
+        raise ValueError(f"level must be one of {sorted(UNIT_ROOT)}")
+    w = Window.partitionBy(*by)
+    rows = df.select(*by, order, C(x).alias("x")).withColumns({"n": F.count(F.lit(1)).over(w), "t": F.row_number().over(w.orderBy(order)) - 2})
+    widest = most if most is not None else (rows.agg(F.max(most_lags(C("n")))).first()[0] or 0)
+    rows = rows.withColumns({"most": F.lit(most).cast("int") if most is not None else most_lags(C("n")), "d": C("x") - F.lag("x").over(w.orderBy(order)), "y": F.lag("x").over(w.orderBy(order)) - F.avg("x").over(w)})
+    lagged = rows.select(*by, "t", "most", "d", "y", *[F.lag("d", k).over(w.orderBy(order)).alias(f"d{k}") for k in range(1, widest + 1)]).where("t >= 0")
+    p = widest + 3
+
+    def matrices(limit: Column, frame: DataFrame) -> DataFrame:
+        """Of the rows that have `limit` lags; further lags are 0 and never swept."""
+        held = [F.when(F.lit(k) <= limit, C(f"d{k}")).otherwise(0.0) for k in range(1, widest + 1)]
+        return gram(frame.where(C("t") >= limit), by, [F.lit(1.0), C("y"), *held, C("d")])
+
+    first = matrices(C("most"), lagged).join(lagged.groupBy(*by).agg(F.first("most").alias("most")), by)
+    tried = F.sequence(F.lit(0), C("most"))
+    aic = F.transform(tried, lambda k: F.struct((C("n") * F.ln(F.greatest(F.get("left", k + 2), F.lit(1e-300)) / C("n")) + 2 * (k + 2)).alias("aic"), k.alias("lags")))
+    chosen = first.select(*by, "n", "most", left_over(C("gram"), p).alias("left")).select(*by, F.array_min(aic)["lags"].alias("lags"))
+    second = matrices(C("lags"), lagged.join(chosen, by)).join(chosen, by)
+    used = second.select(*by, "lags", "n", swept_all(C("gram"), C("lags") + 2, p).alias("m"))
+    slope, spread, left = F.get("m", F.lit(p + p - 1)), -F.get("m", F.lit(p + 1)), F.get("m", F.lit(p * p - 1))
+    critical = sum((F.lit(b) / F.pow(C("n").cast("double"), F.lit(float(i))) for i, b in enumerate(UNIT_ROOT[level])), F.lit(0.0))
+    out = used.select(*by, (slope / F.sqrt(left / (C("n") - C("lags") - 2) * spread)).alias("statistic"), C("lags").cast("int").alias("lags"), C("n").cast("int").alias("observations"), critical.alias("critical"))
+    return out.withColumn("stationary", C("statistic") < C("critical"))
 
 
 def dickey_fuller_zero(df: DataFrame, x: str, by: list[str], order: str) -> DataFrame:

@@ -391,7 +391,33 @@ for _k in range(1, 5):  # each lag less what the lags before it explain, so that
     _lagged = "SELECT ticker, y, " + ", ".join([f"x{j}" for j in range(1, _k + 1)] + [f"x{j} - avg(x{j}) {_own} - covar_pop(x{j}, x{_k}) {_own} / var_pop(x{_k}) {_own} * (x{_k} - avg(x{_k}) {_own}) AS x{j}" for j in range(_k + 1, 6)]) + f" FROM ({_lagged})"
 _lm = "SELECT ticker, count(*) AS n, count(*) * (" + " + ".join(f"pow(corr(y, x{k}), 2)" for k in range(1, 6)) + f") AS lm FROM ({_lagged}) GROUP BY 1"
 query("stat_arch_lm_five", sql(f"SELECT ticker, n, round(lm, 6) + 0.0 AS lm, round({FIVE}, 6) + 0.0 AS p_value FROM (SELECT *, lm / 2 AS h FROM ({_lm}))"))(lambda s, d: S.arch_lm(returns(s, d), "r", ["ticker"], "date", 5).withColumns({"lm": F.round("lm", 6), "p_value": F.round("p_value", 6)}))
-query("stat_unit_root")(lambda s, d: S.unit_root(returns(s, d), "x", ["ticker"], "date"))
+_P = 32  # columns: 1, the level, up to 29 lags, the change
+
+
+def _swept_sql(m: str, k: str) -> str:
+    pivot = f"{m}[{k} * {_P + 1} + 1]"
+    return f"CASE WHEN abs({pivot}) > 1e-12 THEN list_transform(range(0, {_P * _P}), lambda z: CASE WHEN z // {_P} = {k} AND z % {_P} = {k} THEN -1 / {pivot} WHEN z // {_P} = {k} OR z % {_P} = {k} THEN {m}[z + 1] / {pivot} ELSE {m}[z + 1] - {m}[(z // {_P}) * {_P} + {k} + 1] * {m}[{k} * {_P} + z % {_P} + 1] / {pivot} END) ELSE {m} END"
+
+
+def _gram_sql(rows: str) -> str:
+    sums = f"SELECT ticker, cap, i, count(*) AS n, sum(v[i // {_P} + 1] * v[i % {_P} + 1]) AS s FROM {rows}, (SELECT unnest(range(0, {_P * _P})) AS i) GROUP BY 1, 2, 3"
+    return f"SELECT ticker, cap, any_value(n) AS n, list(s ORDER BY i) AS m FROM ({sums}) GROUP BY 1, 2"
+
+
+_ROW = f"[1.0, y] || list_transform(range(1, {_P - 2}), lambda k: CASE WHEN k <= {{cap}} THEN lags[k] ELSE 0.0 END) || [d] AS v"
+ADF = {
+    "adf_base": f"SELECT ticker, count(*) OVER (PARTITION BY ticker) AS n, row_number() OVER {W} - 2 AS t, x - lag(x) OVER {W} AS d, lag(x) OVER {W} - avg(x) OVER (PARTITION BY ticker) AS y FROM rets",
+    "adf_lag": f"SELECT ticker, t, CAST(floor(12 * pow(n / 100.0, 0.25)) AS BIGINT) AS most, d, y, list_reverse(list(d) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN {_P - 3} PRECEDING AND 1 PRECEDING)) AS lags FROM (SELECT * FROM adf_base WHERE t >= 0)",
+    "adf_one": f"SELECT ticker, most AS cap, {_ROW.format(cap='most')} FROM adf_lag WHERE t >= most",
+    "adf_gram": _gram_sql("adf_one"),
+    "adf_sweep": f"SELECT ticker, cap, n, CAST(0 AS BIGINT) AS k, m, [m[{_P * _P}]] AS rss FROM adf_gram UNION ALL SELECT ticker, cap, n, k + 1, w, rss || [w[{_P * _P}]] FROM (SELECT *, {_swept_sql('m', 'k')} AS w FROM adf_sweep WHERE k < {_P - 1})",
+    "adf_lags": f"SELECT ticker, arg_min(j, n * ln(rss[j + 3] / n) + 2 * (j + 2)) AS cap FROM (SELECT ticker, n, rss, unnest(range(0, cap + 1)) AS j FROM adf_sweep WHERE k = {_P - 1}) GROUP BY 1",
+    "adf_two": f"SELECT l.ticker, c.cap, {_ROW.format(cap='c.cap')} FROM adf_lag l JOIN adf_lags c ON c.ticker = l.ticker WHERE t >= c.cap",
+    "adf_gram_two": _gram_sql("adf_two"),
+    "adf_last": f"SELECT ticker, cap, n, CAST(0 AS BIGINT) AS k, m FROM adf_gram_two UNION ALL SELECT ticker, cap, n, k + 1, {_swept_sql('m', 'k')} FROM adf_last WHERE k < cap + 2",
+    "adf": f"SELECT ticker, cap, n, m[{(_P - 1) * _P + 2}] / sqrt(m[{_P * _P}] / (n - cap - 2) * -m[{_P + 2}]) AS statistic, " + " + ".join(f"({b!r}) / pow(n, {i})" for i, b in enumerate(S.UNIT_ROOT[0.05])) + " AS critical FROM adf_last WHERE k = cap + 2",
+}
+query("stat_unit_root", sql("SELECT ticker, round(statistic, 5) + 0.0 AS statistic, CAST(cap AS INTEGER) AS lags, CAST(n AS INTEGER) AS observations, round(critical, 8) + 0.0 AS critical, statistic < critical AS stationary FROM adf", **ADF))(lambda s, d: S.unit_root(returns(s, d), "x", ["ticker"], "date").withColumn("statistic", F.round("statistic", 5)))
 query("stat_dickey_fuller_zero", sql(f"SELECT ticker, n, round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 5) + 0.0 AS statistic FROM (SELECT ticker, count(*) AS n, regr_slope(d, l) AS b, regr_sxx(d, l) AS sxx, regr_syy(d, l) AS syy FROM (SELECT ticker, lag(x) OVER {W} AS l, x - lag(x) OVER {W} AS d FROM rets) WHERE d IS NOT NULL GROUP BY 1)"))(lambda s, d: S.dickey_fuller_zero(returns(s, d), "x", ["ticker"], "date").withColumn("statistic", F.round("statistic", 5)))
 
 
