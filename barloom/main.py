@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--sectors", help="CSV file of ticker, sector")
     p.add_argument("--cache", help="folder that keeps cleaned bars between runs")
     p.add_argument("--refresh", action="store_true", help="do not read the cache")
+    p.add_argument("--keep", help="shared folder that keeps the walk-forward test, so that a rerun adds new origins alone")
     p.add_argument("--mode", choices=("parallel", "serial"), default="parallel")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("barloom").getOrCreate()
@@ -46,7 +47,7 @@ def main(argv: list[str] | None = None) -> None:
     peers = spark.createDataFrame([(t, q) for t, qs in settings["fundamentals"]["peers"].items() for q in qs], "ticker string, peer string")
     benchmark, sector = indices(spark, args.indices, args.sectors, settings) if args.indices else (None, None)
     print(f"analysing the bars of {bars.select('ticker').distinct().count()} tickers", file=sys.stderr)
-    a = analyse(bars, found["earnings"], found["statements"], found["multiples"], peers, benchmark, sector, settings, args.mode)
+    a = analyse(bars, found["earnings"], found["statements"], found["multiples"], peers, benchmark, sector, settings, args.mode, args.keep)
     for r in write_reports(a, settings).select("report").orderBy("ticker").limit(20).toLocalIterator():
         sys.stdout.write(r["report"] + "\n")
 

@@ -128,31 +128,43 @@ def record_schema(levels: list[float]) -> str:
     return "ticker string, date date, position int, refit long, model string, realized double, crps double, pit double, p_up double, brier double, " + ", ".join(f"{evaluate.level_name(v)} boolean" for v in levels) + ", turbulent_probability double, trending double, earnings_in_window boolean, ou_active boolean, drift_mean double, drift_sd double, scale array<double>, suite string, note string"
 
 
-def candidates(prepared: DataFrame, settings: dict, mode: str = "parallel") -> DataFrame:
+WORK = "ticker string, range long, todo array<struct<refit:long,positions:array<int>,fitted:boolean>>, warm string, kept array<string>"
+
+
+def all_work(prepared: DataFrame, settings: dict, mode: str) -> DataFrame:
+    """Every refit with its origins, by ranges of refits (columns WORK), nothing fitted before."""
+    part = F.lit(0) if mode == "serial" else F.floor(C("refit") / RANGE)
+    refits = test_origins(prepared, settings).groupBy("ticker", part.cast("long").alias("range")).agg(F.array_sort(F.collect_list(F.struct("refit", "positions", F.lit(False).alias("fitted")))).alias("todo"))
+    return refits.select("*", F.lit(None).cast("string").alias("warm"), F.lit(None).cast("array<string>").alias("kept"))
+
+
+def candidates(prepared: DataFrame, settings: dict, mode: str = "parallel", work: DataFrame | None = None) -> DataFrame:
     """Scores of all candidate models at all origins, and a row `engine` for each origin with what
     the engine needs (drift posterior, fits). Each fit starts from the last one: in mode parallel
-    within ranges of RANGE refits, in mode serial over all refits of a ticker."""
+    within ranges of RANGE refits, in mode serial over all refits of a ticker. `work` (columns WORK)
+    names the refits and origins to run, with the fits that their range starts from (`warm`) and, where
+    its first refit is fitted already, the indicators that it kept."""
     names, levels, horizon = settings["redundancy"]["priority"], settings["forecast"]["interval_levels"], settings["forecast"]["horizon_days"]
     walk, paths, seed = settings["walk_forward"], settings["forecast"]["monte_carlo_paths"], settings["forecast"]["random_seed"]
-    refits = test_origins(prepared, settings)
-    part = F.lit(0) if mode == "serial" else F.floor(C("refit") / RANGE)
-    refits = refits.groupBy("ticker", part.alias("range")).agg(F.array_sort(F.collect_list(F.struct("refit", "positions"))).alias("todo"))
+    refits = all_work(prepared, settings, mode) if work is None else work
     upto = F.array_max(F.transform("todo", lambda x: F.array_max(x["positions"]))) + horizon + 1
     held = series(prepared, names)
-    rows = refits.join(held, "ticker").select("ticker", "range", "todo", *[F.slice(c, F.lit(1), upto).alias(c) for c in held.columns if c != "ticker"])
+    rows = refits.join(held, "ticker").select("ticker", "range", "todo", "warm", C("kept").alias("kept_before"), *[F.slice(c, F.lit(1), upto).alias(c) for c in held.columns if c != "ticker"])
     spread = rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism * 2), "ticker", "range")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, row in pdf.iterrows():
-                s, ticker, suite = arrays_of(row, names), row["ticker"], None
+                s, ticker = arrays_of(row, names), row["ticker"]
+                suite = Suite.from_json(row["warm"]) if row["warm"] else None
+                kept = None if row["kept_before"] is None else list(row["kept_before"])
                 band = settings["market"]["price_bands"].get(ticker)
                 out = []
                 for todo in row["todo"]:
                     refit = int(todo["refit"])
                     for k, position in enumerate(int(p) for p in todo["positions"]):
                         start = 0 if walk["max_training_days"] is None else max(0, position + 1 - walk["max_training_days"])
-                        if k == 0:
+                        if k == 0 and not todo["fitted"]:
                             suite, kept, dropped = fit_at(s, names, start, position, settings, generator(seed, ticker, position, "fit"), suite)
                             note = {"kept": kept, "dropped": dropped, "adf_statistic": suite.adf["statistic"], "adf_rejects_unit_root": suite.adf["stationary"], "multiplier": suite.multiplier, "garch_persistence": suite.garch.persistence, "garch_tail_dof": suite.garch.nu}
                         else:
@@ -172,13 +184,14 @@ def candidates(prepared: DataFrame, settings: dict, mode: str = "parallel") -> D
     return spread.mapInPandas(run, record_schema(levels))
 
 
-def engine(scored: DataFrame, settings: dict) -> DataFrame:
+def engine(scored: DataFrame, settings: dict, only: DataFrame | None = None) -> DataFrame:
     """The engine's records: the volatility model that did best by then, its shocks
-    about one drift drawn for each path."""
+    about one drift drawn for each path; of the origins of `only` (ticker, position), if given."""
     levels, horizon = settings["forecast"]["interval_levels"], settings["forecast"]["horizon_days"]
     walk, paths, seed = settings["walk_forward"], settings["forecast"]["monte_carlo_paths"], settings["forecast"]["random_seed"]
     chosen = evaluate.chosen_models(scored, horizon, walk["min_scored_forecasts_for_model_selection"], walk["default_volatility_model"])
     todo = scored.where("model = 'engine'").join(chosen.select("ticker", "position", "chosen"), ["ticker", "position"])
+    todo = todo if only is None else todo.join(only.select("ticker", "position"), ["ticker", "position"], "left_semi")
     schema = record_schema(levels) + ", chosen string"
     columns = [c.split(" ")[0] for c in schema.split(", ")]
 

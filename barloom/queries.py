@@ -678,3 +678,18 @@ query(
         **TREND_PARTS,
     ),
 )(_model_state)
+
+
+def _resume_work(s: SparkSession, d: str) -> DataFrame:
+    """The origins that a kept test has to run again: forty days came in, and one old bar of AF changed."""
+    from .plans import resume
+
+    now = returns(s, d).select("ticker", "date", "position", "x")
+    held = now.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker"))).where("position < n - 40").drop("n")
+    held = held.withColumn("x", F.when((C("ticker") == "AF") & (C("position") == 600), C("x") + 0.01).otherwise(C("x")))
+    kept = resume.keys(held, PLAN, ["x"])
+    return resume.keys(now, PLAN, ["x"]).join(kept, resume.KEY, "left_anti").select("ticker", "refit", "position")
+
+
+_EVERY = -(-SETTINGS["walk_forward"]["refit_every_days"] // STEP) * STEP
+query("bt_resume_work", sql(f"SELECT ticker, CAST(floor((position - {FIRST}) / {_EVERY}) AS BIGINT) AS refit, CAST(position AS INTEGER) AS position FROM origins WHERE position >= n - 40 - {HORIZON} OR (ticker = 'AF' AND position + {HORIZON} >= 600)"))(_resume_work)
