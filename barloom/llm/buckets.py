@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, components, cut, release
+from .common import beside, components, cut, release, rows_of
 
 #: Pairs of each member that are proved first.
 LIKELY = 4
@@ -67,7 +67,7 @@ def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], di
     links = cut(confirmed(likely))
     label = components(links)
     further = cut(between(star.select("a", "b"), label).join(likely, ["a", "b"], "left_anti"))
-    if further.limit(1).count():
+    if rows_of(further):
         links = cut(links.union(confirmed(further)))
         label = components(links)
     # Members of buckets that hold more than one component.
@@ -83,11 +83,11 @@ def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], di
     other = small.select("key", F.col("id").alias("b"), F.col("part").alias("q"), F.col("light").alias("l_b"))
     pairs = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & alike(la, lb)).select("a", "b").distinct()
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    if pairs.limit(1).count():
+    if rows_of(pairs):
         links = cut(links.union(confirmed(pairs)))
         label = components(links)
     large = cut(rest.where(F.col("members") > MEET).select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("part")))
-    if not large.limit(1).count():
+    if not rows_of(large):
         return label
     keyed = items.select("id", "keys", "light")
     end = lambda name: keyed.select(F.col("id").alias(name), F.col("keys").alias(f"k_{name}"), F.col("light").alias(f"l_{name}"))
@@ -99,7 +99,7 @@ def joined_parts(items: DataFrame, alike: Callable[[Column, Column], Column], di
     first = met.withColumn("rank", F.row_number().over(Window.partitionBy("p", "q").orderBy("d", "a", "b"))).where(f"rank <= {LIKELY}").select("a", "b")
     for pairs in (lambda: first, lambda: between(met.select("a", "b"), label).join(first, ["a", "b"], "left_anti")):
         now = cut(pairs())
-        if now.limit(1).count():
+        if rows_of(now):
             links = cut(links.union(confirmed(now)))
             label = components(links)
     return label

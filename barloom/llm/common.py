@@ -70,8 +70,8 @@ BROADCAST_ROWS = 200_000
 
 def beside(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a table with a narrow one: broadcast where that one's counted rows are few, by a shuffle
-    (whose skewed partitions Spark splits) beyond it. `small` should be materialised."""
-    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+    (whose skewed partitions Spark splits) beyond it. `small` should come from `cut`, which has counted it."""
+    return big.join(F.broadcast(small) if rows_of(small) <= rows else small, on, how)
 
 
 def cut(df: DataFrame, rows: int = 50_000) -> DataFrame:
@@ -80,8 +80,17 @@ def cut(df: DataFrame, rows: int = 50_000) -> DataFrame:
     not drag a large table's partitions through later shuffles."""
     shared_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    parts = max(8, -(-out.count() // rows))
-    return out.coalesce(parts) if parts < out.rdd.getNumPartitions() else out
+    count = out.count()
+    parts = max(8, -(-count // rows))
+    out = out.coalesce(parts) if parts < out.rdd.getNumPartitions() else out
+    out.counted_rows = count
+    return out
+
+
+def rows_of(df: DataFrame) -> int:
+    """The number of rows; a table from `cut` knows it."""
+    known = getattr(df, "counted_rows", None)
+    return df.count() if known is None else known
 
 
 def release(spark: SparkSession) -> None:
@@ -107,7 +116,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     parent = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("p")))
     # A node has one row in `parent`, in every round: where they are few, the hub of a star meets its
     # neighbours without a shuffle; beyond that Spark splits the hub's partition.
-    few = parent.count() <= BROADCAST_ROWS
+    few = rows_of(parent) <= BROADCAST_ROWS
     held = lambda df: F.broadcast(df) if few else df
     while True:
         near = small(both.join(held(parent.withColumnRenamed("id", "u")), "u")).groupBy(F.col("v").alias("id")).agg(F.min("p").alias("m"))
