@@ -549,6 +549,42 @@ def test_decontamination_equals_brute_force_on_few_words():
     assert got == want
 
 
+@pytest.mark.parametrize("how", ["front", "back", "spread"])
+def test_decontamination_recall_of_random_edits(how):
+    """At the allowed distance, with replacements, insertions and deletions."""
+    rng = random.Random(how)
+    hit = total = 0
+    for n in (8, 14, 30, 57, 120, 300, 900):
+        items = [(i, [f"w{rng.randrange(3000)}" for _ in range(n)]) for i in range(24 if n < 300 else 8)]
+        texts, k = [], decontaminate.allowed(n)
+        for _, words in items:
+            at = set(range(k) if how == "front" else range(n - k, n) if how == "back" else rng.sample(range(n), k))
+            edited = [y for i, x in enumerate(words) for y in (rng.choice([[], [x, "new"], ["other"]]) if i in at else [x])]
+            texts.append([f"q{i}" for i in range(30)] + edited + [f"q{i}" for i in range(30)])
+        found = decontaminate.Index(items).search(texts)
+        hit, total = hit + sum(i in found[i] for i, _ in items), total + len(items)
+    assert hit >= 0.97 * total
+
+
+def test_decontamination_is_not_quadratic_in_shared_phrases():
+    """N items of 24 words share a phrase of 8; N texts hold it among words of the benchmark."""
+
+    def proposed(n: int) -> int:
+        rng = random.Random(5)
+        phrase = [f"p{i}" for i in range(8)]
+        items = [(i, phrase + [f"w{16 * i + j}" for j in range(16)]) for i in range(n)]
+        some = lambda k: [f"w{rng.randrange(16 * n)}" for _ in range(k)]
+        texts = [some(20) + phrase + some(20) for _ in range(n)]
+        index = decontaminate.Index(items)
+        assert all(i in f for (i, _), f in zip(items[:40], index.search([w for _, w in items[:40]])))
+        index.proposed = 0
+        index.search(texts)
+        return index.proposed
+
+    few, more, most = proposed(200), proposed(400), proposed(800)
+    assert more <= 2.2 * few + 200 and most <= 2.2 * more + 400
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "null id"), (1, "null id"), (2, "tie tie"), (3, ""), (4, None), (None, "one")], "item_id long, text string")
     out = decontaminate.find_items(with_extra(spark, odd_texts()), bench).collect()
