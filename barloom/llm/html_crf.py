@@ -98,7 +98,7 @@ def attributes(page: str, i: int) -> tuple[int, bool, list[str]]:
 def tags_of(page: str) -> Iterator[Tag]:
     """Tags in page order. Comments, declarations, skipped elements and a tag in which the page is
     cut off come as a tag without a name."""
-    i, n = 0, len(page)
+    i, n, titles = 0, len(page), True
     while (at := page.find("<", i)) >= 0:
         mark = page[at + 1 : at + 2]
         if page.startswith("<!--", at):
@@ -122,8 +122,10 @@ def tags_of(page: str) -> Iterator[Tag]:
                 yield Tag("", False, False, (), at, i)
             else:
                 yield Tag(name, mark == "/", closed, tuple(named), at, i)
-                if name == "title" and mark != "/" and not closed and (close := ENDS[name].search(page, i)):
-                    i = close.start()  # a title holds text alone
+                if name == "title" and mark != "/" and not closed and titles:
+                    close = ENDS[name].search(page, i)
+                    titles = close is not None  # without an end there is none further on either
+                    i = close.start() if close else i  # a title holds text alone
         elif mark == "/":
             close = page.find(">", at)
             i = n if close < 0 else close + 1
