@@ -7,6 +7,13 @@ being decompressed. A payload is decoded only if the schema that is read has the
 Plain and gzip archives from elsewhere are read too: their headers also come first, and blocks that
 are not wanted are inflated piece by piece and dropped.
 
+Damaged archives: a record is damaged if its member cannot be inflated or is cut off, its block is cut off,
+or its headers have no end within HEAD_MOST bytes or no usable Content-Length. Reading goes on at the next
+place where a record or a gzip member begins, so that every good one after it is still read. Of a gzip member
+from elsewhere the records before the damage stand, and what is left of the last one. Other damaged
+records are left out; with the option `damaged` set to `rows` each is a row of record_type `damaged` whose
+headers tell its place in the file and the reason, so that they can be counted. Lines may end with CRLF or LF.
+
 Paths are opened through pyarrow's file systems: file and whatever else pyarrow reaches.
 """
 
@@ -36,6 +43,10 @@ FILE_BYTES = 64 << 20
 #: Plain bytes that are inflated at a time.
 PIECE = 1 << 16
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: Headers of a record may have so many bytes.
+HEAD_MOST = 1 << 20
+HEAD_END, LINE_END = re.compile(rb"\r?\n\r?\n"), re.compile(rb"\r?\n")
+GZIP = b"\x1f\x8b\x08"
 UNSAFE = re.compile(r"[\x00-\x1f\x7f]")
 
 
@@ -73,7 +84,7 @@ def parse_head(head: bytes) -> dict[str, str]:
     others as they stand. A line that starts with white space goes on with the header before it."""
     out: dict[str, str] = {}
     last = None
-    for line in head.split(b"\r\n")[1:]:
+    for line in LINE_END.split(head)[1:]:
         text = line.decode("utf-8", "replace")
         if text[:1] in (" ", "\t") and last:
             out[last] = f"{out[last]} {text.strip()}".strip()
@@ -85,6 +96,15 @@ def parse_head(head: bytes) -> dict[str, str]:
     return out
 
 
+def number(raw: str | None) -> int | None:
+    """A length as headers tell it; None for what is no whole number of at least 0."""
+    return int(raw) if raw is not None and raw.isascii() and raw.isdigit() and len(raw) < 19 else None
+
+
+def damage(at: int, reason: str) -> dict[str, str]:
+    return {"WARC-Type": "damaged", "X-File-Position": str(at), "X-Reason": reason}
+
+
 @dataclass
 class Files(InputPartition):
     paths: tuple[str, ...]
@@ -100,6 +120,14 @@ class Buffered:
 
     def __init__(self, stream, step: int = 1 << 20) -> None:
         self.stream, self.step, self.held = stream, step, b""
+        self.end = stream.seek(0, 2) if stream.seekable() else None
+        if self.end is not None:
+            self.end = stream.tell()
+            stream.seek(0)
+
+    @property
+    def at(self) -> int:
+        return self.stream.tell() - len(self.held)
 
     def look(self, n: int) -> bytes:
         while len(self.held) < n and (more := self.stream.read(max(self.step, n - len(self.held)))):
@@ -111,12 +139,30 @@ class Buffered:
         self.held = self.held[len(out) :]
         return out
 
-    def skip(self, n: int) -> None:
+    def has(self, n: int) -> bool:
+        """Whether there are so many bytes left."""
+        return self.at + n <= self.end if self.end is not None else len(self.look(n)) == n
+
+    def skip(self, n: int) -> bool:
+        """False where the file ends before."""
+        there = self.has(n)
         if n <= len(self.held):
             self.held = self.held[n:]
         else:
             self.stream.seek(self.stream.tell() + n - len(self.held))
             self.held = b""
+        return there
+
+    def to_next(self, *marks: bytes) -> None:
+        """On to the first of the marks after this place, or to the end."""
+        self.take(1)
+        longest = max(map(len, marks))
+        while seen := self.look(self.step):
+            found = [k for mark in marks if (k := seen.find(mark)) >= 0]
+            if found:
+                self.take(min(found))
+                return
+            self.take(len(seen) if len(seen) < self.step else len(seen) - longest + 1)
 
 
 class Member:
@@ -125,17 +171,25 @@ class Member:
 
     def __init__(self, source: Buffered) -> None:
         self.source, self.opened, self.held, self.inflated = source, zlib.decompressobj(31), bytearray(), 0
+        self.start, self.damaged = source.at, ""
+
+    @property
+    def at(self) -> int:
+        return self.start
 
     def more(self) -> bool:
-        """Inflates another piece; false at the member's end, and where the file is cut off."""
-        if self.opened.eof:
+        """Inflates another piece; false at the member's end, and where it is damaged or cut off."""
+        if self.opened.eof or self.damaged:
             return False
         packed = self.opened.unconsumed_tail or self.source.take(PIECE)
         if not packed:
+            self.damaged = "the member is cut off"
             return False
         try:
             piece = self.opened.decompress(packed, PIECE)
-        except zlib.error:  # damaged: what came before stands
+        except zlib.error:  # what came before stands
+            self.damaged = "the member cannot be inflated"
+            self.source.held = packed + self.source.held
             return False
         self.inflated += len(piece)
         self.held += piece
@@ -148,79 +202,125 @@ class Member:
 
     def take(self, n: int) -> bytes:
         out = self.look(n)
-        del self.held[:n]
+        del self.held[: len(out)]
         return out
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int) -> bool:
         while n > len(self.held):
             n -= len(self.held)
             self.held.clear()
             if not self.more():
-                return
+                return n == 0
         del self.held[:n]
+        return True
 
-    def close(self) -> None:
-        """To the member's end; bytes of the next one go back to the source."""
-        while self.more():
+    def to_next(self, *marks: bytes) -> None:
+        """The place of a next record inside a member is not looked for."""
+        while self.held or self.more():
             self.held.clear()
-        self.source.held = self.opened.unused_data + self.source.held
+
+    def close(self) -> None:
+        """To the member's end; bytes of the next one go back to the source. After damage the source goes
+        on to the next member."""
+        self.to_next()
+        if self.damaged:
+            self.source.to_next(GZIP)
+        else:
+            self.source.held = self.opened.unused_data + self.source.held
 
 
-def head_of(reader: Buffered | Member) -> bytes | None:
-    """The next record's headers, without what ends them; the reader stays before them. None at the
-    end. Line ends that are left of the record before are passed over."""
-    while reader.look(2) == b"\r\n":
-        reader.skip(2)
+def head_and_size(reader: Buffered | Member) -> tuple[bytes, int] | None:
+    """The next record's headers and the bytes that they take with what ends them; the reader stays before
+    them. None where they have no end. Line ends that are left of the record before are passed over."""
+    while reader.look(1) in (b"\r", b"\n"):
+        reader.skip(1)
     n = 4096
-    while b"\r\n\r\n" not in (seen := reader.look(n)) and len(seen) == n:
+    while not (found := HEAD_END.search(seen := reader.look(n))) and len(seen) == n and n < HEAD_MOST:
         n *= 2
-    head, found, _ = seen.partition(b"\r\n\r\n")
-    return head if found and head.strip() else None
+    return (seen[: found.start()], found.end()) if found else None
+
+
+def head_of(reader: Buffered | Member) -> bytes | None:
+    found = head_and_size(reader)
+    return found[0] if found else None
 
 
 def plain_records(reader: Buffered | Member, wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Records one after another; the block of one that is not wanted is skipped."""
-    while (head := head_of(reader)) is not None:
-        headers = parse_head(head)
-        reader.skip(len(head) + 4)
-        length = int(headers.get("Content-Length", 0))
-        if not wanted(headers):
-            reader.skip(length)
-        elif need_payload:
-            yield headers, reader.take(length)
+    """Records one after another, up to the end or to a gzip member; the block of one that is not wanted is
+    skipped."""
+    while True:
+        head = head_and_size(reader)
+        begin = reader.look(5)
+        if not begin or (isinstance(reader, Buffered) and begin.startswith(GZIP)):
+            return
+        at, reason, headers, block = reader.at, "", {}, None
+        if head is None or not begin.startswith(b"WARC/"):
+            reason = "no headers"
         else:
-            reader.skip(length)
-            yield headers, None
+            headers = parse_head(head[0])
+            length = number(headers.get("Content-Length"))
+            if length is None:
+                reason = "no usable Content-Length"
+            else:
+                reader.skip(head[1])
+                take = need_payload and wanted(headers)
+                block = reader.take(length) if take else None
+                there = len(block) == length if take else reader.skip(length)
+                if not there and isinstance(reader, Buffered):  # of a member what came before the damage stands
+                    reason = "the block is cut off"
+        if reason:
+            headers, block = damage(at, reason), None
+            reader.to_next(b"WARC/1", GZIP)
+        if wanted(headers):
+            yield headers, block
+
+
+def own_member(source: Buffered, wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The record of a member that tells its length: its first bytes alone are inflated for the headers, the
+    rest only if the payload is wanted."""
+    at, size = source.at, struct.unpack("<I", source.look(20)[16:20])[0]
+    headers, block, reason = {}, None, ""
+    try:
+        n, found = 2048, None
+        while not (found := HEAD_END.search(data := zlib.decompressobj(31).decompress(source.look(min(n, size))))) and n < size:
+            n *= 4
+        headers = parse_head(data[: found.start()]) if found else {}
+        length = number(headers.get("Content-Length"))
+        if not source.has(size):
+            reason = "the member is cut off"
+        elif length is None:
+            reason = "no usable Content-Length" if found else "no headers"
+        elif need_payload and wanted(headers):
+            block = zlib.decompress(source.look(size), 31)[found.end() : found.end() + length]
+            reason = "" if len(block) == length else "the block is cut off"
+    except zlib.error:
+        reason = "the member cannot be inflated"
+    after = source.look(size + 3)[size:] if reason and source.has(size) else GZIP
+    if reason and (size < 24 or not source.has(size) or (after and after != GZIP)):
+        source.to_next(GZIP)
+    else:
+        source.skip(size)
+    headers, block = (damage(at, reason), None) if reason else (headers, block)
+    if wanted(headers):
+        yield headers, block
 
 
 def records_of(stream, wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block or None) of each record that `wanted(headers)` accepts. Headers are looked at
-    first: of a member that tells its length, the first bytes alone are inflated for them, and the
-    rest only if the payload is wanted; any other member is inflated piece by piece."""
+    """(headers, block or None) of each record that `wanted(headers)` accepts; damaged ones have the headers
+    of `damage`. Headers are looked at first; members that do not tell their length are inflated piece by
+    piece."""
     source = Buffered(stream)
     while start := source.look(24):
-        if start[:2] != b"\x1f\x8b":
-            if head_of(source) is None:
-                return
+        if start[:2] != GZIP[:2]:
             yield from plain_records(source, wanted, need_payload)
         elif len(start) == 24 and start[3] == 4 and start[12:14] == b"SL":
-            size = struct.unpack("<I", start[16:20])[0]
-            n = 2048
-            while b"\r\n\r\n" not in (data := zlib.decompressobj(31).decompress(source.look(min(n, size)))) and n < size:
-                n *= 4
-            head = data.partition(b"\r\n\r\n")[0]
-            headers = parse_head(head)
-            if wanted(headers) and need_payload:
-                whole = zlib.decompress(source.take(size), 31)
-                yield headers, whole[len(head) + 4 : len(head) + 4 + int(headers.get("Content-Length", 0))]
-            else:
-                source.skip(size)
-                if wanted(headers):
-                    yield headers, None
+            yield from own_member(source, wanted, need_payload)
         else:
             member_ = Member(source)
             yield from plain_records(member_, wanted, need_payload)
             member_.close()
+            if member_.damaged and wanted(headers := damage(member_.start, member_.damaged)):
+                yield headers, None
 
 
 class WarcReader(DataSourceReader):
@@ -264,11 +364,12 @@ class WarcReader(DataSourceReader):
             return raw.strip("<>")
         if column == "payload_digest":
             return raw.rpartition(":")[2]
-        return int(raw) if column == "payload_length" else raw
+        return number(raw) if column == "payload_length" else raw
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         where, _ = fs.FileSystem.from_uri(self.options["path"])
-        wanted = lambda h: all(self.value(c, h) in v for c, v in self.equal.items())
+        told = self.options.get("damaged") == "rows"
+        wanted = lambda h: (told or h.get("WARC-Type") != "damaged") and all(self.value(c, h) in v for c, v in self.equal.items())
         kinds = {"headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary(), "payload_length": pa.int64()}
         held: dict[str, list] = {c: [] for c in self.columns}
         size = 0

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers as P
@@ -759,3 +760,62 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     want = {i: t for i, t in left if groups[i] == i and i not in leaks}
     assert 200 in leaks and set(out) == set(want)
     assert all(out[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in want.items())
+
+
+def warc_rows(n: int) -> list[dict]:
+    return [{"record_id": f"urn:{i}", "record_type": "response", "target_uri": f"http://x/{i}", "payload": f"body {i} ".encode() * 50} for i in range(n)]
+
+
+def warc_read(data: bytes, need: bool = True) -> list:
+    import io
+
+    return [(h.get("WARC-Record-ID", h.get("X-Reason")), b) for h, b in warc.records_of(io.BytesIO(data), lambda h: True, need)]
+
+
+@pytest.mark.parametrize("kind", ["own", "gzip", "plain"])
+def test_warc_damaged_archives(kind):
+    """Every good record is read, and each bad one is told."""
+    import gzip
+
+    packed = {"own": warc.member, "gzip": gzip.compress, "plain": lambda x: x}[kind]
+    parts = [packed(warc.record(r)) for r in warc_rows(5)]
+    ids = [f"<urn:{i}>" for i in range(5)]
+    whole = warc_read(b"".join(parts))
+    assert [i for i, _ in whole] == ids and all(b for _, b in whole)
+    for need in (True, False):
+        cut = warc_read(b"".join(parts)[:-20], need)
+        assert [i for i, _ in cut][:4] == ids[:4] and len(cut) == 5 + (kind == "gzip" and cut[4][0] == ids[4]) and cut[-1][0] not in ids
+        if kind != "plain":
+            hurt = bytearray(parts[2])
+            hurt[len(hurt) // 2 : len(hurt) // 2 + 4] = b"\xff\x00\xff\x00"
+            got = [i for i, _ in warc_read(b"".join([*parts[:2], bytes(hurt), *parts[3:]]), need)]
+            assert [i for i in got if i in ids and i != ids[2]] == [ids[0], ids[1], ids[3], ids[4]]
+            assert not need or any(i not in ids for i in got)
+        for bad in (b"Content-Length: x5059", b"Content-Length: ", b"Content-Length: -3", b"X-Other: 1"):
+            changed = packed(re.sub(rb"Content-Length: \d+", bad, warc.record(warc_rows(5)[2])))
+            got = [i for i, _ in warc_read(b"".join([*parts[:2], changed, *parts[3:]]), need)]
+            assert got == [ids[0], ids[1], "no usable Content-Length", ids[3], ids[4]]
+        lf = [packed(warc.record(r).replace(b"\r\n", b"\n", warc.record(r).partition(b"\r\n\r\n")[0].count(b"\r\n") + 2)) for r in warc_rows(5)]
+        assert [i for i, _ in warc_read(b"".join(lf), need)] == ids
+    junk = [i for i, _ in warc_read(b"".join([parts[0], b"some junk\nhere" * 9, *parts[1:]]))]
+    assert [i for i in junk if i in ids] == ids and len(junk) == 6
+    assert warc_read(b"") == [] and len(warc_read(b"junk" * 1000)) == 1
+
+
+def test_warc_damaged_rows_are_counted(spark, tmp_path):
+    good = [warc.member(warc.record(r)) for r in warc_rows(4)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(good)[:-30])
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(good))
+    spark.dataSource.register(warc.WarcSource)
+    read = lambda **o: spark.read.format("warc").options(**o).load(str(tmp_path))
+    assert read().count() == 7
+    assert read(damaged="rows").groupBy("record_type").count().orderBy("record_type").collect() == [("damaged", 1), ("response", 7)]
+    assert read(damaged="rows").where("record_type = 'damaged'").select("payload", "headers").first()["headers"]["X-Reason"] == "the member is cut off"
+
+
+def test_unclosed_titles_in_linear_time():
+    import time
+
+    began = time.process_time()
+    assert sum(1 for _ in html_crf.tags_of("<title>" * 40_000)) == 40_000
+    assert time.process_time() - began < 1
