@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import statistics as S
 from .functions import windows as N
-from .operators import clean, evaluate, filters, forecasts, fundamentals, indicators
+from .operators import clean, evaluate, filters, forecasts, fundamentals, indicators, posterior
 from .plans import walkforward
 from .plans.durable import durable
 from .settings import load_settings
@@ -394,13 +394,13 @@ query("stat_arch_lm_five", sql(f"SELECT ticker, n, round(lm, 6) + 0.0 AS lm, rou
 _P = 32  # columns: 1, the level, up to 29 lags, the change
 
 
-def _swept_sql(m: str, k: str) -> str:
-    pivot = f"{m}[{k} * {_P + 1} + 1]"
-    return f"CASE WHEN abs({pivot}) > 1e-12 THEN list_transform(range(0, {_P * _P}), lambda z: CASE WHEN z // {_P} = {k} AND z % {_P} = {k} THEN -1 / {pivot} WHEN z // {_P} = {k} OR z % {_P} = {k} THEN {m}[z + 1] / {pivot} ELSE {m}[z + 1] - {m}[(z // {_P}) * {_P} + {k} + 1] * {m}[{k} * {_P} + z % {_P} + 1] / {pivot} END) ELSE {m} END"
+def _swept_sql(m: str, k: str, p: int = _P) -> str:
+    pivot = f"{m}[{k} * {p + 1} + 1]"
+    return f"CASE WHEN abs({pivot}) > 1e-12 THEN list_transform(range(0, {p * p}), lambda z: CASE WHEN z // {p} = {k} AND z % {p} = {k} THEN -1 / {pivot} WHEN z // {p} = {k} OR z % {p} = {k} THEN {m}[z + 1] / {pivot} ELSE {m}[z + 1] - {m}[(z // {p}) * {p} + {k} + 1] * {m}[{k} * {p} + z % {p} + 1] / {pivot} END) ELSE {m} END"
 
 
-def _gram_sql(rows: str) -> str:
-    sums = f"SELECT ticker, cap, i, count(*) AS n, sum(v[i // {_P} + 1] * v[i % {_P} + 1]) AS s FROM {rows}, (SELECT unnest(range(0, {_P * _P})) AS i) GROUP BY 1, 2, 3"
+def _gram_sql(rows: str, p: int = _P) -> str:
+    sums = f"SELECT ticker, cap, i, count(*) AS n, sum(v[i // {p} + 1] * v[i % {p} + 1]) AS s FROM {rows}, (SELECT unnest(range(0, {p * p})) AS i) GROUP BY 1, 2, 3"
     return f"SELECT ticker, cap, any_value(n) AS n, list(s ORDER BY i) AS m FROM ({sums}) GROUP BY 1, 2"
 
 
@@ -693,3 +693,38 @@ def _resume_work(s: SparkSession, d: str) -> DataFrame:
 
 _EVERY = -(-SETTINGS["walk_forward"]["refit_every_days"] // STEP) * STEP
 query("bt_resume_work", sql(f"SELECT ticker, CAST(floor((position - {FIRST}) / {_EVERY}) AS BIGINT) AS refit, CAST(position AS INTEGER) AS position FROM origins WHERE position >= n - 40 - {HORIZON} OR (ticker = 'AF' AND position + {HORIZON} >= 600)"))(_resume_work)
+
+
+def _evidence_posterior(s: SparkSession, d: str) -> DataFrame:
+    """Y1 and Y3 with all seven pieces of evidence; the composites take every indicator, the trend fixed noise."""
+    rows = durable(posterior.evidence(prepared(s, d), filters.trend_strength(returns(s, d), *TREND), MEMBERS))
+    return posterior.drift_posteriors(rows, horizon=HORIZON, prior_mean=PRIOR[0], prior_sd=PRIOR[1], effect_sd=EFFECT)
+
+
+EFFECT = SETTINGS["bayes"]["signal_effect_prior_sd"]
+_each = lambda form: "[" + ", ".join(form.format(k=k) for k in range(1, 8)) + "]"
+_mean = {c: "(" + " + ".join(f"j.{n}" for n in ns) + f") / {len(ns)}" for c, ns in MEMBERS.items()}
+_on = "CASE WHEN a.raw IS NOT NULL THEN CASE WHEN a.raw > 25 THEN 1.0 ELSE 0.0 END END"
+_own = f"CASE WHEN z = 0 THEN {1 / PRIOR[1] ** 2!r} WHEN z % 10 = 0 THEN {1 / EFFECT**2!r} WHEN z IN (8, 72) THEN {PRIOR[0] / PRIOR[1] ** 2!r} ELSE 0.0 END"
+_today = "[1.0] || list_transform(range(1, 8), lambda k: CASE WHEN u.used[k] THEN coalesce((o.e[k] - p.mid[k]) / p.sd[k], 0.0) ELSE 0.0 END)"
+EVIDENCE_PARTS = TREND_PARTS | {
+    "normal_values": RHO["normal_values"],
+    "adx_values": ADX,
+    "ev": f"SELECT f.ticker, f.position, f.realized AS forward, [{', '.join(_mean.values())}, CASE WHEN k.position >= 2 THEN k.tilt / sqrt(k.b * {_l}) END, {_mean['trend']} * {_on}, {_mean['momentum']} * {_on}] AS e FROM normal_values j JOIN fits f ON f.ticker = j.ticker AND f.date = j.date JOIN adx_values a ON a.ticker = j.ticker AND a.date = j.date LEFT JOIN kal k ON k.ticker = f.ticker AND k.position = f.position",
+    "told": "SELECT *, max(position) OVER (PARTITION BY ticker) AS origin FROM ev",
+    "earlier": f"SELECT * FROM told WHERE position % {HORIZON} = origin % {HORIZON} AND position <= origin - {HORIZON}",
+    "usable": "SELECT ticker, " + _each("coalesce(count(e[{k}]) >= 30 AND stddev_samp(e[{k}]) > 1e-12, false)") + " AS used FROM earlier GROUP BY 1",
+    "complete": "SELECT b.*, u.used FROM earlier b JOIN usable u ON u.ticker = b.ticker WHERE forward IS NOT NULL AND len(list_filter(range(1, 8), lambda k: u.used[k] AND b.e[k] IS NULL)) = 0",
+    "placed": "SELECT ticker, count(*) AS outcomes, var_samp(forward) AS v, " + _each("avg(e[{k}])") + " AS mid, " + _each("stddev_samp(e[{k}])") + " AS sd FROM complete GROUP BY 1",
+    "vectors": "SELECT c.ticker, 0 AS cap, [1.0] || list_transform(range(1, 8), lambda k: CASE WHEN c.used[k] THEN (c.e[k] - p.mid[k]) / p.sd[k] ELSE 0.0 END) || [forward] AS v FROM complete c JOIN placed p ON p.ticker = c.ticker",
+    "gram": _gram_sql("vectors", 9),
+    "solving": f"SELECT g.ticker, CAST(0 AS BIGINT) AS k, list_transform(range(0, 81), lambda z: CASE WHEN z = 80 THEN 0.0 ELSE g.m[z + 1] / p.v + {_own} END) AS m FROM gram g JOIN placed p ON p.ticker = g.ticker UNION ALL SELECT ticker, k + 1, {_swept_sql('m', 'k', 9)} FROM solving WHERE k < 8",
+    "now": f"SELECT o.ticker, p.outcomes, u.used, s.m, {_today} AS t FROM told o JOIN usable u ON u.ticker = o.ticker JOIN placed p ON p.ticker = o.ticker JOIN solving s ON s.ticker = o.ticker AND s.k = 8 WHERE o.position = o.origin AND p.outcomes >= 20",
+}
+query(
+    "syn_drift_posterior_evidence",
+    sql(
+        f"SELECT ticker, outcomes, {r8('list_sum(list_transform(range(0, 8), lambda i: m[i * 9 + 9] * t[i + 1])) AS mean', 'sqrt(list_sum(list_transform(range(0, 64), lambda z: -m[(z // 8) * 9 + z % 8 + 1] * t[z // 8 + 1] * t[z % 8 + 1]))) AS sd', 'm[9] AS baseline', *[f'CASE WHEN used[{k}] THEN m[{9 * k + 9}] * t[{k + 1}] END AS {c}' for k, c in enumerate(posterior.EVIDENCE, 1)])} FROM now",
+        **EVIDENCE_PARTS,
+    ),
+)(_evidence_posterior)
