@@ -121,11 +121,13 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     while True:
         near = small(both.join(held(parent.withColumnRenamed("id", "u")), "u")).groupBy(F.col("v").alias("id")).agg(F.min("p").alias("m"))
         moved = small(parent.join(near, "id")).select("id", "p", F.least("p", "m").alias("m"))
-        hooked = small(moved.select("id", "m").union(moved.select(F.col("p").alias("id"), "m")).groupBy("id").agg(F.min("m").alias("p")))
+        # A node keeps its last parent beside the new one, so that no join is needed to see what changed.
+        both_ways = moved.select("id", "m", F.col("p").alias("was")).union(moved.select(F.col("p").alias("id"), "m", F.lit(None).cast("long")))
+        hooked = small(both_ways.groupBy("id").agg(F.min("m").alias("p"), F.max("was").alias("was")))
         up = hooked.select(F.col("id").alias("p"), F.col("p").alias("g"))
-        after = cut(hooked.join(held(up), "p").select("id", F.col("g").alias("p")))
-        changed = after.join(parent.withColumnRenamed("p", "was"), "id").where("p != was").limit(1).count()
-        parent = after
+        after = cut(hooked.join(held(up), "p").select("id", F.col("g").alias("p"), "was"))
+        changed = after.where("p != was").limit(1).count()
+        parent = after.select("id", "p")
         release(spark)
         if not changed:
             return parent.select("id", F.col("p").alias("component"))
