@@ -64,8 +64,8 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of narrow tables (a few longs each) that may be broadcast: 10 MB or so, several times that on the driver.
-BROADCAST_ROWS = 200_000
+#: Rows of narrow tables (a few longs each) that may be broadcast: 2 MB or so, several times that on the driver.
+BROADCAST_ROWS = 50_000
 
 
 def beside(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
