@@ -445,6 +445,23 @@ def records(s: SparkSession, d: str) -> DataFrame:
     return evaluate.score_arrays(sample_arrays(s, d), LEVELS)
 
 
+FULL = SETTINGS["forecast"]["monte_carlo_paths"]
+
+
+def full_samples(s: SparkSession, d: str) -> DataFrame:
+    """The same with all paths of the settings, a row for each path."""
+    return sample_arrays(s, d, FULL).select(*evaluate.ORIGIN, "realized", F.explode("samples").alias("value"))
+
+
+def full_records(s: SparkSession, d: str) -> DataFrame:
+    """Records of all paths of the settings, scored once and kept."""
+    return durable(evaluate.score_arrays(sample_arrays(s, d, FULL), LEVELS))
+
+
+def full_sql(text: str) -> str:
+    return text.replace(f"range(1, {PATHS + 1})", f"range(1, {FULL + 1})").replace(" records AS (", " records AS MATERIALIZED (")
+
+
 def regime_records(s: SparkSession, d: str) -> DataFrame:
     return records(s, d).withColumns({"earnings_in_window": C("position") % 3 == 0, "turbulent_probability": F.when(C("position") % 50 < 25, 0.7).otherwise(0.2), "trending": F.when(C("position") % 4 != 0, (C("position") % 2).cast("double"))})
 
@@ -586,7 +603,7 @@ CTES["compared"] = (
     + f" FROM beside GROUP BY 1, 2) s JOIN ({KS_P}) k USING (ticker, model) LEFT JOIN ({dm_p_sql('crps')}) c USING (ticker, model) LEFT JOIN ({dm_p_sql('brier')}) b USING (ticker, model)"
 )
 _figures = ["mean_crps", "crps_skill", "brier", "brier_skill", *[f"coverage_{round(100 * v)}" for v in LEVELS], "pit_ks_p", "crps_dm_p", "brier_dm_p"]
-query("eval_compare_models_tests", sql(f"SELECT ticker, model, forecasts, {r8(*_figures)} FROM compared"))(lambda s, d: evaluate.compare_models(durable(records(s, d)), LEVELS))
+query("eval_compare_models_tests", full_sql(sql(f"SELECT ticker, model, forecasts, {r8(*_figures)} FROM compared")))(lambda s, d: evaluate.compare_models(full_records(s, d), LEVELS))
 query("eval_coverage_tolerance", sql("SELECT ticker, round(2 * sqrt(0.9 * 0.1 / count(*)), 8) AS tolerance FROM records WHERE model = 'engine' GROUP BY 1"))(lambda s, d: records(s, d).where("model = 'engine'").groupBy("ticker").agg(evaluate.coverage_tolerance(F.lit(0.9), F.count(F.lit(1))).alias("tolerance")))
 query("eval_base_rate_brier", sql("SELECT ticker, round(avg((rate - up) ** 2), 8) AS base_rate_brier FROM (SELECT ticker, up, coalesce(avg(up) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) AS rate FROM (SELECT ticker, date, CASE WHEN realized > 0 THEN 1.0 ELSE 0.0 END AS up FROM records WHERE model = 'engine')) GROUP BY 1"))(lambda s, d: evaluate.base_rate_brier(records(s, d)))
 PER_YEAR = 248 / 5
@@ -607,7 +624,7 @@ query("syn_best_model", sql("SELECT ticker, arg_min(model, m) AS chosen FROM (SE
 
 
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
-    scored = durable(records(s, d))
+    scored = full_records(s, d)
     return evaluate.verdicts(evaluate.compare_models(scored, LEVELS), evaluate.long_only_rule(scored, SETTINGS), SETTINGS)
 
 
@@ -615,10 +632,10 @@ ALPHA = SETTINGS["evaluation"]["significance_level"]
 _within = " AND ".join(f"abs(coverage_{round(100 * v)} - {v}) <= 2 * sqrt({v} * (1 - {v}) / forecasts)" for v in LEVELS)
 query(
     "out_verdicts",
-    sql(
+    full_sql(sql(
         f"SELECT c.ticker, forecasts AS forecasts_tested, pit_ks_p >= {ALPHA} AND {_within} AS calibrated, {r8('pit_ks_p')}, crps_skill > 0 AND crps_dm_p < {ALPHA} AS distribution_edge, {r8('crps_skill', 'crps_dm_p')}, brier_skill > 0 AND brier_dm_p < {ALPHA} AS directional_edge, {r8('brier_skill', 'brier_dm_p')}, p.beats AS rule_beats_buy_and_hold FROM compared c JOIN (SELECT ticker, max(sharpe_ratio) FILTER (strategy = 'rule') > max(sharpe_ratio) FILTER (strategy = 'buy_and_hold') AS beats FROM performed GROUP BY 1) p USING (ticker) WHERE model = 'engine'",
         **RULE,
-    ),
+    )),
 )(_verdicts)
 
 
