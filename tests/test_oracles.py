@@ -23,7 +23,7 @@ def con():
     return c
 
 
-PICKED = ["src_walk_bars", "clean_standardise", "clean_problems", "ind_macd", "ind_adx", "ind_rsi", "ind_cci", "ind_realized_volatility", "agg_composites", "fund_trailing_pe", "fund_fair_value", "fund_market_context", "stat_jarque_bera", "stat_ks_uniform", "stat_diebold_mariano", "model_garch_path", "model_reaction_days", "model_ornstein_uhlenbeck", "eval_score_forecasts", "eval_segments", "eval_long_only_rule", "bt_chosen_models", "stream_intraday_bars"]
+PICKED = ["src_walk_bars", "clean_standardise", "clean_problems", "ind_macd", "ind_adx", "ind_rsi", "ind_cci", "ind_realized_volatility", "agg_composites", "fund_trailing_pe", "fund_fair_value", "fund_market_context", "stat_jarque_bera", "stat_ks_uniform", "stat_diebold_mariano", "model_garch_path", "model_reaction_days", "model_ornstein_uhlenbeck", "eval_score_forecasts", "eval_segments", "eval_long_only_rule", "bt_chosen_models", "stream_intraday_bars", "stat_unit_root", "bt_resume_work"]
 
 
 @pytest.mark.parametrize("name", PICKED)
