@@ -14,28 +14,30 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, components, cut, remove, scratch, stored
+from .common import beside, components, cut, remove, rows_of, scratch, stored
 from .near_dedup import mix
 
 #: Corners that describe an image of AREA pixels or fewer; a larger image has more in proportion.
 BITS, CORNERS, AREA = 256, 64, 96 * 96
 #: Cells of a matrix that are held at a time.
 CELLS = 500_000
-#: Hamming tables, and how many sampled test bits make a key; keys of groups that are too large take
-#: the next number of bits.
-TABLES, LENGTHS = 6, (56, 64, 80, 112)
+#: Hamming tables, and how many sampled test bits make a key.
+TABLES, LENGTH = 6, 56
 #: Table keys that two images must share to be held against each other.
 VOTES = 2
-#: Images of one key up to which all of them meet in pairs.
+#: Images of one key up to which all of them meet in pairs at once.
 MEET = 8
+#: Keys of larger groups up to which an image's small keys carry a tag of each.
+TAGS = 64
+#: Pairs of two components that are proved first; all others follow where none of these links the two.
+LIKELY = 4
 SCALES = (1.0, 0.8, 0.64, 0.512)
 RADIUS = 12
 #: A descriptor match differs in so many bits at most; a consensus has so many matches at least,
@@ -45,7 +47,7 @@ NEAR_BITS, CONSENSUS, PIXELS = 48, 9, 3.0
 PNG, CHANNELS = b"\x89PNG\r\n\x1a\n", {0: 1, 2: 3, 4: 2, 6: 4}
 
 TESTS = np.clip(np.random.default_rng(23).normal(0, RADIUS / 2, (BITS, 4)), -RADIUS + 1, RADIUS - 1)
-PICKS = np.stack([np.random.default_rng(29 + k).permutation(BITS)[: LENGTHS[-1]] for k in range(TABLES)])
+PICKS = np.stack([np.random.default_rng(29 + k).permutation(BITS)[:LENGTH] for k in range(TABLES)])
 _y, _x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 DISC = (_x**2 + _y**2) <= RADIUS**2
 DISC_X, DISC_Y = _x[DISC], _y[DISC]
@@ -181,21 +183,16 @@ def describe(gray: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, np.n
     return np.concatenate(spots)[order].astype(np.float32), np.concatenate(bits)[order]
 
 
-def table_keys(bits: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> np.ndarray:
-    """Keys of the Hamming tables, the different ones of an image: a row for each descriptor and
-    table, a column for each number of sampled bits (the table's number is part of a key)."""
+def table_keys(bits: np.ndarray) -> np.ndarray:
+    """Keys of the Hamming tables, the different ones of an image; the table's number is part of a key."""
     if not bits.size:
-        return np.empty((0, len(lengths)), np.int64)
+        return np.empty(0, np.int64)
     single = np.unpackbits(bits.view(np.uint8), axis=1)[:, PICKS]
-    key = np.broadcast_to(np.arange(1, TABLES + 1, dtype=np.uint64), single.shape[:2])
-    columns, done = [], 0
+    part = np.zeros((*single.shape[:2], 64), np.uint8)
+    part[:, :, :LENGTH] = single
     with np.errstate(over="ignore"):
-        for length in lengths:
-            part = np.zeros((*single.shape[:2], 64), np.uint8)
-            part[:, :, : length - done] = single[:, :, done:length]
-            key, done = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.packbits(part, axis=2).view(np.uint64)[:, :, 0]), length
-            columns.append(key.reshape(-1).view(np.int64))
-    return np.unique(np.stack(columns, 1), axis=0)
+        key = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.packbits(part, axis=2).view(np.uint64)[:, :, 0])
+    return np.unique(key.reshape(-1).view(np.int64))
 
 
 def consensus(pa_: np.ndarray, ba: np.ndarray, pb: np.ndarray, bb: np.ndarray, enough: int | None = None) -> int:
@@ -305,43 +302,28 @@ def candidates_proved(images: DataFrame, folder: str, votes: int, least: int) ->
     and a geometric consensus.
 
     Keys that stand once go by a count of bare keys. In a key's group of at most MEET images all
-    pairs meet, and a pair's meetings are its votes; larger groups, of corners that many images have,
-    are split by keys of more bits. What is large with the longest keys is held against one image
-    each; the rest of it that is still in different components shares at least two such keys or one
-    of a small group, so that pairs of those keys, taken image by image, are the groups in which it
-    meets. No descriptor moves before a pair has its votes.
+    pairs meet, and a pair's meetings are its votes. In a larger group, of a corner that many images
+    have, each image is held against one of the group, another one for each key. The pairs that may then still
+    join two components share two keys of large groups, or one and one of a small group: pairs of an
+    image's keys are the groups in which the first meet. All of them do that are in different
+    components, the likeliest of any two components first, so that no link is lost. No descriptor
+    moves before a pair has its votes.
     """
-    names = [f"k{k}" for k in range(len(LENGTHS))]
 
-    def entries(lengths: tuple[int, ...]) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """node and its keys, a row for each different one; a few images at a time."""
-
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                for s in range(0, part.num_rows, 256):
-                    some = part.slice(s, 256)
-                    keys = [table_keys(np.frombuffer(b.as_py(), np.int64).reshape(-1, BITS // 64), lengths) for b in some.column("bits")]
-                    nodes = np.repeat(some.column("node").to_numpy(), [len(k) for k in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(c) for c in np.concatenate(keys).T)], ["node", *names[: len(lengths)]])
-
-        return images.select("node", "bits").mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names[: len(lengths)]))
-
-    posted = entries(LENGTHS[:1])
-    shared = cut(posted.groupBy("k0").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1"), 200_000)
-    held = stored(beside(posted, shared, "k0"), f"{folder}/held")
-    small = [held.where(F.col("members") <= MEET).select(F.col("k0").alias("key"), "node").distinct()]
-    # Longer keys are made for the large groups alone, so that they need not move with all the others.
-    many = cut(shared.where(F.col("members") > MEET).select("k0"))
-    n, rest = names[0], cut(beside(entries(LENGTHS), many, "k0"))
-    for n in names[1:]:
-        if not rest.limit(1).count():
-            break
-        members = cut(rest.select(n, "node").distinct().groupBy(n).agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1"))
-        rest = beside(rest, members, n)
-        small.append(rest.where(F.col("members") <= MEET).select(F.col(n).alias("key"), "node").distinct())
-        rest = cut(rest.where(F.col("members") > MEET).drop("members"))
-    large = cut(rest.select(F.col(n).alias("key"), "node").distinct())
-    small = stored(reduce(DataFrame.unionAll, small), f"{folder}/small")
+        for part in parts:
+            for s in range(0, part.num_rows, 256):
+                some = part.slice(s, 256)
+                keys = [table_keys(np.frombuffer(b.as_py(), np.int64).reshape(-1, BITS // 64)) for b in some.column("bits")]
+                nodes = np.repeat(some.column("node").to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys))], ["node", "key"])
+
+    posted = images.select("node", "bits").mapInArrow(run, "node long, key long")
+    shared = cut(posted.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1"), 200_000)
+    held = stored(beside(posted, shared, "key"), f"{folder}/held")
+    small = held.where(F.col("members") <= MEET).select("key", "node")
+    large = cut(held.where(F.col("members") > MEET).select("key", "node"))
 
     def prove(one, other):
         def parts(x: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -358,27 +340,47 @@ def candidates_proved(images: DataFrame, folder: str, votes: int, least: int) ->
         end = lambda name: heavy.select(F.col("node").alias(name), F.col("h").alias(f"h_{name}"))
         return cut(pairs.join(end("a"), "a").join(end("b"), "b").where(proof("h_a", "h_b") >= least).select("a", "b"))
 
-    met = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    if not large.limit(1).count():
-        return proved(met.where(F.col("met") >= votes))
     lists = cut(large.groupBy("node").agg(F.collect_list("key").alias("keys")), 20_000)  # an image's own keys, as many as it has corners and tables
+    # Short tags of an image's large keys travel with its small ones: pairs without a common tag share no
+    # large key. An image of many large keys has the tags () instead, and may share any.
+    tags = F.when(F.size("keys") > TAGS, F.array().cast("array<smallint>")).otherwise(F.transform("keys", lambda k: (k % 32_768).cast("smallint")))
+    if rows_of(large):
+        small = small.join(lists.select("node", tags.alias("tags")), "node", "left")
+    else:
+        small = small.withColumn("tags", F.lit(None).cast("array<smallint>"))
+    end = lambda name: small.select("key", F.col("node").alias(name), F.col("tags").alias(f"t_{name}"))
+    may = F.coalesce(F.arrays_overlap("t_a", "t_b") | (F.least(F.size("t_a"), F.size("t_b")) == 0), F.lit(False)) & F.col("t_a").isNotNull() & F.col("t_b").isNotNull()
+    met = end("a").join(end("b"), "key").where("a < b").select("a", "b", may.alias("may")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("may").alias("may"))
+    if not rows_of(large):
+        return proved(met.where(F.col("met") >= votes))
+    met = cut(met.where((F.col("met") >= votes) | F.col("may")))
     side = lambda name: lists.select(F.col("node").alias(name), F.col("keys").alias(f"k_{name}"))
-    also = F.coalesce(F.size(F.array_intersect("k_a", "k_b")), F.lit(0))
-    met = met.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.col("met") + F.greatest(also, F.lit(0)) >= votes)
+    also = met.where(F.col("met") < votes).join(side("a"), "a").join(side("b"), "b").where(F.col("met") + F.size(F.array_intersect("k_a", "k_b")) >= votes)
+    met = met.where(F.col("met") >= votes).select("a", "b").unionAll(also.select("a", "b"))
     flip = F.xxhash64("key")
     pivots = cut(large.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(flip)).alias("p")).select("key", F.col("p").bitwiseXOR(flip).alias("a")))
     star = beside(large, pivots, "key").where("node != a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= votes)
-    links = proved(met.select("a", "b").unionAll(star.select("a", "b")))
+    links = proved(met.unionAll(star.select("a", "b")))
     label = components(links)
-    parted = cut(large.select("key", "node").join(label.select(F.col("id").alias("node"), F.col("component").alias("part")), "node", "left").select("key", "node", F.coalesce("part", "node").alias("part")))
+    parted = cut(large.join(label.select(F.col("id").alias("node"), F.col("component").alias("part")), "node", "left").select("key", "node", F.coalesce("part", "node").alias("part")))
     mixed = cut(parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key"))
     rest = beside(parted, mixed, "key").groupBy("node", "part").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    twos = stored(rest.select("node", "part", F.explode(both if votes > 1 else F.col("keys")).alias("two")), f"{folder}/twos")
+    twos = rest.select("node", "part", F.explode("keys").alias("two"))
+    if votes > 1:
+        first = rest.select("node", "part", "keys", F.posexplode("keys").alias("at", "x"))
+        twos = first.select("node", "part", "x", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("y")).select("node", "part", F.xxhash64("x", "y").alias("two"))
+    twos = stored(twos, f"{folder}/twos")
     apart = cut(twos.groupBy("two").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("two"))
     twos = beside(twos, apart, "two")
-    pairs = twos.select("two", F.col("node").alias("a"), F.col("part").alias("p")).join(twos.select("two", F.col("node").alias("b"), F.col("part").alias("q")), "two").where("a < b AND p != q").select("a", "b")
-    return links.unionAll(proved(pairs))
+    pairs = twos.select("two", F.col("node").alias("a"), F.col("part").alias("p")).join(twos.select("two", F.col("node").alias("b"), F.col("part").alias("q")), "two").where("a < b AND p != q")
+    pairs = cut(pairs.groupBy("a", "b", "p", "q").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= votes * (votes - 1) // 2))
+    best = Window.partitionBy(F.least("p", "q"), F.greatest("p", "q")).orderBy(F.desc("met"), "a", "b")
+    likely = cut(pairs.withColumn("nth", F.row_number().over(best)).where(f"nth <= {LIKELY}").select("a", "b"))
+    links = cut(links.unionAll(proved(likely)))
+    label = components(links)
+    part = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+    further = pairs.join(likely, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    return links.unionAll(proved(further.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))))
 
 
 def picture(vector: list[float], side: int = 96) -> np.ndarray:

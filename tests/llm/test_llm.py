@@ -649,6 +649,32 @@ def test_media_copies_against_all_pairs(spark, monkeypatch, meet):
     assert all(want[i] == want[j] for i in got for j in got if got[i] == got[j])
 
 
+@pytest.mark.parametrize(("meet", "tags"), [(1, 64), (4, 64), (4, 3)])
+def test_media_copies_of_large_groups_lose_no_pair(spark, monkeypatch, meet, tags):
+    """Every pair with two common keys and a consensus is in one component, however many images have the keys."""
+    monkeypatch.setattr(media_copies, "MEET", meet)
+    monkeypatch.setattr(media_copies, "TAGS", tags, raising=False)
+    whole = [media_copies.picture([float(k), 5.0]) for k in range(6)]
+    rows = [(20 * k + j, media_copies.encode_png(media_copies.edited(a, 17 * k + j) if j else a)) for k, a in enumerate(whole) for j in range(12)]
+    links, _ = all_pairs_of(rows)
+    keys = {}
+    for i, x in rows:
+        single = np.unpackbits(media_copies.describe(media_copies.decode_image(x))[1].view(np.uint8), axis=1)
+        keys[i] = {(t, b[pick[:56]].tobytes()) for b in single for t, pick in enumerate(media_copies.PICKS)}
+    voted = [(a, b) for a, b in links if len(keys[a] & keys[b]) >= 2]
+    parent = {i: i for i in keys}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in sorted(voted):
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["media_id"]: r["component_id"] for r in media_copies.image_copies(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    assert len(voted) > 250 and got == {i: find(i) for i in keys}
+
+
 def test_media_copies_with_repeated_ids(spark):
     a, b = (media_copies.encode_png(media_copies.picture([float(k), 3.0])) for k in range(2))
     rows = [(5, a), (5, b), (5, None), (4, b), (9, a), (None, a), (None, None), (8, None)]
