@@ -32,7 +32,8 @@ EDITS = 0.2
 REPETITIONS, SAMPLES = 32, 2
 #: Items of more words have twice as many walks besides, whose samples lie within NEAR steps.
 LONG, NEAR = 128, 8
-#: A key of more items than this is shared; items with this share of other keys go without their shared ones.
+#: A key of more items than this is shared; of items with this share of other keys it proposes those alone of
+#: which a rare word is there too.
 SHARED, OWN_KEYS = 16, 0.6
 #: Text of benchmark items that one pass holds in memory on each worker.
 BLOCK_BYTES = 32 << 20
@@ -76,6 +77,25 @@ def best_match(item: list, text: list) -> int:
     return best
 
 
+@dataclass
+class Shared:
+    """Keys of one class of items that many items have, and the rare words of those items."""
+
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    marked: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
+    owners: np.ndarray
+    reach: int
+
+
+def grouped(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values, where each one's owners begin, and the owners."""
+    order = np.argsort(values, kind="stable")
+    unique, first = np.unique(values[order], return_index=True)
+    return unique, np.append(first, len(order)), owners[order]
+
+
 @dataclass
 class Index:
     """Buckets of one block of items, by classes of similar length."""
@@ -88,6 +108,7 @@ class Index:
     proposed: int = 0
     vocabulary: dict[str, int] = field(default_factory=dict)
     classes: list[tuple[int, int, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = field(default_factory=list)
+    shared: list[Shared | None] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(self.seed)
@@ -98,6 +119,7 @@ class Index:
         self.salts = rng.integers(0, 2**64, (3 * self.repetitions, 2 * longest + 2), np.uint64)
         self.symbols = mix(np.arange(len(self.vocabulary) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed))
         self.numbered = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in self.items]
+        commonness = np.bincount(np.concatenate([np.unique(ids) for ids in self.numbered]), minlength=len(self.vocabulary) + 1) if self.items else np.zeros(1, np.int64)
         by: dict[int, list[int]] = defaultdict(list)
         for k, ids in enumerate(self.numbered):
             if len(ids):
@@ -122,21 +144,33 @@ class Index:
             walks = list(self.keys(flat, ends - lengths, ends, picks))
             sizes = [np.unique(np.where(whole, column, 0), return_inverse=True, return_counts=True)[1:] for column, whole in walks]
             own = np.array([whole & (count[place] <= SHARED) for (_, whole), (place, count) in zip(walks, sizes, strict=True)])
-            # A phrase that many items share proposes none of those that have enough keys of their own.
-            apart = own.sum(0) >= OWN_KEYS * len(walks)
-            tables = []
+            # A phrase that many items share proposes those that have enough keys of their own only together
+            # with a rare word. That loses none: an item without its rarest words has too many edits.
+            apart = (own.sum(0) >= OWN_KEYS * len(walks)) & (lengths > [allowed(n, self.edits) for n in lengths.tolist()])
+            tables, common = [], []
             for (column, whole), mine in zip(walks, own, strict=True):
                 used = np.where(apart, mine, whole)
-                owners, column = np.array(members)[used], column[used]
-                order = np.argsort(column, kind="stable")
-                unique, first = np.unique(column[order], return_index=True)
-                tables.append((unique, np.append(first, len(order)), owners[order]))
+                tables.append(grouped(column[used], np.array(members)[used]))
+                common.append(grouped(column[whole & ~used], np.array(members)[whole & ~used]))
             self.classes.append((low, slack, member, tables, picks))
+            held = np.unique(np.concatenate([owners for _, _, owners in common])).tolist()
+            rare = [self._rarest(k, commonness) for k in held]
+            words, first, owners = grouped(np.array([w for ws in rare for w in ws], np.int64), np.repeat(np.array(held, np.int64), [len(ws) for ws in rare]))
+            marked = np.zeros(len(self.vocabulary) + 1, bool)
+            marked[words] = True
+            self.shared.append(Shared(common, marked, words, first, owners, int(lengths.max()) + 2 * slack) if held else None)
         self.width = np.ones(len(self.items), np.int64)
         for low, members in by.items():
             self.width[members] = max(1, low // 2)
         self.distinct = [frozenset(ids.tolist()) for ids in self.numbered]
 
+    def _rarest(self, k: int, commonness: np.ndarray) -> list[int]:
+        """The item's rarest words, so many that one of them at least is in every match."""
+        words, times = np.unique(self.numbered[k], return_counts=True)
+        order = np.argsort(commonness[words], kind="stable")
+        enough = int(np.searchsorted(np.cumsum(times[order]), allowed(len(self.numbered[k]), self.edits), "right")) + 1
+        return words[order[:enough]].tolist()
+
     @property
     def pad(self) -> int:
         return max((c[1] for c in self.classes), default=0) + 1
@@ -170,12 +204,17 @@ class Index:
         tokens = np.concatenate(parts) if parts else gap
         starts_of = np.array(begin, np.int64)
         pairs = []
-        for low, slack, member, tables, picks in self.classes:
+        for (low, slack, member, tables, picks), common in zip(self.classes, self.shared, strict=True):
             upto = np.concatenate(([0], np.cumsum(member[tokens])))
             starts = np.flatnonzero(upto[low:] - upto[:-low] >= max(1, low - slack)) if len(tokens) >= low else np.empty(0, np.int64)
             if not starts.size:
                 continue
-            for (key, whole), (unique, first, owner) in zip(self.keys(tokens, starts, np.full(starts.size, len(tokens)), picks), tables, strict=True):
+            width, hits = max(1, low // 2), []
+            for n, ((key, whole), (unique, first, owner)) in enumerate(zip(self.keys(tokens, starts, np.full(starts.size, len(tokens)), picks), tables, strict=True)):
+                if common and len(others := common.tables[n][0]):
+                    at = np.minimum(np.searchsorted(others, key), len(others) - 1)
+                    hit = np.flatnonzero((others[at] == key) & whole)
+                    hits.append(np.stack([starts[hit] // width, np.full(hit.size, n), at[hit]], 1))
                 if not len(unique):
                     continue
                 at = np.minimum(np.searchsorted(unique, key), len(unique) - 1)
@@ -183,7 +222,9 @@ class Index:
                 lens = first[at[hit] + 1] - first[at[hit]]
                 where = np.repeat(starts[hit], lens)
                 offset = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-                pairs.append(np.stack([owner[np.repeat(first[at[hit]], lens) + offset], where // max(1, low // 2)], 1))
+                pairs.append(np.stack([owner[np.repeat(first[at[hit]], lens) + offset], where // width], 1))
+            if hits:
+                pairs.append(self._by_words(tokens, common, np.concatenate(hits), width, slack))
         proposed = np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else []
         self.proposed += len(proposed)
         for item, block in proposed:
@@ -200,6 +241,22 @@ class Index:
                 self._credit(found, starts_of, texts, item, ids.tolist(), limit, s, e, tokens, pad)
         return found
 
+    def _by_words(self, tokens: np.ndarray, common: Shared, hits: np.ndarray, width: int, slack: int) -> np.ndarray:
+        """(item, block) of items that have a shared key of a hit (block, table, key's place) and a rare word in the block."""
+        upto = np.concatenate(([0], np.cumsum(common.marked[tokens])))
+        begin, end = (np.clip(hits[:, 0] * width + d, 0, len(tokens)) for d in (-slack - 1, width + common.reach + 1))
+        hits = np.unique(hits[upto[end] > upto[begin]], axis=0)
+        out = [np.empty((0, 2), np.int64)]
+        for of in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1) if len(hits) else []:
+            s = int(of[0, 0]) * width
+            near = tokens[max(0, s - slack - 1) : s + width + common.reach + 1]
+            at = np.searchsorted(common.words, np.unique(near[common.marked[near]]))
+            found = np.unique(np.concatenate([common.owners[common.first[k] : common.first[k + 1]] for k in at.tolist()]))
+            keyed = [np.intersect1d(found, owners[first[k] : first[k + 1]]) for _, n, k in of.tolist() for _, first, owners in (common.tables[n],)]
+            items = np.unique(np.concatenate(keyed))
+            out.append(np.stack([items, np.full(items.size, of[0, 0])], 1))
+        return np.concatenate(out)
+
     def _credit(self, found, starts_of, texts, item, ids, limit, s, e, tokens, pad) -> None:
         k = max(0, int(np.searchsorted(starts_of, s, "right")) - 1)
         while k < len(texts) and starts_of[k] < e:

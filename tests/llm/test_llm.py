@@ -586,6 +586,25 @@ def test_decontamination_is_not_quadratic_in_shared_phrases():
     assert more <= 2.2 * few + 200 and most <= 2.2 * more + 400
 
 
+def test_decontamination_loses_nothing_that_shared_keys_alone_propose(monkeypatch):
+    """With few walks, edits in an item's own words often leave the keys of its shared phrase alone; what
+    those propose is found as if no key were shared."""
+    rng = random.Random(3)
+    phrase = [f"p{i}" for i in range(9)]
+    items = [(i, phrase + [f"w{16 * i + j}" for j in range(9)]) for i in range(60)]
+    texts = []
+    for _, words in items * 4:
+        edited = list(words)
+        for p in rng.sample(range(9, 18), decontaminate.allowed(18)):
+            edited[p] = "other"
+        texts.append(["q"] * 9 + edited + ["q"] * 9)
+    got = decontaminate.Index(items, repetitions=5)
+    found = got.search(texts)
+    monkeypatch.setattr(decontaminate, "SHARED", 10**9)
+    every = decontaminate.Index(items, repetitions=5)
+    assert found == every.search(texts) and sum(map(len, found)) > 150 and got.proposed < every.proposed
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "null id"), (1, "null id"), (2, "tie tie"), (3, ""), (4, None), (None, "one")], "item_id long, text string")
     out = decontaminate.find_items(with_extra(spark, odd_texts()), bench).collect()
