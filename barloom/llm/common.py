@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of the word operators: space and the control characters 09 to 0D.
@@ -70,7 +70,7 @@ BROADCAST_ROWS = 50_000
 
 def beside(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a table with a narrow one: broadcast where that one's counted rows are few, by a shuffle
-    (whose skewed partitions Spark splits) beyond it. `small` should come from `cut`, which has counted it."""
+    (whose skewed partitions Spark splits) beyond it. `small` should come from `cut` or a shelf, which have counted it."""
     return big.join(F.broadcast(small) if rows_of(small) <= rows else small, on, how)
 
 
@@ -87,8 +87,33 @@ def cut(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return out
 
 
+class Shelf:
+    """Tables of one call, in a folder of their own in the shared folder. Each is worked out once,
+    written as Parquet and counted on the way, where `cut` works out its last stage twice and counts in a
+    query of its own: the driver keeps a record of every stage. Spark does not clean up here: `clear` deletes
+    all, after what is made of the tables is in a table elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.used = spark, scratch(spark, name), 0
+
+    def put(self, df: DataFrame, where: str = "true") -> DataFrame:
+        """The table, written and read again; it knows its rows and how many of them fulfil `where`."""
+        seen, self.used = Observation(), self.used + 1
+        path = f"{self.folder}/{self.used}"
+        out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(where)).alias("found")), path)
+        out.counted_rows, out.counted_found, out.path = seen.get["rows"], seen.get["found"], path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes one table that nothing reads any more."""
+        remove(self.spark, df.path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.folder)
+
+
 def rows_of(df: DataFrame) -> int:
-    """The number of rows; a table from `cut` knows it."""
+    """The number of rows; a table from `cut` or a shelf knows it."""
     known = getattr(df, "counted_rows", None)
     return df.count() if known is None else known
 
@@ -100,8 +125,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """Connected components of an undirected edge table: (id, component), smallest id as label.
+def components(edges: DataFrame, left: str = "a", right: str = "b", shelf: Shelf | None = None) -> DataFrame:
+    """Connected components of an undirected edge table: (id, component), smallest id as label. Its tables
+    are on the caller's shelf, if one is given.
 
     Hook-and-shortcut label propagation: each round hooks a node and its parent to the
     smallest parent among the neighbours, then jumps pointers, so that long chains halve.
@@ -109,11 +135,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Ids must not be null. Self loops and repeated edges are harmless.
     """
     spark = edges.sparkSession
+    keep = shelf.put if shelf else cut
     e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u != v")
-    both = cut(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = keep(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     parts = max(1, both.rdd.getNumPartitions())
     small = lambda df: df.coalesce(parts)
-    parent = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("p")))
+    parent = keep(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("p")))
     # A node has one row in `parent`, in every round: where they are few, the hub of a star meets its
     # neighbours without a shuffle; beyond that Spark splits the hub's partition.
     few = rows_of(parent) <= BROADCAST_ROWS
@@ -125,8 +152,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         both_ways = moved.select("id", "m", F.col("p").alias("was")).union(moved.select(F.col("p").alias("id"), "m", F.lit(None).cast("long")))
         hooked = small(both_ways.groupBy("id").agg(F.min("m").alias("p"), F.max("was").alias("was")))
         up = hooked.select(F.col("id").alias("p"), F.col("p").alias("g"))
-        after = cut(hooked.join(held(up), "p").select("id", F.col("g").alias("p"), "was"))
-        changed = after.where("p != was").limit(1).count()
+        after = hooked.join(held(up), "p").select("id", F.col("g").alias("p"), "was")
+        after = shelf.put(after, "p != was") if shelf else cut(after)
+        changed = after.counted_found if shelf else after.where("p != was").limit(1).count()
         parent = after.select("id", "p")
         release(spark)
         if not changed:

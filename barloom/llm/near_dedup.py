@@ -12,7 +12,7 @@ is left of large ones meets by rare shingles.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import joined_parts
-from .common import beside, cut, fresh, release
+from .common import Shelf, beside, cut, fresh, release
 
 BANDS, ROWS = 40, 5
 #: Shingles that a worker hands on at once: 2 MB.
@@ -149,7 +149,7 @@ def shingle_sets(docs: DataFrame, *, size: int, id_col: str, text_col: str) -> D
     return docs.select(id_col, text_col).mapInArrow(run, "id long, shingles array<long>")
 
 
-def rare_pairs(sets: DataFrame, millionths: int) -> DataFrame:
+def rare_pairs(sets: DataFrame, millionths: int, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Pairs (a, b) of different parts (p, q) of `sets` (id, part, heavy array<long>, a set) that share a
     shingle among the rarest of each, a superset of the pairs at the similarity.
 
@@ -163,14 +163,14 @@ def rare_pairs(sets: DataFrame, millionths: int) -> DataFrame:
     at_least = lambda n, share: F.ceil(n * share / million).cast("int")
     n = F.size("heavy")
     each = sets.select("id", F.explode("heavy").alias("g"))
-    common = cut(each.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), 500_000)
+    common = keep(each.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
     found = beside(each, common, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))
     both = 2_000_000.0 * millionths / (1_000_000 + millionths)
     sized = sets.select("id", "part", n.alias("n")).join(found, "id").withColumn("alone", F.col("n") - F.size("gs"))
     probe = F.col("n") - at_least(F.col("n"), F.lit(millionths)) + 1
     entries = sized.select("id", "part", "n", F.col("alone"), F.posexplode(F.slice("gs", F.lit(1), F.greatest(probe - F.col("alone"), F.lit(0)))).alias("k", "e"))
     entries = entries.select("id", "part", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("e.g").alias("g"))
-    entries = cut(entries)
+    entries = keep(entries)
     first = F.col("n") - F.ceil(F.col("n") * F.lit(both) / million - 1e-9).cast("int") + 1
     a = entries.select("g", F.col("id").alias("a"), F.col("part").alias("p"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     b = entries.where(F.col("at") < first).select("g", F.col("id").alias("b"), F.col("part").alias("q"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
@@ -196,9 +196,10 @@ def near_copies(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, band
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    sig = cut(signatures(docs, size=size, bands=bands, rows=rows, id_col=id_col, text_col=text_col), 20_000)
+    shelf = Shelf(spark, "near")
+    sig = shelf.put(signatures(docs, size=size, bands=bands, rows=rows, id_col=id_col, text_col=text_col))
     usable = sig.where("set_hash IS NOT NULL AND id IS NOT NULL")
-    sets = cut(usable.groupBy("set_hash").agg(F.min("id").alias("id"), F.min_by(F.struct("n_shingles", "keys", "sketch"), "id").alias("s")).select("set_hash", "id", "s.*"), 20_000)
+    sets = shelf.put(usable.groupBy("set_hash").agg(F.min("id").alias("id"), F.min_by(F.struct("n_shingles", "keys", "sketch"), "id").alias("s")).select("set_hash", "id", "s.*"))
     release(spark)
     limit = sketch_limit(similarity, bands * rows, 64 * SKETCH_WORDS)
     percent = round(similarity * 1_000_000)
@@ -211,20 +212,21 @@ def near_copies(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, band
         return sized & (differing(a, b) <= limit)
 
     def heavy_of(ids: DataFrame) -> DataFrame:
-        texts = beside(docs.select(F.col(id_col).cast("long").alias("id"), text_col), cut(ids), "id", "left_semi")
-        return cut(shingle_sets(texts, size=size, id_col="id", text_col=text_col).select("id", F.col("shingles").alias("heavy")), 5_000)
+        texts = beside(docs.select(F.col(id_col).cast("long").alias("id"), text_col), shelf.put(ids), "id", "left_semi")
+        return shelf.put(shingle_sets(texts, size=size, id_col="id", text_col=text_col).select("id", F.col("shingles").alias("heavy")))
 
     def exact(a: Column, b: Column) -> Column:
         both = F.size(F.array_intersect(a, b)).cast("long")
         return both * 1_000_000 >= (F.size(a) + F.size(b) - both) * percent
 
     def narrow(parts: DataFrame) -> DataFrame:
-        return rare_pairs(heavy_of(parts.select("id")).join(parts, "id"), percent)
+        return rare_pairs(heavy_of(parts.select("id")).join(parts, "id"), percent, shelf.put)
 
     items = sets.select("id", "keys", F.struct("n_shingles", "sketch").alias("light"))
-    label = joined_parts(items, alike, differing, heavy_of, exact, narrow)
+    label = joined_parts(items, alike, differing, heavy_of, exact, narrow, shelf)
     named = sets.select("set_hash", "id").join(label, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
-    out = sig.join(named, "set_hash", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = cut(sig.join(named, "set_hash", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")))
+    shelf.clear()
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.col("component_id").cast(kind).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barloom.llm import bpe, buckets, decontaminate, html_crf, line_dedup, media_copies, near_dedup, quality_fm, reply_trees, token_count, warc
-from barloom.llm.common import components
+from barloom.llm.common import components, shared_dir
 
 VOCABULARY = P.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -176,6 +177,22 @@ def test_near_copies_edges(spark):
     assert one.count() == 8 and one.columns == with_extra(spark, []).columns
 
 
+def test_near_copies_take_few_jobs(spark, tmp_path):
+    """The driver keeps a record of all stages: each table is worked out once, and no table stays behind."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(40)]
+    rows += [(100 + i, t.rsplit(" ", 1)[0] + " more") for i, t in rows[::2]]
+    docs = frame(spark, rows)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, jobs = spark.read.parquet(str(tmp_path / "docs")), spark._jsc.sc().dagScheduler().numTotalJobs
+    before, held = jobs(), set(os.listdir(shared_dir(spark)))
+    out = near_dedup.near_copies(docs, size=2)
+    made = jobs() - before
+    assert sum(not r["kept"] for r in out.collect()) == 20
+    assert not [f for f in set(os.listdir(shared_dir(spark))) - held if f.startswith("near-")]
+    assert made <= 70, made
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(0)
     m = near_dedup.MinHash(40, 5)
