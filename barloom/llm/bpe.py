@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import give_back, pieces
+
 #: Fixed value: the public byte-level pre-token pattern. White space is spelt out as the
 #: Unicode property, since the regular expression libraries differ over 1C to 1F.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -247,26 +249,30 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long" + ", ids array<int>" * with_ids + ", ids_sha256 string" + ", decoded string" * with_text + ", decoded_sha256 string"
 
+    def piece(v: Vocabulary, keys: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        held: dict[str, list] = {k: [] for k in ("n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256")}
+        for ids in encode_texts(v, texts):
+            raw = b"".join(map(v.token_bytes.__getitem__, ids.tolist()))
+            text = raw.decode("utf-8", "replace")
+            held["n_tokens"].append(len(ids))
+            held["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            held["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+            if with_ids:
+                held["ids"].append(ids)
+            if with_text:
+                held["decoded"].append(text)
+        assert len(held["n_tokens"]) == len(texts)
+        columns = [keys, pa.array(held["n_tokens"], pa.int64())] + [pa.array(held["ids"], pa.list_(pa.int32()))] * with_ids + [pa.array(held["ids_sha256"], pa.string())] + [pa.array(held["decoded"], pa.string())] * with_text + [pa.array(held["decoded_sha256"], pa.string())]
+        names = [id_col, "n_tokens"] + ["ids"] * with_ids + ["ids_sha256"] + ["decoded"] * with_text + ["decoded_sha256"]
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for part in parts:
-            keys, texts = part.column(0), part.column(1).to_pylist()
-            done = 0
-            held: dict[str, list] = {k: [] for k in ("n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256")}
-            for ids in encode_texts(v, texts):
-                raw = b"".join(map(v.token_bytes.__getitem__, ids.tolist()))
-                text = raw.decode("utf-8", "replace")
-                held["n_tokens"].append(len(ids))
-                held["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                held["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-                if with_ids:
-                    held["ids"].append(ids)
-                if with_text:
-                    held["decoded"].append(text)
-                done += 1
-            assert done == len(texts)
-            columns = [keys, pa.array(held["n_tokens"], pa.int64())] + [pa.array(held["ids"], pa.list_(pa.int32()))] * with_ids + [pa.array(held["ids_sha256"], pa.string())] + [pa.array(held["decoded"], pa.string())] * with_text + [pa.array(held["decoded_sha256"], pa.string())]
-            names = [id_col, "n_tokens"] + ["ids"] * with_ids + ["ids_sha256"] + ["decoded"] * with_text + ["decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            keys, texts = part.column(0), part.column(1)
+            for first, n in pieces(texts):
+                yield piece(v, keys.slice(first, n), texts.slice(first, n).to_pylist())
+        part = keys = texts = None  # the last batch, else it would not be among what is given back
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

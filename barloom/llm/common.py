@@ -1,11 +1,16 @@
-"""Helpers that several operators share: table reading, checkpoints, components."""
+"""Helpers that several operators share: table reading, checkpoints, components, pieces of batches."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +117,32 @@ class Shelf:
         remove(self.spark, self.folder)
 
 
+#: Bytes of text that a worker takes at once from a batch of Arrow.
+PIECE_BYTES = 2_000_000
+
+
+def pieces(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Where to cut a batch of texts: (first row, number of rows), all rows in order, at least one and at
+    most about `size` bytes at a time. Spark's batches hold up to 10,000 rows of any length; what a worker makes
+    of one, and what the JVM has to take back at once, is bounded by a piece instead."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = int(upto[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + size, "right")))
+        yield first, last - first
+        first = last
+
+
+def give_back() -> None:
+    """Returns the memory that a Python worker has freed to the system: Spark keeps workers for later tasks
+    and stages, and what the allocators of Arrow and C hold on to would count all that time."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def rows_of(df: DataFrame) -> int:
     """The number of rows; a table from `cut` or a shelf knows it."""
     known = getattr(df, "counted_rows", None)

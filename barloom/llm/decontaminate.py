@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, give_back, pieces
 from .near_dedup import mix
 
 WORDS = re.compile(r"\w+").findall
@@ -37,8 +37,6 @@ LONG, NEAR = 128, 8
 SHARED, OWN_KEYS = 16, 0.6
 #: Text of benchmark items that one pass holds in memory on each worker.
 BLOCK_BYTES = 32 << 20
-#: Texts of this many characters are looked at together.
-BATCH_CHARS = 8_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -298,19 +296,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, r
 
         def look(texts, shared=shared):
             index = shared.value if blocks == 1 else shared.load_from_path(shared._path)  # `value` would keep every block
-            out, held, size = [], [], 0
-            listed = texts.to_pylist()
-            for k, text in enumerate(listed):
-                held.append(words_of(text))
-                size += len(text or "")
-                if size >= BATCH_CHARS or k == len(listed) - 1:
-                    for got in index.search(held):
-                        best: dict[int, int] = {}
-                        for item, d in got.items():
-                            name = index.items[item][0]
-                            best[name] = min(d, best.get(name, d))
-                        out.append([{"i": i, "d": d} for i, d in sorted(best.items())])
-                    held, size = [], 0
+            out = []
+            for first, n in pieces(texts):
+                for got in index.search([words_of(t) for t in texts.slice(first, n).to_pylist()]):
+                    best: dict[int, int] = {}
+                    for item, d in got.items():
+                        name = index.items[item][0]
+                        best[name] = min(d, best.get(name, d))
+                    out.append([{"i": i, "d": d} for i, d in sorted(best.items())])
+            give_back()
             return pa.array(out, pa.list_(pa.struct([("i", pa.int64()), ("d", pa.int32())])))
 
         searched = F.arrow_udf(look, "array<struct<i:bigint,d:int>>")

@@ -8,12 +8,13 @@ import re
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barloom.llm import bpe, buckets, decontaminate, html_crf, line_dedup, media_copies, near_dedup, quality_fm, reply_trees, token_count, warc
-from barloom.llm.common import components, shared_dir
+from barloom.llm.common import components, pieces, shared_dir
 
 VOCABULARY = P.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,6 +55,59 @@ def test_tokens_as_the_library_has_them(spark):
         assert counts[i]["over_limit"] == (len(ids) > 512)
 
 
+def large_batch() -> pa.RecordBatch:
+    """One batch as Spark hands it to a worker: 5,000 rows, 15 MB, null and empty texts and one of 5 MB."""
+    long = "long words of one text " * 220_000
+    texts = [*(f"row {k} " + "and the same words again " * 80 for k in range(5_000)), None, "", long, None]
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+
+
+def test_pieces_hold_all_rows_in_order():
+    for texts in ([], [None, "abc", "", "\u00e9" * 5, None], [None, None], ["a" * 10] * 7, ["b" * 50, "", "c" * 50]):
+        got = list(pieces(pa.array(texts, pa.string()), 10))
+        assert [k for first, n in got for k in range(first, first + n)] == list(range(len(texts)))
+        assert all(n == 1 or sum(len((t or "").encode()) for t in texts[first : first + n]) <= 10 for first, n in got)
+    assert list(pieces(pa.nulls(3), 10)) == [(0, 3)]
+    assert list(pieces(pa.array(["a" * 10] * 7).slice(2, 3), 20)) == [(0, 2), (2, 1)]
+
+
+def test_encoding_hands_on_bounded_batches(spark):
+    """The JVM takes ids a piece at a time, not those of a whole batch of texts at once."""
+    part = large_batch()
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    run = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f))
+        bpe.encode(docs, P.path("byte_bpe_50k.json"), with_text=False)
+    got = list(run[0](iter([part, part.slice(0, 0)])))
+    assert max(b.nbytes for b in got if b.num_rows > 1) <= 4 * 2_000_000
+    whole = pa.Table.from_batches(got)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert whole["doc_id"].to_pylist() == part["doc_id"].to_pylist()
+    texts = part["text"].to_pylist()
+    for k in (0, 1, 999, 1000, 4999, 5000, 5001, 5003):
+        assert whole["ids"][k].as_py() == library.encode(texts[k] or "", add_special_tokens=False).ids
+    assert whole["n_tokens"][5002].as_py() == len(library.encode(texts[5002], add_special_tokens=False).ids)
+    assert whole["decoded_sha256"].to_pylist() == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+
+
+def test_decontamination_looks_at_bounded_pieces(spark, monkeypatch):
+    """The words of a few texts at a time are in memory, not those of a whole batch."""
+    looks, seen = [], []
+    udf, search = F.arrow_udf, decontaminate.Index.search
+    monkeypatch.setattr(decontaminate.F, "arrow_udf", lambda f, kind: (looks.append(f), udf(f, kind))[1])
+    monkeypatch.setattr(decontaminate.Index, "search", lambda self, texts: (seen.append((len(texts), sum(len(w) + 1 for t in texts for w in t))), search(self, texts))[1])
+    item = "one benchmark item whose words stand nowhere else in these rows"
+    part = large_batch()
+    texts = part["text"].to_pylist()
+    for k in (0, 998, 999, 4999):
+        texts[k] += item
+    decontaminate.find_items(frame(spark, [(1, "x")]), frame(spark, [(7, item)], "item_id long, text string"))
+    found = looks[0](pa.array(texts, pa.string())).to_pylist()
+    assert [k for k, x in enumerate(found) if x] == [0, 998, 999, 4999] and len(found) == len(texts)
+    assert sum(n for n, _ in seen) == len(texts) and max(size for n, size in seen if n > 1) <= 2_000_000
+
+
 def test_whole_tokens_are_proved():
     library = Tokenizer.from_file(VOCABULARY)
     whole = sorted(token_count.whole_tokens(VOCABULARY))
