@@ -37,6 +37,8 @@ LONG, NEAR = 128, 8
 SHARED, OWN_KEYS = 16, 0.6
 #: Text of benchmark items that one pass holds in memory on each worker.
 BLOCK_BYTES = 32 << 20
+#: Bytes of texts that are looked at together: each look has a cost of its own, whatever it looks at.
+LOOK_BYTES = 4_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -297,7 +299,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, r
         def look(texts, shared=shared):
             index = shared.value if blocks == 1 else shared.load_from_path(shared._path)  # `value` would keep every block
             out = []
-            for first, n in pieces(texts):
+            for first, n in pieces(texts, LOOK_BYTES):
                 for got in index.search([words_of(t) for t in texts.slice(first, n).to_pylist()]):
                     best: dict[int, int] = {}
                     for item, d in got.items():
