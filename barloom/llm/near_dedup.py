@@ -161,14 +161,14 @@ def rare_pairs(sets: DataFrame, millionths: int, keep: Callable[[DataFrame], Dat
     """
     million = F.lit(1_000_000)
     at_least = lambda n, share: F.ceil(n * share / million).cast("int")
-    n = F.size("heavy")
+    n = F.size("heavy").cast("long")  # times a million it is beyond an int for a set of 2,148
     each = sets.select("id", F.explode("heavy").alias("g"))
     common = keep(each.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
     found = beside(each, common, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))
     both = 2_000_000.0 * millionths / (1_000_000 + millionths)
     sized = sets.select("id", "part", n.alias("n")).join(found, "id").withColumn("alone", F.col("n") - F.size("gs"))
     probe = F.col("n") - at_least(F.col("n"), F.lit(millionths)) + 1
-    entries = sized.select("id", "part", "n", F.col("alone"), F.posexplode(F.slice("gs", F.lit(1), F.greatest(probe - F.col("alone"), F.lit(0)))).alias("k", "e"))
+    entries = sized.select("id", "part", "n", F.col("alone"), F.posexplode(F.slice("gs", F.lit(1), F.greatest(probe - F.col("alone"), F.lit(0)).cast("int"))).alias("k", "e"))
     entries = entries.select("id", "part", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("e.g").alias("g"))
     entries = keep(entries)
     first = F.col("n") - F.ceil(F.col("n") * F.lit(both) / million - 1e-9).cast("int") + 1

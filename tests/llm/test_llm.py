@@ -221,6 +221,27 @@ def test_rare_pairs_hold_every_true_pair(spark):
     assert true <= got and len(true) > 50
 
 
+def test_rare_pairs_of_large_sets(spark):
+    """Sizes whose product with a million is beyond an int: sets of 2,147 and 2,148 shingles, and far larger ones."""
+    shared = {n: range(n * 10_000, n * 10_000 + n - n // 20) for n in (2_147, 2_148, 2_684, 2_685, 9_000)}
+    sets = [(n * 10 + k, n * 10 + k, [*of, *range(-(n * 10 + k) * 10_000, -(n * 10 + k) * 10_000 + n - len(of))]) for n, of in shared.items() for k in (0, 1)]
+    got = {(min(r), max(r)) for r in near_dedup.rare_pairs(spark.createDataFrame(sets, "id long, part long, heavy array<long>"), 800_000).select("a", "b").collect()}
+    assert got == {(n * 10, n * 10 + 1) for n in shared}
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_large_buckets_of_long_texts(spark, monkeypatch, size):
+    """Texts of 3,000 words that share buckets in different components."""
+    monkeypatch.setattr(buckets, "MEET", 0)
+    base = [f"w{i}" for i in range(3_000)]
+    rows = [(i, " ".join(base[: i * 400] + [f"own{i}x{j}" for j in range(400)] + base[i * 400 + 400 :])) for i in range(5)]
+    rows.append((5, rows[2][1] + " and more"))
+    want, sizes = brute_components(rows, size)
+    got = near_dedup.near_copies(frame(spark, rows), size=size).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes and min(sizes.values()) > 2_900
+
+
 def test_near_copies_edges(spark):
     out = near_dedup.near_copies(with_extra(spark, odd_texts()), size=2).collect()
     assert len(out) == 10
