@@ -161,7 +161,7 @@ def rare_pairs(sets: DataFrame, millionths: int, keep: Callable[[DataFrame], Dat
     """
     million = F.lit(1_000_000)
     at_least = lambda n, share: F.ceil(n * share / million).cast("int")
-    n = F.size("heavy").cast("long")  # times a million it is beyond an int for a set of 2,148
+    n = F.size("heavy").cast("long")  # products with a million or two are beyond an int from 1,194 on
     each = sets.select("id", F.explode("heavy").alias("g"))
     common = keep(each.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
     found = beside(each, common, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))
